@@ -79,7 +79,7 @@ def asof_wide(
         age = micros(F.col(ts)) - micros(F.col(f"{n}.ts"))
         keep = (
             age == 0 if n in exact
-            else (age <= F.lit(int(caps[n] * 3600)) * 1_000_000 if caps[n] else F.lit(True))
+            else (age <= int(caps[n] * 3_600_000_000) if caps[n] else F.lit(True))
         )
         out.append(F.when(keep, F.col(f"{n}.value")).alias(n))
         if with_source:

@@ -74,4 +74,5 @@ def grid_between(bounds: DataFrame, interval: str, start: str = "start", end: st
         .select(*keys, "_hi", F.explode(F.sequence("_lo", F.col("_hi") - 1, F.lit(block))).alias("_b"))
     )
     last = F.least(F.col("_b") + block, F.col("_hi")) - 1
-    return blocks.select(*keys, from_micros(F.explode(F.sequence(F.col("_b"), last, F.lit(step)))).alias("ts"))
+    slots = blocks.select(*keys, F.explode(F.sequence(F.col("_b"), last, F.lit(step))).alias("_us"))
+    return slots.select(*keys, from_micros(F.col("_us")).alias("ts"))
