@@ -1,4 +1,4 @@
 """Runnable queries over the test tables, with their reference SQL."""
 
-from barlab.catalog import bars_queries, store_queries  # noqa: F401
+from barlab.catalog import bars_queries, eval_queries, store_queries  # noqa: F401
 from barlab.catalog.registry import ORACLES, QUERIES  # noqa: F401
