@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _NORMAL = NormalDist()
 
@@ -15,7 +16,7 @@ def normal_ppf(p: float) -> float:
     return _NORMAL.inv_cdf(p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(_NORMAL.cdf, na_action="ignore")
 
@@ -57,7 +58,7 @@ def student_t_lower(t: float, df: float) -> float:
     return tail if t <= 0 else 1.0 - tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([
         None if pd.isna(a) or pd.isna(b) else student_t_lower(a, b) for a, b in zip(t, df)

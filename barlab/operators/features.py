@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from barlab.functions.corr import pearson
 from barlab.operators.frames import add_halo, following, gated, number_rows, over_chunks, trailing
 
 KEYS = ("symbol", "interval")
@@ -206,7 +207,7 @@ def rolling_corr(
     def build(df: DataFrame, spec: WindowSpec) -> DataFrame:
         frame = trailing(spec, n)
         full = F.count(F.lit(1)).over(frame) == n
-        return df.withColumn(out, F.when(full, F.corr("_a", "_b").over(frame)))
+        return df.withColumn(out, F.when(full, pearson(F.col("_a"), F.col("_b"), frame)))
 
     rho = over_chunks(paired, ["interval"], [TS], n, 0, build, chunk_rows).select("interval", TS, out)
     grid = bars.filter(F.col("symbol") == left).select("symbol", "interval", TS)

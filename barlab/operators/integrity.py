@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barlab.functions.corr import pearson
 from barlab.functions.times import micros
 from barlab.operators.ranks import quantiles
 from barlab.operators.splits import halves, split_chronological
@@ -126,9 +127,9 @@ def regression_label_distribution(df: DataFrame, keys: Sequence[str] = (), y: st
 def leakage_pearson(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), y: str = "y") -> DataFrame:
     """|correlation| of every feature with the label, one aggregation; constants are left out."""
     label = F.col(y).cast("double")
-    wide = df.groupBy(*keys).agg(*[F.abs(F.corr(F.col(f).cast("double"), label)).alias(f) for f in features])
+    wide = df.groupBy(*keys).agg(*[F.abs(pearson(F.col(f).cast("double"), label)).alias(f) for f in features])
     return wide.unpivot(list(keys), list(features), "feature", "score").filter(
-        F.col("score").isNotNull() & ~F.isnan("score")
+        F.col("score").isNotNull()
     )
 
 
@@ -147,14 +148,12 @@ def mutual_information(
     cuts = quantiles(long, by, "x", [i / n_bins for i in range(1, n_bins)], "_cuts")
     bin_ = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col("x"))).alias("_bin")
     cells = long.join(cuts, by).groupBy(*by, bin_, "_y").agg(F.count(F.lit(1)).alias("_n"))
-    per_bin = cells.groupBy(*by, "_bin").agg(F.sum("_n").alias("_nb"))
-    per_class = cells.groupBy(*by, "_y").agg(F.sum("_n").alias("_ny"))
-    total = per_class.groupBy(*by).agg(F.sum("_ny").alias("_t"), F.collect_list("_ny").alias("_counts"))
-    p = lambda c: c / F.col("_t")
-    entropy = F.aggregate("_counts", F.lit(0.0), lambda a, c: a - p(c) * F.log(p(c)))
-    joint = cells.join(per_bin, [*by, "_bin"]).join(per_class, [*by, "_y"]).join(total, by)
-    term = p(F.col("_n")) * F.log(F.col("_n") * F.col("_t") / (F.col("_nb") * F.col("_ny")))
-    return joint.groupBy(*by).agg(F.sum(term).alias("mi"), F.max(entropy).alias("_h")).select(
+    sums = lambda *k: F.sum("_n").over(Window.partitionBy(*by, *k))
+    joint = cells.withColumn("_t", sums()).withColumn("_nb", sums("_bin")).withColumn("_ny", sums("_y"))
+    p = lambda c: F.col(c) / F.col("_t")
+    term = p("_n") * F.log(F.col("_n") * F.col("_t") / (F.col("_nb") * F.col("_ny")))
+    entropy = -p("_n") * F.log(p("_ny"))
+    return joint.groupBy(*by).agg(F.sum(term).alias("mi"), F.sum(entropy).alias("_h")).select(
         *by, F.greatest(F.col("mi"), F.lit(0.0)).alias("mi"),
         F.when(F.col("_h") > 0, F.greatest(F.col("mi"), F.lit(0.0)) / F.col("_h")).alias("score"),
     )

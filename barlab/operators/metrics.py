@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barlab.functions.corr import pearson
 from barlab.operators.ranks import auc, score_ranges
 
 LOSS_CLIP = 1e-7
@@ -114,10 +115,9 @@ def eval_multiclass(
 
 def eval_regression(df: DataFrame, keys: Sequence[str] = (), y: str = "actual", p: str = "predicted") -> DataFrame:
     gap = F.col(y) - F.col(p)
-    flat = (F.stddev_pop(y) == 0) | (F.stddev_pop(p) == 0)
     return df.groupBy(*keys).agg(
         F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"),
-        F.when(~flat, F.corr(y, p)).alias("pearson_r"),
+        pearson(F.col(y), F.col(p)).alias("pearson_r"),
     )
 
 

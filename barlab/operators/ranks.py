@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RANGES = 128
-_PICK = 512
+_PICK = 4096
+_STEP = 12
 
 
 def _with_range(distinct: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -22,9 +23,12 @@ def _with_range(distinct: DataFrame, keys: Sequence[str], value: str) -> DataFra
         distinct.filter(F.pmod(F.xxhash64(value), F.lit(_PICK)) == 0)
         .groupBy(*keys).agg(F.array_distinct(F.percentile(value, probs)).alias("_cuts"))
     )
+    cuts = cuts.withColumn("_heads", F.filter("_cuts", lambda c, i: i % _STEP == _STEP - 1))
     joined = distinct.join(cuts, list(keys), "left") if keys else distinct.join(F.broadcast(cuts), how="left")
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return joined.withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+    below = lambda array: F.size(F.filter(array, lambda c: c < F.col(value)))
+    base = below("_heads") * _STEP
+    index = base + below(F.slice("_cuts", base + 1, F.lit(_STEP)))
+    return joined.withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(index)).drop("_cuts", "_heads")
 
 
 def prefix_sums(

@@ -22,11 +22,11 @@ def flatten_oof(folds: DataFrame, signal_id: Column | str, symbol: Column | str,
     n_preds = F.coalesce(F.size("oof_predictions"), F.lit(0))
     uneven = n_preds != F.coalesce(F.size("oof_timestamps"), F.lit(0))
     checked = F.when(uneven, F.raise_error("prediction and timestamp counts differ").cast("boolean")).otherwise(n_preds > 0)
-    meta = F.to_json(F.struct(
-        F.col("fold"), F.date_format("test_start", "yyyy-MM-dd'T'HH:mm:ss").alias("test_start"),
-        F.date_format("test_end", "yyyy-MM-dd'T'HH:mm:ss").alias("test_end"),
-        F.date_format("train_end", "yyyy-MM-dd'T'HH:mm:ss").alias("train_end"),
-        col(sha).alias("content_sha256"), F.lit(BACKFILL_SOURCE).alias("source_run"),
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    meta = F.to_json(F.named_struct(
+        F.lit("fold"), F.col("fold"), F.lit("test_start"), iso("test_start"), F.lit("test_end"), iso("test_end"),
+        F.lit("train_end"), iso("train_end"), F.lit("content_sha256"), col(sha),
+        F.lit("source_run"), F.lit(BACKFILL_SOURCE),
     ))
     rows = folds.filter(checked).select(
         col(signal_id).alias("signal_id"), col(symbol).alias("symbol"), meta.alias("meta"),
@@ -61,14 +61,14 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = SIGNAL
     return latest_per_key(both, F.col("_new"), keys).drop("_new")
 
 
-def upsert(spark: SparkSession, incoming: DataFrame, path: str) -> None:
-    """Keyed overwrite of a Parquet table partitioned by (signal_id, month).
+def upsert(spark: SparkSession, incoming: DataFrame, path: str, period: str = "yyyy-MM") -> None:
+    """Keyed overwrite of a Parquet table partitioned by (signal_id, period).
 
-    Only months present in ``incoming`` are read, merged and replaced. The merged months are staged
-    next to the table first, because a job cannot overwrite the files it reads.
+    Only periods present in ``incoming`` are read, merged and replaced. The merged rows are staged next
+    to the table first, because a job cannot overwrite the files it reads.
     """
-    part = ["signal_id", "month"]
-    new = incoming.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    part = ["signal_id", "period"]
+    new = incoming.withColumn("period", F.date_format("ts", period))
     try:
         touched = new.select(*part).distinct()
         old = spark.read.parquet(path).join(touched, part, "left_semi")

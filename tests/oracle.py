@@ -62,8 +62,9 @@ def compare(spark, con, fn, sql, sf_dir):
     a, b = rows_of(df.columns, got), rows_of(cols, want)
     if a == b:
         return True, f"rows={len(a)}"
-    only_a = [x for x in a if x not in set(b)][:3]
-    only_b = [x for x in b if x not in set(a)][:3]
+    sa, sb = set(a), set(b)
+    only_a = [x for x in a if x not in sb][:3]
+    only_b = [x for x in b if x not in sa][:3]
     return False, f"spark {len(a)} rows, sql {len(b)} rows\n     spark: {only_a}\n     sql:   {only_b}"
 
 
