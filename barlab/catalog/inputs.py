@@ -8,8 +8,23 @@ from barlab.schema import INTERVAL_SECONDS
 from barlab.sources.bars import build_bars, tick_order
 
 
+SPREAD_BYTES = 512 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a file of some size arrives as fewer splits than cores (one row group).
+
+    Tables whose scan already has enough splits, and small ones, pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_BYTES or size > cores * 128 * 1024 * 1024 or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def event_bars(spark: SparkSession, sf_dir: str, interval: str = "1h") -> DataFrame:
@@ -221,10 +236,8 @@ def _raw_models() -> dict[str, tuple[Column, Column, Column]]:
 def probability_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with three models' class probabilities as arrays, true class and year."""
     li = table(spark, sf_dir, "lineitem")
-    arrays = []
-    for name, raw in _raw_models().items():
-        total = raw[0] + raw[1] + raw[2]
-        arrays.append(F.array(*[r / total for r in raw]).alias(name))
+    shares = {name: [r / (raw[0] + raw[1] + raw[2]) for r in raw] for name, raw in _raw_models().items()}
+    arrays = [F.array(*p).alias(name) for name, p in shares.items()]
     y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     return li.select(
         *ROW_ID, F.col("l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"),
@@ -234,9 +247,8 @@ def probability_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mean_probabilities(rows: DataFrame) -> DataFrame:
     """Adds ``probs``, the mean over the three models."""
-    mean = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (
-        F.get("m1", i) + F.get("m2", i) + F.get("m3", i)) / 3.0)
-    return rows.withColumn("probs", mean)
+    at = lambda m, c: F.get(m, F.lit(c))
+    return rows.withColumn("probs", F.array(*[(at("m1", c) + at("m2", c) + at("m3", c)) / 3.0 for c in range(3)]))
 
 
 def probability_long(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from barlab.plans import models as mo
 from barlab.plans.search import grid_search
 from barlab.plans.stacking import oof_matrix, predict_stacked, train_stacker
 from barlab.plans.walkforward import holdout, long_metrics, run_walk_forward
+from barlab.session import cut_lineage
 
 FEATURES = tuple(EMBED_FEATURES[:16])
 BAR_FEATURES = ("log_return_24", "volume_zscore_24", "atr_14")
@@ -67,7 +68,7 @@ def m02(spark, d):
 def m03(spark, d):
     rows = meta_split(vectors(spark, d, "multiclass"))
     models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"))
-    return per_model_metrics(mo.predict_ensemble(models, rows.filter("role = 'meta'"), ["vec_id", "y"]), ["vec_id"], mo.N_CLASSES)
+    return per_model_metrics(mo.predict_ensemble(models, rows.filter("role = 'meta'"), ["vec_id", "y"]), ["vec_id"], list(models), mo.N_CLASSES)
 
 
 @query("m04_meta_label_gating")
@@ -75,7 +76,7 @@ def m04(spark, d):
     """Primary models on the first 80 %, meta model on the rest, gating measured on that rest."""
     rows = meta_split(vectors(spark, d, "multiclass"))
     models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"))
-    probas = mo.predict_ensemble(models, rows.filter("role = 'meta'"), ["vec_id", "y"])
+    probas = cut_lineage(mo.predict_ensemble(models, rows.filter("role = 'meta'"), ["vec_id", "y"]))
     meta = mo.fit_meta_label(probas, ["vec_id"])
     if meta is None:
         raise ValueError("meta rows hold a single outcome")
@@ -144,7 +145,7 @@ def m11(spark, d):
 
 
 def _two_walks(spark, d):
-    rows = bar_rows(spark, d)
+    rows = cut_lineage(bar_rows(spark, d))
     deep = run_walk_forward(rows, bar_folds(spark), mo.ModelSpec("deep", "binary", BAR_FEATURES, params=SMALL))
     flat = run_walk_forward(rows, bar_folds(spark), mo.ModelSpec("shallow", "binary", BAR_FEATURES, params={"maxIter": 3, "maxDepth": 1}))
     tag = lambda w: w.oof.select(F.lit(w.spec.name).alias("model"), "fold", "symbol", "ts", F.col("predicted").alias("prediction"))
@@ -154,7 +155,7 @@ def _two_walks(spark, d):
 @query("m12_train_stacker")
 def m12(spark, d):
     rows, oof = _two_walks(spark, d)
-    matrix = oof_matrix(oof, rows, ["deep", "shallow"], ["symbol", "ts"])
+    matrix = cut_lineage(oof_matrix(oof, rows, ["deep", "shallow"], ["symbol", "ts"]))
     model = train_stacker(matrix, ["deep", "shallow"], "binary", folds=3)
     scored = predict_stacked(model, matrix, ["deep", "shallow"]).withColumn("predicted", F.col("stacked"))
     return mo.eval_binary(scored, (), "y")

@@ -90,10 +90,11 @@ def bootstrap_macro_auc(
     lose a class are dropped and counted out."""
     each = df.select(*keys, y, F.xxhash64(*row_id).alias("_id"), F.posexplode(probs).alias("_class", "_score"))
     by = [*keys, "_class"]
+    # An explicit partition count keeps the numeric work spread out; by bytes alone it would be merged.
     ranges = (
         _with_range(each.withColumn("_pos", F.col(y) == F.col("_class")), by, "_score")
         .select(*by, "_range", "_score", "_id", "_pos")
-        .repartition(*by, "_range")
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_range")
         .sortWithinPartitions(*by, "_range", "_score", "_id")
     )
     kinds = {f.name: f.dataType.simpleString() for f in ranges.schema}

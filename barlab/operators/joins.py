@@ -1,0 +1,19 @@
+"""Broadcast with a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_SMALL_ROWS = 20_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+    """A dimension-like table for a join: broadcast when it has at most ``max_rows`` rows.
+
+    The check reads no more than ``max_rows + 1`` rows and keeps them, so the table is computed once.
+    A larger table is returned as it is and joins by shuffle, with the same result.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

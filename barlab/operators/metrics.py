@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.functions.corr import pearson
+from barlab.operators.joins import small_side
 from barlab.operators.ranks import auc, score_ranges
 
 LOSS_CLIP = 1e-7
@@ -140,19 +141,28 @@ def disagreement_summary(probas: DataFrame, row: Sequence[str]) -> DataFrame:
     return each.unionByName(overall)
 
 
-def to_arrays(probas: DataFrame, row: Sequence[str], n_classes: int, carry: Sequence[str] = ()) -> DataFrame:
-    """(row, class, p) to one probability array per row."""
-    return probas.groupBy(*row).agg(
-        F.array(*[F.max(F.when(F.col("class") == c, F.col("p"))) for c in range(n_classes)]).alias("probs"),
-        *[F.first(c).alias(c) for c in carry],
+def model_arrays(
+    probas: DataFrame, row: Sequence[str], models: Sequence[str], n_classes: int, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Long (row, model, class, p) to one array column per model and ``ensemble``, their mean; one
+    aggregation on the row key serves every statistic over the models."""
+    cell = lambda m, c: F.max(F.when((F.col("model") == m) & (F.col("class") == c), F.col("p"))).alias(f"_{m}_{c}")
+    wide = probas.filter(F.col("model").isin(list(models))).groupBy(*row, *carry).agg(
+        *[cell(m, c) for m in models for c in range(n_classes)])
+    mean = lambda c: sum((F.col(f"_{m}_{c}") for m in models[1:]), F.col(f"_{models[0]}_{c}")) / len(models)
+    return wide.select(
+        *row, *carry, *[F.array(*[F.col(f"_{m}_{c}") for c in range(n_classes)]).alias(m) for m in models],
+        F.array(*[mean(c) for c in range(n_classes)]).alias("ensemble"),
     )
 
 
-def per_model_metrics(probas: DataFrame, row: Sequence[str], n_classes: int, y: str = "y") -> DataFrame:
+def per_model_metrics(
+    probas: DataFrame, row: Sequence[str], models: Sequence[str], n_classes: int, y: str = "y"
+) -> DataFrame:
     """Log-loss, accuracy and macro AUC of every model and of their mean (model ``ensemble``)."""
-    mean = probas.groupBy(*row, "class", y).agg(F.avg("p").alias("p")).withColumn("model", F.lit("ensemble"))
-    both = probas.select(*row, "model", "class", y, "p").unionByName(mean.select(*row, "model", "class", y, "p"))
-    arrays = to_arrays(both, [*row, "model", y], n_classes)
+    wide = model_arrays(probas, row, models, n_classes, [y])
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("probs")) for m in [*models, "ensemble"]])
+    arrays = wide.select(y, F.explode(each).alias("m")).select(y, "m.*")
     return eval_multiclass(arrays, n_classes, ["model"], y).select(
         "model", "log_loss", "accuracy", "macro_auc_ovr"
     )
@@ -163,7 +173,7 @@ def balanced_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy()
     table = counts.select(y, (F.sum("_c").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_c"))).alias(out))
-    return df.join(table, y)
+    return df.join(small_side(table), y)
 
 
 def meta_features(probas: DataFrame, row: Sequence[str], n_classes: int, y: str | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,12 +14,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
-from barlab.operators.metrics import (
-    balanced_weights, eval_binary, eval_multiclass, eval_regression, ensemble_mean, meta_features, per_model_metrics,
-)
+from barlab.operators.metrics import balanced_weights, eval_binary, eval_multiclass, eval_regression, meta_features
 from barlab.operators.ranks import auc
 from barlab.operators.splits import early_stopping_carve
+from barlab.session import cut_lineage
 
 N_CLASSES = 3
 L1_GRID = (0.001, 0.01, 0.1)
@@ -44,6 +45,16 @@ def _trees(spec: ModelSpec, **extra) -> dict:
             **spec.params, **extra}
 
 
+@contextmanager
+def kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows held in memory, spilling to disk, while an iterative fit passes over them."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
 
@@ -78,7 +89,9 @@ def fit(train: DataFrame, spec: ModelSpec, order: Sequence[str] = ("ts",), keys:
         model = OneVsRest(classifier=GBTClassifier(**_trees(spec)), labelCol="y", featuresCol="features", parallelism=3)
     else:
         raise ValueError(f"unknown objective {spec.objective!r}")
-    return Pipeline(stages=[assembler(spec.features), model]).fit(train)
+    used = [*spec.features, "y", *([extra["validationIndicatorCol"]] if extra else [])]
+    with kept(train.select(*used)) as rows:
+        return Pipeline(stages=[assembler(spec.features), model]).fit(rows)
 
 
 def predict(model: PipelineModel, rows: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -133,7 +146,8 @@ def fit_ensemble(train: DataFrame, spec: ModelSpec, folds: int = 3) -> dict[str,
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     first = assembler(spec.features)
     stages = {"rf": [first, forest], "gbt": [first, boosted], "lr": [first, scale, tuned]}
-    return {name: Pipeline(stages=s).fit(weighted) for name, s in stages.items()}
+    with kept(weighted.select(*spec.features, "y", "weight")) as rows:
+        return {name: Pipeline(stages=s).fit(rows) for name, s in stages.items()}
 
 
 def predict_ensemble(models: Mapping[str, PipelineModel], rows: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -149,7 +163,7 @@ def predict_ensemble(models: Mapping[str, PipelineModel], rows: DataFrame, keep:
 def fit_meta_label(probas: DataFrame, row: Sequence[str], folds: int = 3, seed: int = 42) -> PipelineModel | None:
     """P(the ensemble is right) from its confidence, spread, disagreement and direction; None when the
     tail holds a single outcome (gating is then off)."""
-    table = meta_features(probas, row, N_CLASSES, "y")
+    table = cut_lineage(meta_features(probas, row, N_CLASSES, "y"))
     if table.select("meta_target").distinct().limit(2).count() < 2:
         return None
     names = ["confidence", "spread", "disagreement", *[f"direction_{c}" for c in range(N_CLASSES)]]
@@ -158,7 +172,8 @@ def fit_meta_label(probas: DataFrame, row: Sequence[str], folds: int = 3, seed:
         estimator=linear, estimatorParamMaps=ParamGridBuilder().addGrid(linear.regParam, list(L1_GRID)).build(),
         evaluator=BinaryClassificationEvaluator(labelCol="meta_target"), numFolds=folds, seed=seed, parallelism=3)
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    return Pipeline(stages=[assembler(names), scale, tuned]).fit(table)
+    with kept(table.select(*names, "meta_target")) as rows:
+        return Pipeline(stages=[assembler(names), scale, tuned]).fit(rows)
 
 
 def predict_pwin(meta: PipelineModel, probas: DataFrame, row: Sequence[str], y: str | None = "y") -> DataFrame:
@@ -180,7 +195,7 @@ def adversarial_auc(
     both = train.select(*row, *names).withColumn("y", F.lit(0.0)).unionByName(
         test.select(*row, *names).withColumn("y", F.lit(1.0)))
     folded = both.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(folds)).cast("int"))
-    ready = assembler(names).transform(folded).select("_fold", "y", "features").persist()
+    ready = cut_lineage(assembler(names).transform(folded).select("_fold", "y", "features"))
     scored = None
     for k in range(folds):
         model = GBTClassifier(labelCol="y", maxIter=max_iter, maxDepth=3, seed=seed).fit(ready.filter(F.col("_fold") != k))

@@ -52,9 +52,10 @@ def run_walk_forward(
 ) -> WalkForward:
     """``rows``: row key, ts, features, y. ``folds``: one fold table (a few rows).
 
-    Fold fits run one after another, each distributed; predictions are cut from the models' lineage by
+    The rows are written once and re-read by every fold. Fold fits run one after another, each distributed; predictions are cut from the models' lineage by
     a reliable checkpoint, so losing an executor does not refit anything.
     """
+    rows = cut_lineage(rows)
     guards = class_guard(rows, folds, spec.objective, (), ts)
     usable = [r.fold for r in guards.filter(F.col("skipped_reason").isNull()).select("fold").orderBy("fold").collect()]
     if not usable:
@@ -82,7 +83,7 @@ def run_walk_forward(
 
 def holdout(rows: DataFrame, spec: ModelSpec, val_fraction: float = 0.2, order: Sequence[str] = ("ts",)) -> tuple[PipelineModel, DataFrame]:
     """Chronological split, fit on the head, metrics of the tail at the serving interval."""
-    split = split_chronological(rows, val_fraction, (), order)
+    split = cut_lineage(split_chronological(rows, val_fraction, (), order))
     model = fit(split.filter("role = 'train'").drop("role"), spec, order)
     val = filter_serving_interval(split.filter("role = 'val'"), spec.interval)
     return model, evaluate(predict(model, val, spec), spec)
