@@ -75,7 +75,7 @@ def p17(spark, d):
 
 
 @query("w16_dedupe_keep_last", """
-    SELECT l_shipdate AS ts, l_linestatus AS symbol, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS value
+    SELECT l_shipdate AS ts, l_linestatus AS symbol, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS value
     FROM lineitem GROUP BY 1, 2""")
 def w16(spark, d):
     from barlab.sources.signals import latest_per_key
@@ -105,11 +105,11 @@ PLACED = """placed AS (
 
 
 @query("c09_fold_range_join", f"""WITH {SCORES_CTE}, {FOLDS_CTE}, {PLACED}
-    SELECT symbol, fold, role, count(*) AS n, round(avg(predicted), 6) AS mean_pred FROM placed GROUP BY 1, 2, 3""")
+    SELECT symbol, fold, role, count(*) AS n, round(avg(predicted), 9) AS mean_pred FROM placed GROUP BY 1, 2, 3""")
 def c09(spark, d):
     placed = fo.assign_folds(scores(spark, d), score_folds(spark, d), ["symbol"])
     return placed.groupBy("symbol", "fold", "role").agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.avg("predicted")).alias("mean_pred"))
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("predicted"), 9).alias("mean_pred"))
 
 
 def _guard_sql(y: str) -> str:

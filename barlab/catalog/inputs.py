@@ -221,7 +221,7 @@ DOCUMENT_SCORES_CTE = """dscores AS (
       FROM labels JOIN documents USING (doc_id))"""
 
 
-ROW_ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+ROW_ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def _raw_models() -> dict[str, tuple[Column, Column, Column]]:
@@ -265,7 +265,7 @@ def _model_sql(raw: tuple[str, str, str]) -> str:
 
 
 PROBABILITY_CTE = f"""proba AS (
-      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus AS symbol, l_shipdate AS ts,
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linestatus AS symbol, l_shipdate AS ts,
         CAST(year(l_shipdate) AS INTEGER) AS fold, l_tax, l_quantity,
         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y,
         {_model_sql(("1.0::DOUBLE + l_quantity / 10.0", "2.0::DOUBLE + l_tax * 10.0", "1.0::DOUBLE + l_extendedprice / 20000.0"))} AS m1,
@@ -280,7 +280,7 @@ PROBABILITY_CTE = f"""proba AS (
         CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM meanp)"""
 
 MODEL_LONG_CTE = """mlong AS (
-      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y, model, unnest([0, 1, 2]) AS class, unnest(ps) AS p
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, y, model, unnest([0, 1, 2]) AS class, unnest(ps) AS p
       FROM (SELECT *, 'm1' AS model, m1 AS ps FROM proba UNION ALL SELECT *, 'm2', m2 FROM proba
             UNION ALL SELECT *, 'm3', m3 FROM proba))"""
 
