@@ -67,7 +67,7 @@ def m02(spark, d):
 @query("m03_fit_ensemble")
 def m03(spark, d):
     rows = meta_split(vectors(spark, d, "multiclass"))
-    models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"))
+    models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"), folds=2)
     return per_model_metrics(mo.predict_ensemble(models, rows.filter("role = 'meta'"), ["vec_id", "y"]), ["vec_id"], list(models), mo.N_CLASSES)
 
 
@@ -75,9 +75,9 @@ def m03(spark, d):
 def m04(spark, d):
     """Primary models on the first 80 %, meta model on the rest, gating measured on that rest."""
     rows = meta_split(vectors(spark, d, "multiclass"))
-    models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"))
+    models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"), folds=2)
     probas = cut_lineage(mo.predict_ensemble(models, rows.filter("role = 'meta'"), ["vec_id", "y"]))
-    meta = mo.fit_meta_label(probas, ["vec_id"])
+    meta = mo.fit_meta_label(probas, ["vec_id"], folds=2)
     if meta is None:
         raise ValueError("meta rows hold a single outcome")
     return gating_metrics(mo.predict_pwin(meta, probas, ["vec_id"]), (), "direction")

@@ -137,7 +137,7 @@ def fit_ensemble(train: DataFrame, spec: ModelSpec, folds: int = 3) -> dict[str,
     forest = RandomForestClassifier(numTrees=20, maxDepth=5, seed=spec.seed, **common)
     boosted = OneVsRest(classifier=GBTClassifier(**_trees(spec)), labelCol="y", featuresCol="features",
                         weightCol="weight", parallelism=3)
-    linear = LogisticRegression(elasticNetParam=1.0, labelCol="y", weightCol="weight", featuresCol="scaled", maxIter=50)
+    linear = LogisticRegression(elasticNetParam=1.0, labelCol="y", weightCol="weight", featuresCol="scaled", maxIter=25)
     tuned = CrossValidator(
         estimator=linear, estimatorParamMaps=ParamGridBuilder().addGrid(linear.regParam, list(L1_GRID)).build(),
         evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="logLoss"), numFolds=folds, seed=spec.seed,
@@ -167,7 +167,7 @@ def fit_meta_label(probas: DataFrame, row: Sequence[str], folds: int = 3, seed:
     if table.select("meta_target").distinct().limit(2).count() < 2:
         return None
     names = ["confidence", "spread", "disagreement", *[f"direction_{c}" for c in range(N_CLASSES)]]
-    linear = LogisticRegression(elasticNetParam=1.0, labelCol="meta_target", featuresCol="scaled", maxIter=50)
+    linear = LogisticRegression(elasticNetParam=1.0, labelCol="meta_target", featuresCol="scaled", maxIter=25)
     tuned = CrossValidator(
         estimator=linear, estimatorParamMaps=ParamGridBuilder().addGrid(linear.regParam, list(L1_GRID)).build(),
         evaluator=BinaryClassificationEvaluator(labelCol="meta_target"), numFolds=folds, seed=seed, parallelism=3)
