@@ -318,7 +318,7 @@ def fold_metric_rows(spark, d):
     ).agg(
         F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("dd"), F.avg("l_tax").alias("t"),
     )
-    some = lambda c: F.when(F.col("n") > 1, F.round(c, 6))
+    some = lambda c: F.when(F.col("n") > 1, F.round(c, 9))
     values = F.array(*[F.struct(F.lit(m).alias("metric"), some(c).alias("value")) for m, c in (
         ("auc", F.col("q") / 50.0), ("log_loss", F.col("dd") * 10.0), ("accuracy", F.col("t") * 12.0))])
     return li.select("run_id", "fold", F.explode(values).alias("v")).select("run_id", "fold", "v.*")
@@ -326,14 +326,14 @@ def fold_metric_rows(spark, d):
 
 FOLD_ROWS_CTE = """fm AS (
       SELECT run_id, fold, unnest(['auc', 'log_loss', 'accuracy']) AS metric,
-             unnest([CASE WHEN n > 1 THEN round(q / 50.0, 6) END, CASE WHEN n > 1 THEN round(dd * 10.0, 6) END,
-                     CASE WHEN n > 1 THEN round(t * 12.0, 6) END]) AS value
+             unnest([CASE WHEN n > 1 THEN round(q / 50.0, 9) END, CASE WHEN n > 1 THEN round(dd * 10.0, 9) END,
+                     CASE WHEN n > 1 THEN round(t * 12.0, 9) END]) AS value
       FROM (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS run_id, CAST(year(l_shipdate) - 1995 AS INTEGER) AS fold, count(*) AS n,
                    avg(l_quantity) AS q, avg(l_discount) AS dd, avg(l_tax) AS t FROM lineitem GROUP BY 1, 2))"""
 
 FOLD_AGG_CTE = """fa AS (
-      SELECT run_id, count(*) AS n_folds_valid, round(avg(value), 6) AS primary_mean, round(median(value), 6) AS primary_median,
-        round(stddev_pop(value), 6) AS primary_std, CASE WHEN count(*) >= 2 THEN round(regr_slope(value, pos), 6) END AS trend_slope,
+      SELECT run_id, count(*) AS n_folds_valid, round(avg(value), 11) AS primary_mean, round(median(value), 11) AS primary_median,
+        round(stddev_pop(value), 9) AS primary_std, CASE WHEN count(*) >= 2 THEN round(regr_slope(value, pos), 10) END AS trend_slope,
         arg_max(fold, (value, -fold)) AS best_fold, max(value) AS best_value, arg_max(value, fold) AS last_value
       FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY fold) - 1 AS DOUBLE) AS pos FROM fm WHERE metric = 'auc' AND value IS NOT NULL)
       GROUP BY 1)"""
@@ -342,19 +342,20 @@ FOLD_AGG_CTE = """fa AS (
 @query("g39_fold_aggregate", f"WITH {FOLD_ROWS_CTE}, {FOLD_AGG_CTE} SELECT run_id, n_folds_valid, primary_mean, primary_median, primary_std, last_value FROM fa")
 def g39(spark, d):
     out = fo.fold_aggregate(fold_metric_rows(spark, d), "auc")
-    return out.select("run_id", "n_folds_valid", *[rounded(c).alias(c) for c in ("primary_mean", "primary_median", "primary_std")], "last_value")
+    return out.select("run_id", "n_folds_valid", rounded("primary_mean", 11).alias("primary_mean"), rounded("primary_median", 11).alias("primary_median"),
+                      rounded("primary_std", 9).alias("primary_std"), "last_value")
 
 
 @query("g39_metric_means", f"""WITH {FOLD_ROWS_CTE}
-    SELECT run_id, metric, round(avg(value), 6) AS mean_value, count(value) AS n_folds FROM fm
+    SELECT run_id, metric, round(avg(value), 11) AS mean_value, count(value) AS n_folds FROM fm
     WHERE (run_id, fold) IN (SELECT (run_id, fold) FROM fm WHERE metric = 'auc' AND value IS NOT NULL) GROUP BY 1, 2""")
 def g39_means(spark, d):
-    return fo.metric_means(fold_metric_rows(spark, d), "auc").select("run_id", "metric", rounded("mean_value").alias("mean_value"), "n_folds")
+    return fo.metric_means(fold_metric_rows(spark, d), "auc").select("run_id", "metric", rounded("mean_value", 11).alias("mean_value"), "n_folds")
 
 
 @query("g40_fold_trend_slope", f"WITH {FOLD_ROWS_CTE}, {FOLD_AGG_CTE} SELECT run_id, trend_slope FROM fa")
 def g40(spark, d):
-    return fo.fold_aggregate(fold_metric_rows(spark, d), "auc").select("run_id", rounded("trend_slope").alias("trend_slope"))
+    return fo.fold_aggregate(fold_metric_rows(spark, d), "auc").select("run_id", rounded("trend_slope", 10).alias("trend_slope"))
 
 
 @query("k06_best_fold", f"WITH {FOLD_ROWS_CTE}, {FOLD_AGG_CTE} SELECT run_id, best_fold, best_value FROM fa")

@@ -226,16 +226,17 @@ def s15(spark, d):
 def nested_runs(spark, d):
     """Runs with nested metrics built from the per-supplier fold rows."""
     rows = fold_metric_rows(spark, d)
-    agg = fo.fold_aggregate(rows, "auc").select("run_id", *[F.round(c, 6).alias(c) for c in ("primary_mean", "primary_median", "primary_std", "last_value")])
+    agg = fo.fold_aggregate(rows, "auc").select("run_id", F.round("primary_mean", 11).alias("primary_mean"), F.round("primary_median", 11).alias("primary_median"),
+                                                      F.round("primary_std", 9).alias("primary_std"), "last_value")
     means = fo.metric_means(rows, "auc").groupBy("run_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", F.round("mean_value", 6)))).alias("metric_means"))
+        F.map_from_entries(F.collect_list(F.struct("metric", F.round("mean_value", 11)))).alias("metric_means"))
     per_fold = rows.groupBy("run_id", "fold").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
     folds = per_fold.groupBy("run_id").agg(F.collect_list(F.struct("fold", "metrics")).alias("folds"))
     return agg.join(means, "run_id").join(folds, "run_id").withColumn("metrics", F.create_map(F.lit("auc"), F.col("last_value")))
 
 
 FLAT_SQL = f"""{FOLD_ROWS_CTE}, {FOLD_AGG_CTE}, mm AS (
-      SELECT run_id, metric, round(avg(value), 6) AS v FROM fm WHERE (run_id, fold) IN (SELECT (run_id, fold) FROM fm WHERE metric = 'auc' AND value IS NOT NULL) GROUP BY 1, 2),
+      SELECT run_id, metric, round(avg(value), 11) AS v FROM fm WHERE (run_id, fold) IN (SELECT (run_id, fold) FROM fm WHERE metric = 'auc' AND value IS NOT NULL) GROUP BY 1, 2),
     flat AS (
       SELECT run_id, 'auc' AS name, last_value AS value, CAST(NULL AS INTEGER) AS fold_idx FROM fa
       UNION ALL SELECT run_id, 'wf_primary_mean', primary_mean, NULL FROM fa UNION ALL SELECT run_id, 'wf_primary_median', primary_median, NULL FROM fa
@@ -326,8 +327,8 @@ def gate_runs(spark, d):
         F.when(F.col("objective") == "regression", "pearson_r").when(F.col("s_acctbal") > 9800, "rmse").otherwise("auc").alias("primary_metric"),
         F.when(F.col("s_acctbal") < 500, "FAIL").when(F.col("s_acctbal") < 4000, "WARN").when(F.col("s_acctbal") < 9900, "PASS").alias("integrity_verdict"),
         F.lit(7).alias("n_folds_configured"), F.lit(7).alias("n_folds_generated"), F.lit(7).alias("n_folds_run"), F.col("n_folds_valid"),
-        two(F.col("primary_mean") + F.lit(0.02)).alias("primary_mean"), two(F.col("primary_median") + F.lit(0.02)).alias("primary_median"),
-        two("primary_std").alias("primary_std"), "last_value", two(frac * 0.3).alias("ci_max_abs_diff"), two(frac * 0.4 + 0.4).alias("ci_lower_5"),
+        F.round(F.col("primary_mean") + F.lit(0.02), 11).alias("primary_mean"), F.round(F.col("primary_median") + F.lit(0.02), 11).alias("primary_median"),
+        F.round("primary_std", 9).alias("primary_std"), "last_value", two(frac * 0.3).alias("ci_max_abs_diff"), two(frac * 0.4 + 0.4).alias("ci_lower_5"),
         F.when(frac > 0.3, 1.0).otherwise(0.5).alias("realistic_profitable"), F.when(frac > 0.4, 1.0).otherwise(0.5).alias("conservative_profitable"),
         F.when(frac > 0.2, 1.0).otherwise(0.8).alias("regime_pass"), F.when(frac > 0.9, 0.2).otherwise(0.0).alias("regime_caveat"),
         F.when(frac > 0.25, 1.0).otherwise(0.0).alias("dsr_pass"), F.lit(1.0).alias("dsr_discount"),
@@ -337,7 +338,7 @@ def gate_runs(spark, d):
 GATE_RUNS_CTE = f"""{FOLD_ROWS_CTE}, {FOLD_AGG_CTE}, {RUNS_CTE}, gr AS (
       SELECT run_id, objective, purpose, CASE WHEN objective = 'regression' THEN 'pearson_r' WHEN s_acctbal > 9800 THEN 'rmse' ELSE 'auc' END AS pm,
         CASE WHEN s_acctbal < 500 THEN 'FAIL' WHEN s_acctbal < 4000 THEN 'WARN' WHEN s_acctbal < 9900 THEN 'PASS' END AS iv,
-        n_folds_valid AS nv, round(primary_mean + 0.02, 6) AS mean, round(primary_median + 0.02, 6) AS med, primary_std AS sd, last_value AS lv, frac,
+        n_folds_valid AS nv, round(primary_mean + 0.02, 11) AS mean, round(primary_median + 0.02, 11) AS med, primary_std AS sd, last_value AS lv, frac,
         round(frac * 0.3, 6) AS ci, round(frac * 0.4 + 0.4, 6) AS lo
       FROM (SELECT *, (s_acctbal - 10.0::DOUBLE * floor(s_acctbal / 10.0::DOUBLE)) / 10.0 AS frac FROM runs) JOIN fa USING (run_id)),
     six AS (SELECT * FROM gr WHERE NOT (objective = 'multiclass' OR purpose = 'directional')),

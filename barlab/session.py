@@ -39,7 +39,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        sc.setCheckpointDir(shared)
+        if shared.rstrip("/") not in (sc.getCheckpointDir() or ""):
+            sc.setCheckpointDir(shared)
     elif sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
