@@ -331,3 +331,31 @@ def p09(spark, d):
     parts = [event_bars(spark, d, i).select("interval") for i in ("15m", "1h", "4h")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(
         "interval", align.interval_indicator(F.col("interval")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u03_common_timestamps", f"""WITH {event_bars_cte()}
+    SELECT ts FROM bars WHERE symbol = 'click' INTERSECT SELECT ts FROM bars WHERE symbol = 'view'""")
+def u03(spark, d):
+    bars = event_bars(spark, d)
+    at = lambda s: bars.filter(F.col("symbol") == s).select(F.col("start_time").alias("ts"))
+    return at("click").intersect(at("view"))
+
+
+@query("u04_union_of_name_sets", """SELECT DISTINCT p_name AS feature_name FROM part WHERE p_size = 50
+    UNION SELECT DISTINCT p_name FROM part WHERE p_retailprice < 905""")
+def u04(spark, d):
+    p = table(spark, d, "part").select(F.col("p_name").alias("feature_name"), "p_size", "p_retailprice")
+    return p.filter("p_size = 50").select("feature_name").union(p.filter("p_retailprice < 905").select("feature_name")).distinct()
+
+
+@query("u01_stacked_coverage", f"""WITH {_stacked_sql()}, c AS (
+      SELECT feature_name, n_slots, n FROM (
+        SELECT count(*) AS n_slots, count(volume_zscore_24) AS volume_zscore_24, count(atr_14) AS atr_14, count(g_signup) AS g_signup,
+               count(log_return_24) AS log_return_24, count(y) AS y FROM pieces)
+      UNPIVOT (n FOR feature_name IN (volume_zscore_24, atr_14, g_signup, log_return_24, y)))
+    SELECT feature_name, CAST(n_slots AS BIGINT) AS n_slots, CAST(n AS BIGINT) AS n_non_null, round(n / n_slots, 4) AS pct_non_null FROM c""")
+def u01_coverage(spark, d):
+    h = event_bars(spark, d)
+    store = store_values(spark, d, h)
+    parts = [coverage(load_matrix(store, b, SPEC, i), SPEC) for i, b in (("1h", h), ("15m", event_bars(spark, d, "15m")))]
+    return align.sum_coverage(parts[0].unionByName(parts[1]))

@@ -19,6 +19,7 @@ TAKE_PROFIT, STOP_LOSS = 1.5, 1.0
 MIN_TRADES = 10
 P_THRESHOLD = 0.05
 MAX_FAILING = 1
+# Trend columns in order of preference.
 TREND_COLUMNS = ("btc_momentum_30d", "btc_log_return_7d", "btc_log_return_24h")
 
 
