@@ -86,7 +86,7 @@ def path(spark, highs, lows):
     """14 flat warm-up bars with true range 2, then the given bars, entry at the last flat bar."""
     rows = [("x", "1h", START + timedelta(hours=i), 100.0, 101.0, 99.0, 100.0, 1.0, 1) for i in range(15)]
     for j, (h, l) in enumerate(zip(highs, lows), 15):
-        rows.append(("x", "1h", START + timedelta(hours=j), 100.0, h, l, 100.0, 1.0, 1))
+        rows.append(("x", "1h", START + timedelta(hours=j), 100.0, float(h), float(l), 100.0, 1.0, 1))
     return spark.createDataFrame(rows, bars(spark, 1).schema)
 
 
