@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BLOCK_ROWS = 4096
@@ -61,7 +62,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         end = np.cumsum(size)
         start = 0
         while start < batch.num_rows:
@@ -74,7 +75,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column laid end to end (nulls: empty) and the offsets of its rows."""
-    column = pa.compute.fill_null(column, "")
+    column = pc.fill_null(column, "")
     column = pa.concat_arrays([column]) if column.offset else column
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.common import BLOCK_ROWS, binary_rows, slices
@@ -20,14 +21,15 @@ KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 POSTINGS = "block long, word binary, ords binary, freqs binary"
 
 
-def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header: Callable) -> DataFrame:
+def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header: Callable, tally: Callable | None = None) -> DataFrame:
     """``words_of(text) -> list`` over (doc columns..., text); rows with a null word are a block's header.
 
     ``header(batch) -> dict`` gives, for a block, one array per column of ``carry`` (name -> Spark type); it comes back
-    as array columns of the header row.
+    as array columns of the header row. ``tally(batch)`` marks documents; column ``tally`` is a word's frequency in
+    the marked ones of its block.
     """
     cols = ", ".join(f"{k} array<{v}>" for k, v in carry.items())
-    schema = f"{POSTINGS}, {cols}"
+    schema = f"{POSTINGS}, tally long, {cols}"
 
     def emit(batches):
         from pyspark import TaskContext
@@ -40,7 +42,7 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
             lists = [words_of(t) for t in batch.column("text").to_pylist()]
             lens = np.fromiter(map(len, lists), np.int64, n)
             head = header(batch, lists)
-            first = [pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())]
+            first = [pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([0])]
             first += [pa.array([list(head[c])], pa.list_(KINDS[v])) for c, v in carry.items()]
             yield pa.RecordBatch.from_arrays(first, names=names)
             if not lens.sum():
@@ -54,6 +56,8 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             freq = np.diff(np.append(at, len(key)))
             key = key[at]
+            marked = freq if tally is None else freq * tally(batch)[key % BLOCK_ROWS]
+            marked = np.bincount(key // BLOCK_ROWS, marked, len(coded.dictionary)).astype(np.int64)
             parts = (freq + 254) // 255  # a frequency over 255 takes several entries
             if parts.max() > 1:
                 rest = freq - 255 * (parts - 1)
@@ -62,13 +66,13 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
                 freq[last] = rest
             counts = np.bincount(key // BLOCK_ROWS, minlength=len(coded.dictionary))
             rows = [pa.array(np.full(len(counts), block)), coded.dictionary,
-                    binary_rows((key % BLOCK_ROWS).astype(np.uint16), counts), binary_rows(freq.astype(np.uint8), counts)]
+                    binary_rows((key % BLOCK_ROWS).astype(np.uint16), counts), binary_rows(freq.astype(np.uint8), counts), pa.array(marked)]
             rows += [pa.nulls(len(counts), pa.list_(KINDS[v])) for v in carry.values()]
             whole = pa.RecordBatch.from_arrays(rows, names=names)
             for s in range(0, whole.num_rows, 16384):
                 yield whole.slice(s, 16384)
 
-    names = ["block", "word", "ords", "freqs", *carry]
+    names = ["block", "word", "ords", "freqs", "tally", *carry]
     return docs.mapInArrow(emit, schema)
 
 
@@ -94,7 +98,7 @@ def weighted_sums(posted: DataFrame, values: DataFrame, value_cols: list[str], c
 
         for batch in batches:
             block = batch.column("block").to_numpy()
-            vals = [pa.compute.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).astype(float) for c in value_cols]
+            vals = [pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).astype(float) for c in value_cols]
             ords_col, freq_col = batch.column("ords"), batch.column("freqs")
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
             for i, s in enumerate(cuts):
@@ -105,7 +109,7 @@ def weighted_sums(posted: DataFrame, values: DataFrame, value_cols: list[str], c
                     now, acc = int(block[s]), np.zeros((len(value_cols), BLOCK_ROWS))
                 ords = np.frombuffer(b"".join(ords_col.slice(s, e - s).to_pylist()), np.uint16)
                 freq = np.frombuffer(b"".join(freq_col.slice(s, e - s).to_pylist()), np.uint8)
-                m = pa.compute.binary_length(freq_col.slice(s, e - s)).to_numpy()
+                m = pc.binary_length(freq_col.slice(s, e - s)).to_numpy()
                 for j, v in enumerate(vals):
                     acc[j] += np.bincount(ords, np.repeat(v[s:e], m) * freq, BLOCK_ROWS)
         if now is not None:

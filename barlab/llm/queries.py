@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barlab.llm.common import table
 from barlab.llm.exact_dedup import exact_groups
+from barlab.llm.lm_scoring import score_documents
 from barlab.llm.packing import pack_sequences
 from barlab.llm.secrets import scan_secrets
 from barlab.llm.token_counts import token_counts
@@ -52,3 +53,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """)
 def op9(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.common import slices, store
@@ -46,7 +47,7 @@ def candidates(docs: DataFrame, min_bits: float) -> DataFrame:
 
     def scan(batches):
         for batch in slices(batches):
-            maybe = pa.compute.fill_null(pa.compute.match_substring_regex(batch.column("text"), MAYBE), False).to_pylist()
+            maybe = pc.fill_null(pc.match_substring_regex(batch.column("text"), MAYBE), False).to_pylist()
             texts, rows = batch.column("text"), []
             for i, flag in enumerate(maybe):
                 found = []

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.common import slices, store
@@ -69,7 +70,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, special: li
     carry = {"doc_id": "long", "n_bytes": "long"}
 
     def head(batch, lists):
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
         return {"doc_id": batch.column("doc_id").to_pylist(), "n_bytes": size}
 
     split = pre_tokens(pattern, special)
