@@ -143,6 +143,6 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, classes: i
         "word", base.alias("base"), (F.col("c") > 0).cast("double").alias("known"),
         F.when(F.col("inside"), F.lit(0.0)).otherwise(base - F.lit(math.log10(rest))).alias("outside"))
     carry = carry | {"gru": "double"}
-    sums = weighted_sums(posted, values, ["base", "known", "outside"], carry, "double")
+    sums = weighted_sums(posted, ["base", "known", "outside"], carry, "double", values)
     return sums.select("doc_id", "held_out", "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
                        F.col("base").alias("base_score"), (F.col("gru") + F.col("outside")).alias("score"))

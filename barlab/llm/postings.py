@@ -15,9 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import BLOCK_ROWS, binary_rows, slices
+from barlab.llm.common import BLOCK_ROWS, binary_rows, scratch_partitions, slices
 
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+SALTS = 16
 POSTINGS = "block long, word binary, ords binary, freqs binary"
 
 
@@ -76,29 +77,36 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
     return docs.mapInArrow(emit, schema)
 
 
-def weighted_sums(posted: DataFrame, values: DataFrame, value_cols: list[str], carry: dict[str, str],
-                  kind: str = "double") -> DataFrame:
-    """One row per document: its header columns and, for each value column, sum(frequency * value of the word).
-
-    ``values`` has one row per word; words without a row count as 0. ``kind`` is the Arrow type the partial sums travel in
-    ('int' for counts, 'double' for logarithms).
-    """
-    dtype = {"int": np.int32, "double": np.float64}[kind]
-    sums = ", ".join(f"{c} binary" for c in value_cols)
+def _summing(value_cols: list[str], carry: dict[str, str], dtype, values_of: Callable | None):
+    """The map side of the sums, over rows sorted by block: one row per block met, with the documents that were hit."""
+    empty = len(carry)
 
     def partial(batches):
         acc, now = None, None
+        values = values_of() if values_of else None
 
         def flush():
             hit = np.flatnonzero(acc.any(axis=0))
             return pa.RecordBatch.from_arrays(
                 [pa.array([now]), pa.array([hit.astype(np.uint16).tobytes()])]
-                + [pa.array([acc[i, hit].astype(dtype).tobytes()]) for i in range(len(value_cols))],
-                names=["block", "ords", *value_cols])
+                + [pa.array([acc[i, hit].astype(dtype).tobytes()]) for i in range(len(value_cols))]
+                + [pa.nulls(1, pa.list_(KINDS[v])) for v in carry.values()],
+                names=["block", "ords", *value_cols, *carry])
 
         for batch in batches:
+            if empty:
+                is_head = pc.is_null(batch.column("ords"))
+                heads = batch.filter(is_head)
+                if heads.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [heads.column("block"), *[pa.nulls(heads.num_rows, pa.binary())] * (1 + len(value_cols)), *[heads.column(c) for c in carry]],
+                        names=["block", "ords", *value_cols, *carry])
+                batch = batch.filter(pc.invert(is_head))
             block = batch.column("block").to_numpy()
-            vals = [pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).astype(float) for c in value_cols]
+            if values:
+                vals = values(batch.column("word"))
+            else:
+                vals = [pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).astype(float) for c in value_cols]
             ords_col, freq_col = batch.column("ords"), batch.column("freqs")
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
             for i, s in enumerate(cuts):
@@ -115,14 +123,16 @@ def weighted_sums(posted: DataFrame, values: DataFrame, value_cols: list[str], c
         if now is not None:
             yield flush()
 
+    return partial
+
+
+def _finishing(value_cols: list[str], carry: dict[str, str], dtype):
+    """The reduce side: the header and the partial sums of one block."""
+
     def finish(key, group):
-        head, total = None, None
         ords, parts = group.column("ords").to_pylist(), [group.column(c).to_pylist() for c in value_cols]
-        for i, o in enumerate(ords):
-            if o is None:
-                head = [group.column(c)[i].as_py() for c in carry]
-        n = len(head[0])
-        total = np.zeros((len(value_cols), n))
+        head = next([group.column(c)[i].as_py() for c in carry] for i, o in enumerate(ords) if o is None)
+        total = np.zeros((len(value_cols), len(head[0])))
         for i, o in enumerate(ords):
             if o is not None:
                 at = np.frombuffer(o, np.uint16)
@@ -130,13 +140,31 @@ def weighted_sums(posted: DataFrame, values: DataFrame, value_cols: list[str], c
                     total[j, at] += np.frombuffer(parts[j][i], dtype)
         return pa.table([*(pa.array(h, KINDS[v]) for h, v in zip(head, carry.values())), *(pa.array(t) for t in total)], names=[*carry, *value_cols])
 
-    joined = (
-        posted.where("word is not null").select("block", "word", "ords", "freqs").join(values, "word", "left")
-        .select("block", "ords", "freqs", *value_cols).sortWithinPartitions("block")
-        .mapInArrow(partial, f"block long, ords binary, {sums}")
-    )
-    heads = posted.where("word is null").select(
-        "block", F.lit(None).cast("binary").alias("ords"), *[F.lit(None).cast("binary").alias(c) for c in value_cols], *carry)
-    joined = joined.select("*", *[F.lit(None).cast(f"array<{v}>").alias(c) for c, v in carry.items()])
+    return finish
+
+
+def weighted_sums(posted: DataFrame, value_cols: list[str], carry: dict[str, str], kind: str = "double", values: DataFrame | None = None,
+                  values_of: Callable | None = None) -> DataFrame:
+    """One row per document: its header columns and, for each value column, sum(frequency * value of the word).
+
+    The values come either from ``values``, a table with one row per word (words without a row count as 0), or from
+    ``values_of() -> (words -> one array per value column)``, made once per task after the postings were dealt by word, so
+    that all postings of a word meet in one task. There a word that a good part of a block's documents hold is dealt over
+    ``SALTS`` tasks. ``kind`` is the type the partial sums travel in ('int' for counts, 'double' for logarithms).
+    """
+    dtype = {"int": np.int32, "double": np.float64}[kind]
+    heads, lists = [f"{k} array<{v}>" for k, v in carry.items()], list(carry)
+    schema = ", ".join(["block long", "ords binary", *(f"{c} binary" for c in value_cols), *heads])
+    if values is not None:
+        joined = posted.where("word is not null").select("block", "word", "ords", "freqs").join(values, "word", "left")
+        dealt = joined.select("block", "ords", "freqs", *value_cols, *[F.lit(None).cast(f"array<{v}>").alias(k) for k, v in carry.items()])
+        tops = posted.where("word is null").select(
+            "block", F.lit(None).cast("binary").alias("ords"), *[F.lit(None).cast("binary").alias(c) for c in value_cols], *lists)
+    else:
+        salt = F.when(F.length("freqs") > BLOCK_ROWS // 16, F.pmod("block", F.lit(SALTS))).otherwise(F.lit(0))
+        key = F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("word", salt))
+        dealt = posted.select("block", "word", "ords", "freqs", *lists, key.alias("key")).repartition(scratch_partitions(posted), "key").drop("key")
+        tops = None
+    sums = dealt.sortWithinPartitions("block").mapInArrow(_summing(value_cols, carry, dtype, values_of), schema)
     out = ", ".join([*(f"{k} {v}" for k, v in carry.items()), *(f"{c} double" for c in value_cols)])
-    return heads.unionByName(joined).groupBy("block").applyInArrow(finish, out)
+    return (sums if tops is None else tops.unionByName(sums)).groupBy("block").applyInArrow(_finishing(value_cols, carry, dtype), out)

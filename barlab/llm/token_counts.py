@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import slices, store
 from barlab.llm.postings import postings, weighted_sums
 
 _RUN = re.compile(r"\s\s|\x00|[\x1c-\x1f]")
@@ -43,22 +43,28 @@ def pre_tokens(pattern: str, special: list[str]) -> Callable[[str | None], list[
     return split
 
 
-def piece_counts(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(word binary) -> (word, pieces): each distinct pre-token is encoded once, in the task that holds it."""
+def piece_counter(tokenizer_path: str) -> Callable:
+    """A task's table of distinct pre-tokens: each is encoded once, whatever number of blocks and documents hold it."""
 
-    def count(batches):
+    def start():
         from tokenizers import Tokenizer
 
         tk = Tokenizer.from_file(tokenizer_path)
         tk.no_truncation()
         tk.no_padding()
-        for batch in batches:
-            texts = batch.column("word").cast(pa.string()).to_pylist()
-            got = [len(e.ids) for s in range(0, len(texts), 4096)
-                   for e in tk.encode_batch(texts[s:s + 4096], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(got, pa.int64())], names=["word", "pieces"])
+        known: dict[bytes, int] = {}
 
-    return words.mapInArrow(count, "word binary, pieces long")
+        def pieces(words: pa.Array) -> list[np.ndarray]:
+            keys = words.to_pylist()
+            new = list({k for k in keys if k not in known})
+            for s in range(0, len(new), 4096):
+                part = new[s:s + 4096]
+                known.update(zip(part, (len(e.ids) for e in tk.encode_batch([k.decode() for k in part], add_special_tokens=False))))
+            return [np.fromiter((known[k] for k in keys), np.float64, len(keys))]
+
+        return pieces
+
+    return start
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, special: list[str], limit: int = 1024) -> DataFrame:
@@ -74,7 +80,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, special: li
         return {"doc_id": batch.column("doc_id").to_pylist(), "n_bytes": size}
 
     split = pre_tokens(pattern, special)
-    posted = store(postings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), split, carry, head), "posted")
-    pieces = piece_counts(posted.where("word is not null").select("word").distinct(), tokenizer_path)
-    sums = weighted_sums(posted, pieces, ["pieces"], carry, "int")
+    posted = postings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), split, carry, head)
+    sums = weighted_sums(posted, ["pieces"], carry, "int", values_of=piece_counter(tokenizer_path))
     return sums.select("doc_id", "n_bytes", F.col("pieces").cast("long").alias("n_tokens"), (F.col("pieces") > limit).alias("over_limit"))
