@@ -10,14 +10,9 @@ WORD_BITS = 64
 SEGMENT_WORDS = 256
 
 
-def seen_twice(hashes: DataFrame, filter_bits: int) -> DataFrame:
-    """First pass: (segment, words) of the filter bits that two or more rows set. ``hashes``: one long column ``h``.
-
-    The bits are counted with partial aggregation; the table has at most ``filter_bits`` bits whatever the input.
-    """
-    bit = F.pmod(F.col("h"), F.lit(filter_bits))
-    twice = hashes.groupBy(bit.alias("bit")).agg(F.count("*").alias("n")).where("n > 1")
-    words = twice.groupBy((F.col("bit") / WORD_BITS).cast("long").alias("w")).agg(
+def bit_segments(bits: DataFrame) -> DataFrame:
+    """(segment, words) of a bit filter from its set bits (column ``bit``, each once)."""
+    words = bits.groupBy((F.col("bit") / WORD_BITS).cast("long").alias("w")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(bit % {WORD_BITS} as int))")).alias("v"))
     segment = (F.col("w") / SEGMENT_WORDS).cast("long")
     return words.groupBy(segment.alias("segment")).agg(
@@ -25,6 +20,15 @@ def seen_twice(hashes: DataFrame, filter_bits: int) -> DataFrame:
     ).select("segment", F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_WORDS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("words"))
 
 
+def seen_twice(hashes: DataFrame, filter_bits: int) -> DataFrame:
+    """First pass: the filter bits that two or more rows set. ``hashes``: one long column ``h``.
+
+    The bits are counted with partial aggregation; the table has at most ``filter_bits`` bits whatever the input.
+    """
+    bit = F.pmod(F.col("h"), F.lit(filter_bits))
+    return bit_segments(hashes.groupBy(bit.alias("bit")).agg(F.count("*").alias("n")).where("n > 1").select("bit"))
+
+
 def may_repeat(df: DataFrame, segments: DataFrame, h: Column, filter_bits: int) -> DataFrame:
     """Second pass: ``df`` with ``repeats``, false only for rows whose hash occurs once. The filter is broadcast; its size
     is bounded by ``filter_bits`` / 8 bytes by construction."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barlab.llm.common import table
 from barlab.llm.exact_dedup import exact_groups
 from barlab.llm.lm_scoring import score_documents
+from barlab.llm.ngram_join import jaccard_components
 from barlab.llm.packing import pack_sequences
 from barlab.llm.secrets import scan_secrets
 from barlab.llm.token_counts import token_counts
@@ -30,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_ngram_jaccard_join")
+def op1(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op3_secret_scan")
 def op3(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
