@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.common import crc_share, slices, store, text_bytes, word_hashes
 from barlab.llm.gru import Gru
-from barlab.llm.postings import postings, weighted_sums
+from barlab.llm.postings import postings, weighted_sums, word_counts
 
 END = b""
 
@@ -64,14 +64,15 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, classes: i
         return ~batch.column("held_out").to_numpy(zero_copy_only=False)
 
     posted = store(postings(rows, words, carry, head, tally), "posted")
-    counts = store(posted.where("word is not null").groupBy("word").agg(F.sum("tally").alias("c")), "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    counts = store(word_counts(posted, size - 1), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n, norm = int(total.n), int(total.n) + int(total.v) + 1
-    top = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").limit(size - 2).collect()
-    end_count = counts.where(F.col("word") == F.lit(END)).first()
+    top = counts.select(F.explode("best").alias("b")).select("b.*").orderBy(F.desc("c"), "word").limit(size - 1).collect()
+    end_count = next((r.c for r in top if bytes(r.word) == END), 0)
+    top = [r for r in top if bytes(r.word) != END][:size - 2]
     vocab = [bytes(r.word) for r in top]
     mass = np.array([(r.c + 1) / norm for r in top])
-    end_mass = ((end_count.c if end_count else 0) + 1) / norm
+    end_mass = (end_count + 1) / norm
     rest = max(1 - mass.sum() - end_mass, 0.5 / norm)  # of all words outside the vocabulary, unseen ones included
 
     unigram = np.full(size, 1e-12)
@@ -134,15 +135,28 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, classes: i
             yield from flush()
 
     gru = rows.mapInArrow(score, "block long, ids array<long>, gru array<double>")
-    heads = posted.where("word is null").select("block", "word", "ords", "freqs", "tally", *carry).join(gru, "block", "left").withColumn(
+    heads = posted.where("payload is null").join(gru, "block", "left").withColumn(
         "gru", F.when(F.col("doc_id") == F.col("ids"), F.col("gru")).otherwise(F.raise_error(F.lit("the input's splits changed between two scans"))))
-    posted = posted.where("word is not null").withColumn("gru", F.lit(None).cast("array<double>")).unionByName(heads.drop("ids"))
-    known = F.broadcast(rows.sparkSession.createDataFrame([(w,) for w in [END, *vocab]], "word binary")).withColumn("inside", F.lit(True))
-    base = F.log10((F.col("c") + 1) / F.lit(float(norm)))
-    values = counts.join(known, "word", "left").select(
-        "word", base.alias("base"), (F.col("c") > 0).cast("double").alias("known"),
-        F.when(F.col("inside"), F.lit(0.0)).otherwise(base - F.lit(math.log10(rest))).alias("outside"))
-    carry = carry | {"gru": "double"}
-    sums = weighted_sums(posted, ["base", "known", "outside"], carry, "double", values)
+    lists = [F.lit(None).cast(f"array<{v}>").alias(c) for c, v in carry.items()]
+    loads = counts.select("block", "bucket", "payload", *lists, F.lit(None).cast("array<double>").alias("gru"))
+    whole = posted.where("payload is not null").withColumn("gru", F.lit(None).cast("array<double>")).unionByName(heads.drop("ids")).unionByName(loads)
+    inside = {END, *vocab}
+
+    class Values:
+        """The base logarithm of a word, whether it is known, and its logarithm within the mass outside the vocabulary."""
+
+        def __init__(self):
+            self.known: dict[bytes, int] = {}
+
+        def load(self, entries):
+            self.known.update(zip(entries.column("word").to_pylist(), entries.column("c").to_pylist()))
+
+        def __call__(self, words):
+            keys = words.to_pylist()
+            c = np.fromiter((self.known[k] for k in keys), np.float64, len(keys))
+            base = np.log10((c + 1) / norm)
+            return base, c > 0, np.where([k in inside for k in keys], 0.0, base - math.log10(rest))
+
+    sums = weighted_sums(whole, ["base", "known", "outside"], carry | {"gru": "double"}, Values)
     return sums.select("doc_id", "held_out", "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
                        F.col("base").alias("base_score"), (F.col("gru") + F.col("outside")).alias("score"))

@@ -1,9 +1,10 @@
-"""Per-document word frequencies as compact postings, joined to a table of word values.
+"""Per-document word frequencies as compact postings, summed against values of the words.
 
-A *block* is a run of rows of one input split. Within a block every distinct word is one row: the ordinals of the
-documents that hold it and how often. Against one row per (word, document) this shuffles a few bytes per pair. The values of
-words are joined to the postings by an ordinary join, which Spark may split where a word is frequent; the products come
-back summed per (block, document).
+A *block* is a run of rows of one input split. Within a block every distinct word has one entry: the ordinals of the
+documents that hold it and how often. The entries of a block are dealt to buckets by the word's hash and travel as one
+compressed Arrow batch per (block, bucket), so a (word, document) pair costs a few bytes. Where a bucket's payloads meet, each
+distinct word gets its value once; the products come back summed per (block, document). A word's entries in one bucket
+number at most one per block, and of all pairs a word can hold only one per document.
 """
 
 from __future__ import annotations
@@ -15,22 +16,48 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import BLOCK_ROWS, binary_rows, scratch_partitions, slices
+from barlab.llm.common import BLOCK_ROWS, U64, binary_rows, mix, scratch_partitions, slices
 
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-SALTS = 16
-POSTINGS = "block long, word binary, ords binary, freqs binary"
+#: A word in more than this share of a block's documents is dealt over several buckets, if the caller allows it.
+FREQUENT = 16
 
 
-def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header: Callable, tally: Callable | None = None) -> DataFrame:
-    """``words_of(text) -> list`` over (doc columns..., text); rows with a null word are a block's header.
+def binary_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the values of a binary column."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]].astype(U64) + U64(1) if data is not None else np.zeros(0, U64)
+    at -= at[0]
+    size = np.diff(at)
+    place = np.arange(len(raw)) - np.repeat(at[:-1], size)
+    raw *= (mix(np.arange(1, int(size.max(initial=0)) + 1, dtype=U64)) | U64(1))[place]
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(raw, dtype=U64)])
+    return mix(total[at[1:]] - total[at[:-1]])
 
-    ``header(batch) -> dict`` gives, for a block, one array per column of ``carry`` (name -> Spark type); it comes back
-    as array columns of the header row. ``tally(batch)`` marks documents; column ``tally`` is a word's frequency in
-    the marked ones of its block.
+
+def pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
+
+
+def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header: Callable, tally: Callable | None = None,
+             salts: int = 1) -> DataFrame:
+    """(block, bucket, payload) for the words ``words_of(text) -> list``, and one header row per block with a null payload.
+
+    ``header(batch, lists) -> dict`` gives one list per column of ``carry`` (name -> Spark type), an array column of the
+    header row. ``tally(batch)`` marks documents; a payload's ``tally`` is the word's frequency in the marked ones. The payloads
+    hold word, ords (uint16) and freqs (uint8); a frequency over 255 takes several entries.
     """
-    cols = ", ".join(f"{k} array<{v}>" for k, v in carry.items())
-    schema = f"{POSTINGS}, tally long, {cols}"
+    buckets = scratch_partitions(docs)
+    schema = ", ".join(["block long", "bucket long", "payload binary", *(f"{k} array<{v}>" for k, v in carry.items())])
+    names = ["block", "bucket", "payload", *carry]
 
     def emit(batches):
         from pyspark import TaskContext
@@ -43,92 +70,95 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
             lists = [words_of(t) for t in batch.column("text").to_pylist()]
             lens = np.fromiter(map(len, lists), np.int64, n)
             head = header(batch, lists)
-            first = [pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([0])]
-            first += [pa.array([list(head[c])], pa.list_(KINDS[v])) for c, v in carry.items()]
-            yield pa.RecordBatch.from_arrays(first, names=names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([block % buckets]), pa.array([None], pa.binary()), *(pa.array([list(head[c])], pa.list_(KINDS[v])) for c, v in carry.items())],
+                names=names)
             if not lens.sum():
                 continue
-            flat = pa.array([w for ws in lists for w in ws])
-            flat = flat.cast(pa.binary()) if not pa.types.is_binary(flat.type) else flat
-            coded = flat.dictionary_encode()
+            coded = pa.array([w for ws in lists for w in ws])
+            coded = coded.dictionary_encode()
             del lists
+            words = coded.dictionary.cast(pa.binary())
             key = coded.indices.to_numpy().astype(np.int64) * BLOCK_ROWS + np.repeat(np.arange(n), lens)
             key.sort()
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             freq = np.diff(np.append(at, len(key)))
             key = key[at]
             marked = freq if tally is None else freq * tally(batch)[key % BLOCK_ROWS]
-            marked = np.bincount(key // BLOCK_ROWS, marked, len(coded.dictionary)).astype(np.int64)
-            parts = (freq + 254) // 255  # a frequency over 255 takes several entries
+            marked = np.bincount(key // BLOCK_ROWS, marked, len(words)).astype(np.int64)
+            parts = (freq + 254) // 255
             if parts.max() > 1:
                 rest = freq - 255 * (parts - 1)
                 key, last = np.repeat(key, parts), np.cumsum(parts) - 1
                 freq = np.full(len(key), 255)
                 freq[last] = rest
-            counts = np.bincount(key // BLOCK_ROWS, minlength=len(coded.dictionary))
-            rows = [pa.array(np.full(len(counts), block)), coded.dictionary,
-                    binary_rows((key % BLOCK_ROWS).astype(np.uint16), counts), binary_rows(freq.astype(np.uint8), counts), pa.array(marked)]
-            rows += [pa.nulls(len(counts), pa.list_(KINDS[v])) for v in carry.values()]
-            whole = pa.RecordBatch.from_arrays(rows, names=names)
-            for s in range(0, whole.num_rows, 16384):
-                yield whole.slice(s, 16384)
-
-    names = ["block", "word", "ords", "freqs", "tally", *carry]
+            counts = np.bincount(key // BLOCK_ROWS, minlength=len(words))
+            cols = [words, binary_rows((key % BLOCK_ROWS).astype(np.uint16), counts), binary_rows(freq.astype(np.uint8), counts)]
+            whole = pa.RecordBatch.from_arrays([*cols, *([pa.array(marked)] if tally else [])], names=["word", "ords", "freqs", *(["tally"] if tally else [])])
+            hashes = binary_hashes(words)
+            if salts > 1:
+                hashes = np.where(counts * FREQUENT > n, mix(hashes + U64(block % salts)), hashes)
+            bucket = (hashes % U64(buckets)).astype(np.int64)
+            order = pc.sort_indices(pa.table({"b": pa.array(bucket), "w": words}), sort_keys=[("b", "ascending"), ("w", "ascending")])
+            whole, bucket = whole.take(order), bucket[order.to_numpy()]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+            payload = [pack(whole.slice(s, e - s)) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(payload), block)), pa.array(bucket[cuts[:-1]]), pa.array(payload, pa.binary()), *(pa.nulls(len(payload), pa.list_(KINDS[v])) for v in carry.values())],
+                names=names)
+
     return docs.mapInArrow(emit, schema)
 
 
-def _summing(value_cols: list[str], carry: dict[str, str], dtype, values_of: Callable | None):
-    """The map side of the sums, over rows sorted by block: one row per block met, with the documents that were hit."""
-    empty = len(carry)
+def dealt(posted: DataFrame) -> DataFrame:
+    """The payloads of a bucket in one task, block after block; block -1, if there is one, comes first."""
+    return posted.repartition(scratch_partitions(posted), "bucket").sortWithinPartitions("block")
+
+
+def weighted_sums(posted: DataFrame, value_cols: list[str], carry: dict[str, str], values_of: Callable, kind: str = "double") -> DataFrame:
+    """One row per document: its header columns and, for each value column, sum(frequency * value of the word).
+
+    ``values_of()`` is called once per task and gives a function (words) -> one array per value column; payloads of
+    block -1 are handed to its attribute ``load`` first. ``kind`` is the type in which partial sums travel ('int' for counts,
+    'double' for logarithms).
+    """
+    dtype = {"int": np.int32, "double": np.float64}[kind]
+    schema = ", ".join(["block long", "ords binary", *(f"{c} binary" for c in value_cols), *(f"{k} array<{v}>" for k, v in carry.items())])
+    names = ["block", "ords", *value_cols, *carry]
 
     def partial(batches):
-        acc, now = None, None
-        values = values_of() if values_of else None
+        acc, now, values = None, None, values_of()
 
         def flush():
             hit = np.flatnonzero(acc.any(axis=0))
             return pa.RecordBatch.from_arrays(
-                [pa.array([now]), pa.array([hit.astype(np.uint16).tobytes()])]
-                + [pa.array([acc[i, hit].astype(dtype).tobytes()]) for i in range(len(value_cols))]
-                + [pa.nulls(1, pa.list_(KINDS[v])) for v in carry.values()],
-                names=["block", "ords", *value_cols, *carry])
+                [pa.array([now]), pa.array([hit.astype(np.uint16).tobytes()]), *(pa.array([acc[i, hit].astype(dtype).tobytes()]) for i in range(len(value_cols))),
+                 *(pa.nulls(1, pa.list_(KINDS[v])) for v in carry.values())], names=names)
 
         for batch in batches:
-            if empty:
-                is_head = pc.is_null(batch.column("ords"))
-                heads = batch.filter(is_head)
-                if heads.num_rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [heads.column("block"), *[pa.nulls(heads.num_rows, pa.binary())] * (1 + len(value_cols)), *[heads.column(c) for c in carry]],
-                        names=["block", "ords", *value_cols, *carry])
-                batch = batch.filter(pc.invert(is_head))
-            block = batch.column("block").to_numpy()
-            if values:
-                vals = values(batch.column("word"))
-            else:
-                vals = [pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).astype(float) for c in value_cols]
-            ords_col, freq_col = batch.column("ords"), batch.column("freqs")
-            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-            for i, s in enumerate(cuts):
-                e = cuts[i + 1] if i + 1 < len(cuts) else len(block)
-                if now != block[s]:
+            is_head = pc.is_null(batch.column("payload"))
+            heads = batch.filter(is_head)
+            if heads.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [heads.column("block"), *[pa.nulls(heads.num_rows, pa.binary())] * (1 + len(value_cols)), *(heads.column(c) for c in carry)], names=names)
+            batch = batch.filter(pc.invert(is_head))
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                entries = unpack(payload.as_buffer())
+                if block < 0:
+                    values.load(entries)
+                    continue
+                if now != block:
                     if now is not None:
                         yield flush()
-                    now, acc = int(block[s]), np.zeros((len(value_cols), BLOCK_ROWS))
-                ords = np.frombuffer(b"".join(ords_col.slice(s, e - s).to_pylist()), np.uint16)
-                freq = np.frombuffer(b"".join(freq_col.slice(s, e - s).to_pylist()), np.uint8)
-                m = pc.binary_length(freq_col.slice(s, e - s)).to_numpy()
-                for j, v in enumerate(vals):
-                    acc[j] += np.bincount(ords, np.repeat(v[s:e], m) * freq, BLOCK_ROWS)
+                    now, acc = block, np.zeros((len(value_cols), BLOCK_ROWS))
+                ords = np.frombuffer(b"".join(entries.column("ords").to_pylist()), np.uint16)
+                freq = np.frombuffer(b"".join(entries.column("freqs").to_pylist()), np.uint8)
+                m = pc.binary_length(entries.column("freqs")).to_numpy()
+                for j, v in enumerate(values(entries.column("word").combine_chunks())):
+                    acc[j] += np.bincount(ords, np.repeat(v, m) * freq, BLOCK_ROWS)
         if now is not None:
             yield flush()
 
-    return partial
-
-
-def _finishing(value_cols: list[str], carry: dict[str, str], dtype):
-    """The reduce side: the header and the partial sums of one block."""
-
     def finish(key, group):
         ords, parts = group.column("ords").to_pylist(), [group.column(c).to_pylist() for c in value_cols]
         head = next([group.column(c)[i].as_py() for c in carry] for i, o in enumerate(ords) if o is None)
@@ -140,31 +170,32 @@ def _finishing(value_cols: list[str], carry: dict[str, str], dtype):
                     total[j, at] += np.frombuffer(parts[j][i], dtype)
         return pa.table([*(pa.array(h, KINDS[v]) for h, v in zip(head, carry.values())), *(pa.array(t) for t in total)], names=[*carry, *value_cols])
 
-    return finish
+    out = ", ".join([*(f"{k} {v}" for k, v in carry.items()), *(f"{c} double" for c in value_cols)])
+    return dealt(posted).mapInArrow(partial, schema).groupBy("block").applyInArrow(finish, out)
 
 
-def weighted_sums(posted: DataFrame, value_cols: list[str], carry: dict[str, str], kind: str = "double", values: DataFrame | None = None,
-                  values_of: Callable | None = None) -> DataFrame:
-    """One row per document: its header columns and, for each value column, sum(frequency * value of the word).
+def word_counts(posted: DataFrame, top: int) -> DataFrame:
+    """Per task: (bucket, block -1, payload of word and c, n = sum of c, v = words with c > 0, best = the ``top`` most
+    frequent words) from the tallies of ``posted``. A task holds the distinct words of its buckets."""
 
-    The values come either from ``values``, a table with one row per word (words without a row count as 0), or from
-    ``values_of() -> (words -> one array per value column)``, made once per task after the postings were dealt by word, so
-    that all postings of a word meet in one task. There a word that a good part of a block's documents hold is dealt over
-    ``SALTS`` tasks. ``kind`` is the type the partial sums travel in ('int' for counts, 'double' for logarithms).
-    """
-    dtype = {"int": np.int32, "double": np.float64}[kind]
-    heads, lists = [f"{k} array<{v}>" for k, v in carry.items()], list(carry)
-    schema = ", ".join(["block long", "ords binary", *(f"{c} binary" for c in value_cols), *heads])
-    if values is not None:
-        joined = posted.where("word is not null").select("block", "word", "ords", "freqs").join(values, "word", "left")
-        dealt = joined.select("block", "ords", "freqs", *value_cols, *[F.lit(None).cast(f"array<{v}>").alias(k) for k, v in carry.items()])
-        tops = posted.where("word is null").select(
-            "block", F.lit(None).cast("binary").alias("ords"), *[F.lit(None).cast("binary").alias(c) for c in value_cols], *lists)
-    else:
-        salt = F.when(F.length("freqs") > BLOCK_ROWS // 16, F.pmod("block", F.lit(SALTS))).otherwise(F.lit(0))
-        key = F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("word", salt))
-        dealt = posted.select("block", "word", "ords", "freqs", *lists, key.alias("key")).repartition(scratch_partitions(posted), "key").drop("key")
-        tops = None
-    sums = dealt.sortWithinPartitions("block").mapInArrow(_summing(value_cols, carry, dtype, values_of), schema)
-    out = ", ".join([*(f"{k} {v}" for k, v in carry.items()), *(f"{c} double" for c in value_cols)])
-    return (sums if tops is None else tops.unionByName(sums)).groupBy("block").applyInArrow(_finishing(value_cols, carry, dtype), out)
+    def count(batches):
+        held: dict[int, dict[bytes, int]] = {}
+        for batch in batches:
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+                entries = unpack(payload.as_buffer())
+                counts = held.setdefault(bucket, {})
+                for w, c in zip(entries.column("word").to_pylist(), entries.column("tally").to_pylist()):
+                    counts[w] = counts.get(w, 0) + c
+        for bucket, counts in held.items():
+            words, c = pa.array(list(counts), pa.binary()), np.fromiter(counts.values(), np.int64, len(counts))
+            seen = [(-k, w) for w, k in counts.items() if k]
+            import heapq
+
+            best = [{"word": w, "c": -k} for k, w in heapq.nsmallest(top, seen)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-1]), pa.array([bucket]), pa.array([pack(pa.RecordBatch.from_arrays([words, pa.array(c)], names=["word", "c"]))]),
+                 pa.array([int(c.sum())]), pa.array([int((c > 0).sum())]), pa.array([best], pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())])))],
+                names=["block", "bucket", "payload", "n", "v", "best"])
+
+    return dealt(posted.where("payload is not null").select("block", "bucket", "payload")).mapInArrow(
+        count, "block long, bucket long, payload binary, n long, v long, best array<struct<word:binary,c:long>>")

@@ -80,6 +80,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, special: li
         return {"doc_id": batch.column("doc_id").to_pylist(), "n_bytes": size}
 
     split = pre_tokens(pattern, special)
-    posted = postings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), split, carry, head)
-    sums = weighted_sums(posted, ["pieces"], carry, "int", values_of=piece_counter(tokenizer_path))
+    posted = postings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), split, carry, head, salts=16)
+    sums = weighted_sums(posted, ["pieces"], carry, piece_counter(tokenizer_path), "int")
     return sums.select("doc_id", "n_bytes", F.col("pieces").cast("long").alias("n_tokens"), (F.col("pieces") > limit).alias("over_limit"))
