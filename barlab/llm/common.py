@@ -101,8 +101,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of every row, the words before each row, and their first bytes.
+def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of every row, the words before each row, and their first bytes.
+
+    Words are runs of bytes outside ``space``, by default ``[^\\x20\\x09-\\x0D]+``, with A-Z lower-cased; with ``prefix`` only that
+    many bytes of a word count.
 
     Each byte is multiplied by a random odd number of its place in the word and the products are summed, so equal
     words get equal hashes whatever row or position they stand in.
@@ -110,7 +113,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np
     n = len(raw)
     if n == 0:
         return np.zeros(0, U64), np.zeros(len(at), np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = at[:-1][at[:-1] < n]
@@ -125,7 +128,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np
     weights = mix(np.arange(1, longest + 1, dtype=U64)) | U64(1)
     value = (_LOWER[raw] if lower else raw).astype(U64) + U64(1)
     value *= weights[np.where(inside, place, 0)]
-    value[~inside] = 0
+    value[~inside if prefix is None else ~inside | (place >= prefix)] = 0
     return mix(np.add.reduceat(value, starts)), before, starts
 
 

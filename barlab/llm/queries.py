@@ -10,6 +10,7 @@ from barlab.llm.exact_dedup import exact_groups
 from barlab.llm.lm_scoring import score_documents
 from barlab.llm.ngram_join import jaccard_components
 from barlab.llm.packing import pack_sequences
+from barlab.llm.quality import importance_resample
 from barlab.llm.secrets import scan_secrets
 from barlab.llm.token_counts import token_counts
 
@@ -36,6 +37,11 @@ def op1(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query("op2_importance_resampling")
+def op2(spark, sf_dir):
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "__quality.*")
+
+
 @query("op3_secret_scan")
 def op3(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
