@@ -13,6 +13,7 @@ from barlab.llm.packing import pack_sequences
 from barlab.llm.quality import importance_resample
 from barlab.llm.secrets import scan_secrets
 from barlab.llm.token_counts import token_counts
+from barlab.llm.toxicity import score_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +54,11 @@ def op4(spark, sf_dir):
                         ["<|endoftext|>"])
 
 
+@query("op5_toxic_segments")
+def op5(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_cost_balanced_packing")
 def op8(spark, sf_dir):
     return pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
