@@ -12,6 +12,7 @@ from barlab.llm.ngram_join import jaccard_components
 from barlab.llm.packing import pack_sequences
 from barlab.llm.quality import importance_resample
 from barlab.llm.secrets import scan_secrets
+from barlab.llm.suffix_dedup import remove_copies
 from barlab.llm.token_counts import token_counts
 from barlab.llm.toxicity import score_toxicity
 
@@ -59,6 +60,11 @@ def op5(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return remove_copies(table(spark, sf_dir, "documents"))
+
+
 @query("op8_cost_balanced_packing")
 def op8(spark, sf_dir):
     return pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
