@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BLOCK_ROWS = 4096
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 U64 = np.uint64
 
 

@@ -57,8 +57,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, classes: i
                        (crc_share("doc_id", modulus) == held).alias("held_out"))
     carry = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long"}
 
-    def head(batch, lists):
-        return {"doc_id": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(), "n_tokens": list(map(len, lists))}
+    def head(batch, lens):
+        return {"doc_id": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(), "n_tokens": lens.tolist()}
 
     def tally(batch):
         return ~batch.column("held_out").to_numpy(zero_copy_only=False)

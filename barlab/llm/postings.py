@@ -21,6 +21,7 @@ from barlab.llm.common import BLOCK_ROWS, U64, binary_rows, mix, scratch_partiti
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 #: A word in more than this share of a block's documents is dealt over several buckets, if the caller allows it.
 FREQUENT = 16
+CHUNK_ROWS = 128
 
 
 def binary_hashes(words: pa.Array) -> np.ndarray:
@@ -48,10 +49,10 @@ def unpack(payload: bytes) -> pa.Table:
 
 
 def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header: Callable, tally: Callable | None = None,
-             salts: int = 1) -> DataFrame:
-    """(block, bucket, payload) for the words ``words_of(text) -> list``, and one header row per block with a null payload.
+             salts: int = 1, kind: pa.DataType = pa.binary()) -> DataFrame:
+    """(block, bucket, payload) for the words ``words_of(text) -> list`` (of values of ``kind``), and one header row per block with a null payload.
 
-    ``header(batch, lists) -> dict`` gives one list per column of ``carry`` (name -> Spark type), an array column of the
+    ``header(batch, words per row) -> dict`` gives one list per column of ``carry`` (name -> Spark type), an array column of the
     header row. ``tally(batch)`` marks documents; a payload's ``tally`` is the word's frequency in the marked ones. The payloads
     hold word, ords (uint16) and freqs (uint8); a frequency over 255 takes several entries.
     """
@@ -67,17 +68,20 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
             block = (part << 32) | k
             k += 1
             n = batch.num_rows
-            lists = [words_of(t) for t in batch.column("text").to_pylist()]
-            lens = np.fromiter(map(len, lists), np.int64, n)
-            head = header(batch, lists)
+            lens, parts = np.zeros(n, np.int64), []
+            for s in range(0, n, CHUNK_ROWS):  # few texts exist as lists of words at a time
+                lists = [words_of(t) for t in batch.column("text").slice(s, CHUNK_ROWS).to_pylist()]
+                lens[s:s + len(lists)] = [len(ws) for ws in lists]
+                parts.append(pa.array([w for ws in lists for w in ws], kind))
+            lists = None
+            head = header(batch, lens)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([block % buckets]), pa.array([None], pa.binary()), *(pa.array([list(head[c])], pa.list_(KINDS[v])) for c, v in carry.items())],
                 names=names)
             if not lens.sum():
                 continue
-            coded = pa.array([w for ws in lists for w in ws])
-            coded = coded.dictionary_encode()
-            del lists
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            del parts
             words = coded.dictionary.cast(pa.binary())
             key = coded.indices.to_numpy().astype(np.int64) * BLOCK_ROWS + np.repeat(np.arange(n), lens)
             key.sort()

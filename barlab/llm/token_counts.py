@@ -75,11 +75,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, special: li
     """
     carry = {"doc_id": "long", "n_bytes": "long"}
 
-    def head(batch, lists):
+    def head(batch, lens):
         size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
         return {"doc_id": batch.column("doc_id").to_pylist(), "n_bytes": size}
 
     split = pre_tokens(pattern, special)
-    posted = postings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), split, carry, head, salts=16)
+    posted = postings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), split, carry, head, salts=16, kind=pa.string())
     sums = weighted_sums(posted, ["pieces"], carry, piece_counter(tokenizer_path), "int")
     return sums.select("doc_id", "n_bytes", F.col("pieces").cast("long").alias("n_tokens"), (F.col("pieces") > limit).alias("over_limit"))
