@@ -99,6 +99,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A coarser split: words are letters, digits and all bytes of non-ASCII characters; everything else separates.
+APART = np.ones(256, bool)
+APART[48:58] = APART[65:91] = APART[97:123] = APART[128:] = False
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -41,6 +41,17 @@ def may_repeat(df: DataFrame, segments: DataFrame, h: Column, filter_bits: int)
     return joined.withColumn("repeats", F.coalesce(hit, F.lit(False))).drop("__segment", "__k", "__b", "__words")
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, filter_bits: int = 1 << 24) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone`` (distinct doc_id). Rows that a bit filter of the ids clears pass
+    straight through; only the others, whose texts then travel, meet the ids in a join. Null ids stay."""
+    h = F.xxhash64(F.col("doc_id").cast("long"))
+    gone = store(gone.where("doc_id is not null"), "gone")
+    segments = bit_segments(gone.select(F.pmod(F.xxhash64("doc_id"), F.lit(filter_bits)).alias("bit")).distinct())
+    flagged = may_repeat(docs, segments, h, filter_bits)
+    maybe = flagged.where("repeats").drop("repeats")
+    return flagged.where("not repeats").drop("repeats").unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+
+
 def exact_groups(docs: DataFrame, filter_bits: int = 1 << 27) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs`` (doc_id, text; other columns ignored).
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.common import U64, components, mix, scratch_partitions, slices, store, text_bytes, word_hashes
-from barlab.llm.exact_dedup import bit_segments, may_repeat
+from barlab.llm.exact_dedup import bit_segments, may_repeat, without_ids
 
 #: Members of one block of a key group that is compared in place; larger groups are compared block against block.
 GROUP_BLOCK = 1024
@@ -312,4 +312,4 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
 def drop_near_copies(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """``docs`` with one document of each group of linked ones, that of the smallest doc_id; unlinked rows and null ids stay."""
     gone = jaccard_components(docs, shingle, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, gone)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barlab.llm.common import table
+from barlab.llm.decontaminate import contaminated_pairs
 from barlab.llm.exact_dedup import exact_groups
 from barlab.llm.lm_scoring import score_documents
 from barlab.llm.ngram_join import jaccard_components
@@ -60,6 +61,11 @@ def op5(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_latent_decontamination")
+def op6(spark, sf_dir):
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     return remove_copies(table(spark, sf_dir, "documents"))

@@ -8,12 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import U64, crc_share, mix, slices, store, text_bytes, word_hashes
+from barlab.llm.common import APART, U64, crc_share, mix, slices, store, text_bytes, word_hashes
 from barlab.llm.quality import bounded_labels, logistic
 
-#: Token bytes are letters, digits and all bytes of non-ASCII characters; everything else separates.
-_APART = np.ones(256, bool)
-_APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
 #: Views of a token: the whole token and its first bytes, so that an unseen form of a known stem has a score.
 VIEWS = (None, 4, 5, 6, 7)
 #: Score of a token that is not listed: what a passage loses by each.
@@ -25,7 +22,7 @@ def views(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     raw, at = text_bytes(column)
     out = []
     for k, prefix in enumerate(VIEWS):
-        h, before, _ = word_hashes(raw, at, space=_APART, prefix=prefix)
+        h, before, _ = word_hashes(raw, at, space=APART, prefix=prefix)
         out.append(mix(h + U64(k)))
     return out, before
 
