@@ -100,7 +100,7 @@ class Gru:
                 ds[at] += dw @ p["ww"][c].T
         return (out, g, ds) if grad else out
 
-    def train(self, docs: list[np.ndarray], lanes: int = 64, window: int = 32, rate: float = 0.004) -> Gru:
+    def train(self, docs: list[np.ndarray], lanes: int = 16, window: int = 32, rate: float = 0.02) -> Gru:
         """One pass of Adam over the documents, backpropagation cut at ``window`` steps, states carried on."""
         stream = np.concatenate(docs)
         lanes = max(1, min(lanes, len(stream) // (4 * window)))
