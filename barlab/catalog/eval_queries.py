@@ -267,20 +267,22 @@ def g09(spark, d):
 
 FOLD_METRICS_SQL = f"""{SCORES_CTE}, {FOLDS_CTE}, tst AS (
       SELECT s.*, f.fold FROM scores s JOIN folds f ON s.symbol = f.symbol AND s.ts >= f.test_start AND s.ts < f.test_end),
-    own AS (SELECT symbol, fold, round(avg(l_discount) * 10, 6) AS own_auc FROM tst GROUP BY 1, 2)"""
+    {auc_sql('tst', 'symbol, fold', 'l_discount', 'actual >= 0.5', 'own_aucs')},
+    own AS (SELECT symbol, fold, round(auc, 6) AS own_auc FROM own_aucs)"""
 
 
 def _own(spark, d, folds):
     placed = fo.assign_folds(scores(spark, d), folds, ["symbol"], roles=("test",))
-    return placed.groupBy("symbol", "fold").agg(rounded(F.avg("l_discount") * 10).alias("own_auc"))
+    own = auc(placed, ["symbol", "fold"], "l_discount", F.col("actual") >= 0.5)
+    return own.select("symbol", "fold", rounded("auc").alias("own_auc"))
 
 
 @query("g10_per_fold_saved_vs_own", f"""WITH {FOLD_METRICS_SQL}, {auc_sql('tst', 'symbol, fold', 'predicted', 'actual >= 0.5')},
       cnt AS (SELECT symbol, fold, count(*) AS n FROM tst GROUP BY 1, 2),
       ends AS (SELECT symbol, max(fold) AS last, arg_max(train_end, fold) AS saved_end FROM folds GROUP BY 1)
     SELECT f.symbol, f.fold, coalesce(n, 0) AS n, round(auc, 6) AS saved_auc, own_auc,
-      CASE WHEN test_end <= saved_end THEN 'inside saved model train' WHEN f.fold = last THEN 'last fold, out of sample'
-           ELSE 'partial overlap with saved model train' END AS note
+      CASE WHEN test_end <= saved_end THEN 'inside_train' WHEN f.fold = last THEN 'last_fold'
+           ELSE 'overlap' END AS note
     FROM folds f JOIN ends USING (symbol) LEFT JOIN aucs USING (symbol, fold) LEFT JOIN cnt USING (symbol, fold) LEFT JOIN own USING (symbol, fold)""")
 def g10(spark, d):
     folds = score_folds(spark, d)
@@ -289,8 +291,8 @@ def g10(spark, d):
 
 
 @query("p23_fold_window_note", f"""WITH {SCORES_CTE}, {FOLDS_CTE}, ends AS (SELECT symbol, max(fold) AS last, arg_max(train_end, fold) AS saved_end FROM folds GROUP BY 1)
-    SELECT symbol, fold, CASE WHEN test_end <= saved_end THEN 'inside saved model train' WHEN fold = last THEN 'last fold, out of sample'
-           ELSE 'partial overlap with saved model train' END AS note FROM folds JOIN ends USING (symbol)""")
+    SELECT symbol, fold, CASE WHEN test_end <= saved_end THEN 'inside_train' WHEN fold = last THEN 'last_fold'
+           ELSE 'overlap' END AS note FROM folds JOIN ends USING (symbol)""")
 def p23(spark, d):
     folds = score_folds(spark, d)
     ends = folds.groupBy("symbol").agg(F.max("fold").alias("last"), F.max_by("train_end", "fold").alias("saved_end"))

@@ -15,8 +15,10 @@ from barlab.operators import integrity as it
 from barlab.operators import selection as sel
 
 K = ["symbol"]
-def _end():
-    return F.lit(datetime(2024, 1, 31)).cast("timestamp_ntz")
+def _end(spark, d):
+    """The day after the last event."""
+    last = F.date_trunc("day", F.max("ts")).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    return F.lit(table(spark, d, "events").agg(last).first()[0]).cast("timestamp_ntz")
 
 
 CLEAN = [f for f in CHECK_FEATURES if f != "stops_early"]
@@ -38,7 +40,7 @@ SQLS = {
         + " AS n FROM chk GROUP BY 1", "n", "CASE WHEN n > 0 THEN 'WARN' ELSE 'PASS' END"),
     "stale_tail": (
         "SELECT symbol, " + " + ".join(
-            f"CASE WHEN TIMESTAMP '2024-01-31' - max(ts) FILTER ({f} IS NOT NULL) > INTERVAL 168 HOUR THEN 1 ELSE 0 END" for f in CHECK_FEATURES)
+            f"CASE WHEN (SELECT date_trunc('day', max(ts)) + INTERVAL 1 DAY FROM events) - max(ts) FILTER ({f} IS NOT NULL) > INTERVAL 168 HOUR THEN 1 ELSE 0 END" for f in CHECK_FEATURES)
         + " AS n FROM chk GROUP BY 1", "n", "CASE WHEN n > 0 THEN 'WARN' ELSE 'PASS' END"),
     "binary_class_balance": (
         "SELECT symbol, count(*) AS k, min(c) / sum(c) AS s FROM (SELECT symbol, y, count(*) AS c FROM chk GROUP BY 1, 2) GROUP BY 1", "s",
@@ -78,7 +80,7 @@ def g24(spark, d):
 
 @query("g25_stale_tail", _sql("stale_tail", *SQLS["stale_tail"]))
 def g25(spark, d):
-    return _out(it.stale_tail(check_matrix(spark, d), CHECK_FEATURES, _end(), K))
+    return _out(it.stale_tail(check_matrix(spark, d), CHECK_FEATURES, _end(spark, d), K))
 
 
 @query("g26_binary_class_balance", _sql("binary_class_balance", *SQLS["binary_class_balance"]))
@@ -155,7 +157,7 @@ def g37(spark, d):
 def _checks(spark, d):
     m = check_matrix(spark, d)
     return it.combine([
-        it.min_rows(m, K), it.constant_features(m, CHECK_FEATURES, K), it.stale_tail(m, CHECK_FEATURES, _end(), K),
+        it.min_rows(m, K), it.constant_features(m, CHECK_FEATURES, K), it.stale_tail(m, CHECK_FEATURES, _end(spark, d), K),
         it.binary_class_balance(m, K), it.train_val_class_balance(m, 0.2, K), it.label_stationarity(m, K),
         it.label_leakage(it.leakage_pearson(m, CLEAN, K), K),
     ])
@@ -180,12 +182,13 @@ def g34(spark, d):
 
 
 @query("g35_data_fingerprint", """WITH h AS (
-      SELECT event_type, sha256(concat_ws('|', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), props)) AS h FROM events),
+      SELECT event_type, sha256(list_aggregate(list_transform([strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), CAST(CAST(value AS DECIMAL(28, 8)) AS VARCHAR), props],
+        lambda t: coalesce(length(t) || ':' || t, 'n')), 'string_agg', '')) AS h FROM events),
       s AS (SELECT event_type, count(*) AS n, """ + ", ".join(
     f"sum(CAST(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT) AS HUGEINT)) AS l{i}" for i in range(4)) + """ FROM h GROUP BY 1)
     SELECT event_type, sha256(concat_ws('|', CAST(n AS VARCHAR), CAST(l0 AS VARCHAR), CAST(l1 AS VARCHAR), CAST(l2 AS VARCHAR), CAST(l3 AS VARCHAR))) AS fingerprint FROM s""")
 def g35(spark, d):
-    return it.data_fingerprint(table(spark, d, "events"), ["event_id", "user_id", "props"], ["event_type"])
+    return it.data_fingerprint(table(spark, d, "events").withColumn("value", F.col("value").cast("decimal(28,8)")), ["event_id", "user_id", "value", "props"], ["event_type"])
 
 
 def _corr_sql(dims: int) -> str:

@@ -21,9 +21,9 @@ from barlab.plans.stacking import oof_matrix, predict_stacked, train_stacker
 from barlab.plans.walkforward import holdout, long_metrics, run_walk_forward
 from barlab.session import cut_lineage
 
-FEATURES = tuple(EMBED_FEATURES[:16])
+FEATURES = tuple(EMBED_FEATURES)
 BAR_FEATURES = ("log_return_24", "volume_zscore_24", "atr_14")
-SMALL = {"maxIter": 5, "maxDepth": 3}
+SMALL = {}  # the operators' defaults
 
 
 def vectors(spark, d, objective):
@@ -67,40 +67,44 @@ def m02(spark, d):
 @query("m03_fit_ensemble")
 def m03(spark, d):
     rows = meta_split(vectors(spark, d, "multiclass"))
-    models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"), folds=2)
+    models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"))
     return per_model_metrics(mo.predict_ensemble(models, rows.filter("role = 'meta'"), ["vec_id", "y"]), ["vec_id"], list(models), mo.N_CLASSES)
 
 
 @query("m04_meta_label_gating")
 def m04(spark, d):
-    """Primary models on the first 80 %, meta model on the rest, gating measured on that rest."""
+    """Primary models on the first 80 %, meta model on half of the rest (by hash), gating measured on the other half."""
     rows = meta_split(vectors(spark, d, "multiclass"))
-    models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"), folds=2)
+    models = mo.fit_ensemble(rows.filter("role = 'primary'"), _spec("multiclass"))
     probas = cut_lineage(mo.predict_ensemble(models, rows.filter("role = 'meta'"), ["vec_id", "y"]))
-    meta = mo.fit_meta_label(probas, ["vec_id"], folds=2)
+    later = F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 1
+    meta = mo.fit_meta_label(probas.filter(~later), ["vec_id"])
     if meta is None:
         raise ValueError("meta rows hold a single outcome")
-    return gating_metrics(mo.predict_pwin(meta, probas, ["vec_id"]), (), "direction")
+    return gating_metrics(mo.predict_pwin(meta, probas.filter(later), ["vec_id"]), (), "direction")
 
 
 @query("m05_adversarial_auc")
 def m05(spark, d):
     rows = vectors(spark, d, "binary")
     half = rows.count() // 2
-    return mo.adversarial_auc(rows.filter(F.col("vec_id") < half), rows.filter(F.col("vec_id") >= half), FEATURES, ["vec_id"], max_iter=3)
+    return mo.adversarial_auc(rows.filter(F.col("vec_id") < half), rows.filter(F.col("vec_id") >= half), FEATURES, ["vec_id"])
 
 
 def bar_rows(spark, d):
     return check_matrix(spark, d).select("symbol", "ts", *BAR_FEATURES, "y")
 
 
-def bar_folds(spark):
-    window = spark.createDataFrame([(datetime(2024, 1, 2), datetime(2024, 1, 31))], "start timestamp_ntz, end timestamp_ntz")
+def bar_folds(spark, d):
+    """Folds up to the day after the last event; the first day is left to the rolling features."""
+    day = F.date_trunc("day", F.min("ts")).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    last = F.date_trunc("day", F.max("ts")).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    window = table(spark, d, "events").agg(day.alias("start"), last.alias("end"))
     return generate_folds(window, train_days=10, test_days=6, embargo_days=1, n_folds=3)
 
 
 def bar_walk(spark, d):
-    return run_walk_forward(bar_rows(spark, d), bar_folds(spark), mo.ModelSpec("bars", "binary", BAR_FEATURES, params=SMALL))
+    return run_walk_forward(bar_rows(spark, d), bar_folds(spark, d), mo.ModelSpec("bars", "binary", BAR_FEATURES, params=SMALL))
 
 
 @query("m06_walk_forward")
@@ -146,8 +150,8 @@ def m11(spark, d):
 
 def _two_walks(spark, d):
     rows = cut_lineage(bar_rows(spark, d))
-    deep = run_walk_forward(rows, bar_folds(spark), mo.ModelSpec("deep", "binary", BAR_FEATURES, params=SMALL))
-    flat = run_walk_forward(rows, bar_folds(spark), mo.ModelSpec("shallow", "binary", BAR_FEATURES, params={"maxIter": 3, "maxDepth": 1}))
+    deep = run_walk_forward(rows, bar_folds(spark, d), mo.ModelSpec("deep", "binary", BAR_FEATURES, params=SMALL))
+    flat = run_walk_forward(rows, bar_folds(spark, d), mo.ModelSpec("shallow", "binary", BAR_FEATURES, params={"maxIter": 3, "maxDepth": 1}))
     tag = lambda w: w.oof.select(F.lit(w.spec.name).alias("model"), "fold", "symbol", "ts", F.col("predicted").alias("prediction"))
     return rows.select("symbol", "ts", "y"), tag(deep).unionByName(tag(flat))
 
@@ -156,8 +160,10 @@ def _two_walks(spark, d):
 def m12(spark, d):
     rows, oof = _two_walks(spark, d)
     matrix = cut_lineage(oof_matrix(oof, rows, ["deep", "shallow"], ["symbol", "ts"]))
-    model = train_stacker(matrix, ["deep", "shallow"], "binary", folds=3)
-    scored = predict_stacked(model, matrix, ["deep", "shallow"]).withColumn("predicted", F.col("stacked"))
+    lo, hi = matrix.agg(F.min("ts"), F.max("ts")).first()
+    held = F.col("ts") >= F.lit(lo + (hi - lo) / 2).cast("timestamp_ntz")  # fitted on the earlier half, scored on the later
+    model = train_stacker(matrix.filter(~held), ["deep", "shallow"], "binary")
+    scored = predict_stacked(model, matrix.filter(held), ["deep", "shallow"]).withColumn("predicted", F.col("stacked"))
     return mo.eval_binary(scored, (), "y")
 
 

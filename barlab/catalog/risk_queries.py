@@ -29,8 +29,9 @@ def g12(spark, d):
 COST_SQL = """SELECT fold, regime, n_trades, round(gross_mean, 6) AS gross_mean, round(hit_rate, 6) AS hit_rate, cost AS cost_bps,
       round(gross_mean - cost, 6) AS net_mean, round(gross_sum - n_trades * cost, 4) AS net_total,
       CASE WHEN gross_mean - cost > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS profitable
-    FROM (SELECT fold, count(*) AS n_trades, avg(gross_bps) AS gross_mean, sum(gross_bps) AS gross_sum,
-                 avg(CASE WHEN gross_bps > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM trades WHERE traded GROUP BY 1),
+    FROM (SELECT fold, count(*) FILTER (traded) AS n_trades, avg(gross_bps) FILTER (traded) AS gross_mean,
+                 coalesce(sum(gross_bps) FILTER (traded), 0) AS gross_sum,
+                 avg(CASE WHEN gross_bps > 0 THEN 1.0 ELSE 0.0 END) FILTER (traded) AS hit_rate FROM trades GROUP BY 1),
          (VALUES ('realistic', 20.0::DOUBLE), ('conservative', 45.0::DOUBLE), ('adversarial', 70.0::DOUBLE)) r(regime, cost)"""
 
 
@@ -60,7 +61,7 @@ REGIME_CTE = f"""{TRADES_CTE}, cuts AS (
     rs AS (SELECT symbol, regime, count(*) AS n, avg(net) AS mean_net, coalesce(stddev_samp(net), 0) AS std_net FROM rx GROUP BY 1, 2),
     rz AS (SELECT s.symbol, r.regime, coalesce(n, 0) AS n, mean_net, std_net,
              CASE WHEN std_net > 0 THEN mean_net / (std_net / sqrt(n)) END AS t_stat
-           FROM (SELECT DISTINCT symbol FROM rt WHERE traded) s CROSS JOIN (VALUES ('low_vol'), ('high_vol'), ('bear'), ('chop'), ('bull')) r(regime)
+           FROM (SELECT DISTINCT symbol FROM rt) s CROSS JOIN (VALUES ('low_vol'), ('high_vol'), ('bear'), ('chop'), ('bull')) r(regime)
            LEFT JOIN rs ON rs.symbol = s.symbol AND rs.regime = r.regime)"""
 
 # Student t lower tail by Simpson's rule on [0, |t|].
@@ -191,7 +192,7 @@ def g20(spark, d):
                       "discount_active", "gate_pass")
 
 
-def embedding_sides(spark, d, dims=16):
+def embedding_sides(spark, d, dims=64):
     """Embedding matrix: binary label, first half of the ids is train."""
     e = embedding_matrix(spark, d, dims)
     half = e.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
@@ -199,7 +200,7 @@ def embedding_sides(spark, d, dims=16):
         "yb", (F.col("y") >= 5).cast("double"))
 
 
-def _invariance_cte(dims: int = 16) -> str:
+def _invariance_cte(dims: int = 64) -> str:
     names = ", ".join(f"f{i}" for i in range(dims))
     return f"""{embedding_cte(dims)}, e2 AS (SELECT *, CASE WHEN y >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS yb,
         vec_id < (SELECT count(*) // 2 FROM emb) AS tr FROM emb),
@@ -214,13 +215,10 @@ def _shift_sql(scale: str = "1", y: str = "yb") -> str:
       HAVING count(*) FILTER (tr) >= 20 AND count(*) FILTER (NOT tr) >= 20)"""
 
 
-SIXTEEN = list(EMBED_FEATURES[:16])
-
-
 @query("g21_conditional_invariance", f"""WITH {_invariance_cte()}, {_shift_sql()}
     SELECT feature, CAST(bin AS INTEGER) AS bin, n_train, n_test, round(diff, 6) AS diff FROM sf""")
 def g21(spark, d):
-    out = bin_shifts(embedding_sides(spark, d), [], SIXTEEN, "binary", "yb")
+    out = bin_shifts(embedding_sides(spark, d), [], EMBED_FEATURES, "binary", "yb")
     return out.select("feature", "bin", "n_train", "n_test", rounded("diff").alias("diff"))
 
 
@@ -228,7 +226,7 @@ def g21(spark, d):
     SELECT round(max(diff), 6) AS ci_max_abs_diff, round(avg(diff), 6) AS ci_mean_abs_diff, count(*) AS n_pairs,
            CAST(NULL AS VARCHAR) AS skipped_reason, max(diff) < 0.15 AS passes FROM sf""")
 def g21_summary(spark, d):
-    out = conditional_invariance(embedding_sides(spark, d), [], SIXTEEN, "binary", "yb")
+    out = conditional_invariance(embedding_sides(spark, d), [], EMBED_FEATURES, "binary", "yb")
     return out.select(rounded("ci_max_abs_diff").alias("ci_max_abs_diff"), rounded("ci_mean_abs_diff").alias("ci_mean_abs_diff"),
                       "n_pairs", "skipped_reason", "passes")
 
@@ -236,7 +234,7 @@ def g21_summary(spark, d):
 @query("g21_invariance_regression", f"""WITH {_invariance_cte()}, {_shift_sql("(SELECT stddev_pop(y) FROM e2 WHERE tr)", "y")}
     SELECT feature, round(max(diff), 6) AS max_diff FROM sf GROUP BY 1 HAVING max(diff) > 0""")
 def g21_regression(spark, d):
-    out = per_feature_max(bin_shifts(embedding_sides(spark, d), [], SIXTEEN, "regression", "y"))
+    out = per_feature_max(bin_shifts(embedding_sides(spark, d), [], EMBED_FEATURES, "regression", "y"))
     return out.withColumn("max_diff", rounded("max_diff"))
 
 
@@ -245,11 +243,11 @@ def g21_regression(spark, d):
     SELECT feature, CAST(bin AS INTEGER) AS bin, max(a) AS n_train, max(b) AS n_test, round(max(abs(ca / a - cb / b)), 6) AS diff
     FROM cl JOIN nb USING (feature, bin) WHERE a >= 20 AND b >= 20 GROUP BY 1, 2""")
 def g21_multiclass(spark, d):
-    out = bin_shifts(embedding_sides(spark, d), [], SIXTEEN, "multiclass", "y")
+    out = bin_shifts(embedding_sides(spark, d), [], EMBED_FEATURES, "multiclass", "y")
     return out.select("feature", "bin", "n_train", "n_test", rounded("diff").alias("diff"))
 
 
 @query("g22_bootstrap_ci")
 def g22(spark, d):
     rows = mean_probabilities(probability_rows(spark, d))
-    return bootstrap_macro_auc(rows, 3, ["symbol"], ROW_ID, replicates=200)
+    return bootstrap_macro_auc(rows, 3, ["symbol"], ROW_ID)

@@ -172,7 +172,15 @@ def p16(spark, d):
         "event_id", to_naive_utc(F.col("ts").cast("timestamp"), "America/New_York").alias("ts_utc"))
 
 
-ASOF_GRID = f"""grid AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts)"""
+SPAN_CTE = """span AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS first_day, (date_trunc('day', max(ts)) + INTERVAL 1 DAY)::TIMESTAMP AS last_day FROM events)"""
+ASOF_GRID = f"""{SPAN_CTE}, grid AS (SELECT unnest(generate_series(first_day, last_day - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM span)"""
+
+
+def event_span(spark, d):
+    """First day with an event, and the day after the last one."""
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    first, last = table(spark, d, "events").agg(day(F.min("ts")), day(F.max("ts")) + F.expr("INTERVAL 1 DAY")).first()
+    return first, last
 
 
 def _asof_sql(event_type: str, name: str, cap_hours: float | None) -> str:
@@ -187,8 +195,8 @@ def _asof_sql(event_type: str, name: str, cap_hours: float | None) -> str:
 def c01(spark, d):
     series = table(spark, d, "events").filter(F.col("event_type").isin("signup", "error", "view")).select(
         F.concat(F.lit("g_"), "event_type").alias("feature_name"), "ts", "value")
-    start = datetime(2024, 1, 1)
-    grid = bar_grid(spark, start, start + timedelta(days=30), "1h")
+    start, end = event_span(spark, d)
+    grid = bar_grid(spark, start, end, "1h")
     return asof_wide(grid, series, {"g_signup": 0.5, "g_error": 2, "g_view": None}, 3600,
                      F.lit(start).cast("timestamp_ntz"))
 
@@ -199,23 +207,22 @@ def c01(spark, d):
 def c01_exact(spark, d):
     bars = event_bars(spark, d).filter("symbol = 'signup' AND close_price > 50")
     series = bars.select(F.lit("x").alias("feature_name"), F.col("start_time").alias("ts"), F.col("close_price").alias("value"))
-    start = datetime(2024, 1, 1)
-    grid = bar_grid(spark, start, start + timedelta(days=30), "1h")
+    start, end = event_span(spark, d)
+    grid = bar_grid(spark, start, end, "1h")
     return asof_wide(grid, series, {"x": 24}, 3600, F.lit(start).cast("timestamp_ntz"), exact=["x"])
 
 
-@query("c02_project_to_finer_grid", f"""WITH {event_bars_cte("4h")}, b15 AS (
-      SELECT symbol, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:45:00', INTERVAL 15 MINUTE)) AS ts
-      FROM (SELECT DISTINCT symbol FROM bars))
+@query("c02_project_to_finer_grid", f"""WITH {event_bars_cte("4h")}, {SPAN_CTE}, b15 AS (
+      SELECT symbol, unnest(generate_series(first_day, last_day - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE)) AS ts
+      FROM (SELECT DISTINCT symbol FROM bars), span)
     SELECT g.symbol, g.ts, CASE WHEN epoch_us(g.ts) - epoch_us(b.ts) <= 14400000000 THEN b.close_price END AS close_4h
     FROM b15 g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts >= b.ts""")
 def c02(spark, d):
     bars = event_bars(spark, d, "4h")
     series = bars.select("symbol", F.lit("close_4h").alias("feature_name"), F.col("start_time").alias("ts"),
                          F.col("close_price").alias("value"))
-    start = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
-    bounds = bars.select("symbol").distinct().select("symbol", start.alias("start"),
-                                                     (start + F.expr("INTERVAL 30 DAYS")).alias("end"))
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in event_span(spark, d))
+    bounds = bars.select("symbol").distinct().select("symbol", start.alias("start"), end.alias("end"))
     return asof_wide(grid_between(bounds, "15m"), series, {"close_4h": 4}, 900, start, keys=["symbol"])
 
 

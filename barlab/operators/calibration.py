@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlab.operators.folds import assign_folds
-from barlab.operators.joins import small_side
 from barlab.operators.metrics import binary_metrics
 
 
@@ -47,9 +46,9 @@ def per_month_metrics(
 def fold_window_note(saved_train_end: Column, last_fold: Column) -> Column:
     """How a fold's test window relates to the training data of the saved (last) model."""
     return (
-        F.when(F.col("test_end") <= saved_train_end, "inside saved model train")
-        .when(F.col("fold") == last_fold, "last fold, out of sample")
-        .otherwise("partial overlap with saved model train")
+        F.when(F.col("test_end") <= saved_train_end, "inside_train")
+        .when(F.col("fold") == last_fold, "last_fold")
+        .otherwise("overlap")
     )
 
 
@@ -82,8 +81,7 @@ def zones(predictions: DataFrame, folds: DataFrame, keys: Sequence[str] = (), ts
     bounds = folds.groupBy(*keys).agg(
         F.max_by("test_start", "fold").alias("_lo"), F.max_by("test_end", "fold").alias("_hi")
     )
-    side = small_side(bounds)
-    joined = predictions.join(side, list(keys)) if keys else predictions.join(side)
+    joined = predictions.join(bounds, list(keys)) if keys else predictions.join(F.broadcast(bounds))
     zone = F.when(F.col(ts) >= F.col("_hi"), "post").when(F.col(ts) >= F.col("_lo"), "last_fold")
     return joined.withColumn("zone", zone).filter(F.col("zone").isNotNull()).drop("_lo", "_hi")
 

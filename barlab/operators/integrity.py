@@ -196,12 +196,13 @@ def data_fingerprint(
 ) -> DataFrame:
     """Hash that changes with any value or timestamp.
 
-    Every row is hashed with its keys and timestamp; four 60-bit lanes of the row hashes are summed,
+    Every row is hashed with its timestamp, each field behind its length (a null is ``n``), so no two rows share a text; four 60-bit lanes of the row hashes are summed,
     so the digest is a plain sum with partial aggregation and needs no order and no lists.
     """
     stamp = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
-    row = F.sha2(F.concat_ws("|", stamp, *text), 256)
+    text = [stamp, *[F.col(c).cast("string") for c in columns]]
+    framed = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in text]
+    row = F.sha2(F.concat(*framed), 256)
     lane = lambda i: F.sum(F.conv(F.substring(row, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)"))
     parts = [F.count(F.lit(1)).cast("string"), *[lane(i).cast("string") for i in range(4)]]
     return df.groupBy(*keys).agg(F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))

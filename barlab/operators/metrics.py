@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.functions.corr import pearson
-from barlab.operators.joins import small_side
 from barlab.operators.ranks import auc, score_ranges
 
 LOSS_CLIP = 1e-7
@@ -169,11 +168,12 @@ def per_model_metrics(
 
 
 def balanced_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
-    """n / (classes * count(class)) per row; class counts are a table with one row per class."""
+    """n / (classes * count(class)) per row; class counts are a table with one row per class, so it is
+    broadcast and rows of a frequent class do not meet in one task."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy()
     table = counts.select(y, (F.sum("_c").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_c"))).alias(out))
-    return df.join(small_side(table), y)
+    return df.join(F.broadcast(table), y)
 
 
 def meta_features(probas: DataFrame, row: Sequence[str], n_classes: int, y: str | None = None) -> DataFrame:

@@ -19,8 +19,6 @@ TAKE_PROFIT, STOP_LOSS = 1.5, 1.0
 MIN_TRADES = 10
 P_THRESHOLD = 0.05
 MAX_FAILING = 1
-# Trend columns in order of preference.
-TREND_COLUMNS = ("btc_momentum_30d", "btc_log_return_7d", "btc_log_return_24h")
 
 
 def trade_pnl(df: DataFrame, interval: Column, y: str = "y", pred: str = "pred", take: str = "take") -> DataFrame:
@@ -46,10 +44,14 @@ def round_trip_cost(regime: str = "realistic") -> float:
 
 
 def cost_regime_metrics(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Gross statistics once per group, then three cost regimes by arithmetic on the sums."""
-    gross = trades.filter("traded").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_trades"), F.avg("gross_bps").alias("gross_mean"),
-        F.sum("gross_bps").alias("_sum"), F.avg((F.col("gross_bps") > 0).cast("double")).alias("hit_rate"),
+    """Gross statistics once per group, then three cost regimes by arithmetic on the sums.
+
+    A group without trades keeps its rows: no mean, a total of 0, not profitable.
+    """
+    bps = F.when(F.col("traded"), F.col("gross_bps"))
+    gross = trades.groupBy(*keys).agg(
+        F.count_if("traded").alias("n_trades"), F.avg(bps).alias("gross_mean"),
+        F.sum(bps).alias("_sum"), F.avg((bps > 0).cast("double")).alias("hit_rate"),
     )
     regimes = F.array(*[F.struct(F.lit(r).alias("regime"), F.lit(round_trip_cost(r)).alias("cost"))
                         for r in SLIPPAGE_BPS])
@@ -57,8 +59,8 @@ def cost_regime_metrics(trades: DataFrame, keys: Sequence[str] = ()) -> DataFram
     return gross.withColumn("r", F.explode(regimes)).select(
         *keys, F.col("r.regime").alias("regime"), "n_trades", "gross_mean", "hit_rate",
         F.col("r.cost").alias("cost_bps"), net.alias("net_mean"),
-        (F.col("_sum") - F.col("n_trades") * F.col("r.cost")).alias("net_total"),
-        (net > 0).cast("double").alias("profitable"),
+        (F.coalesce("_sum", F.lit(0.0)) - F.col("n_trades") * F.col("r.cost")).alias("net_total"),
+        F.coalesce((net > 0).cast("double"), F.lit(0.0)).alias("profitable"),
     )
 
 
@@ -70,10 +72,6 @@ def trend_flags(x: Column, bear: Column, bull: Column) -> dict[str, Column]:
     return {"bear": x < bear, "chop": (x >= bear) & (x < bull), "bull": x >= bull}
 
 
-def trend_column(columns: Sequence[str], chain: Sequence[str] = TREND_COLUMNS) -> str | None:
-    return next((c for c in chain if c in columns), None)
-
-
 def add_regimes(
     rows: DataFrame, keys: Sequence[str], vol: str, trend: str, role: str = "role",
     vol_probs: tuple[float, float] = (0.25, 0.75), trend_probs: tuple[float, float] = (1 / 3, 2 / 3),
@@ -102,14 +100,14 @@ def regime_stats(
 ) -> DataFrame:
     """Trade count, mean net PnL, sample std and t statistic per regime, in one pass.
 
-    Regimes overlap, so each is a conditional aggregate; a regime without trades keeps its row.
+    Regimes overlap, so each is a conditional aggregate; a regime or a key without trades keeps its row.
     """
-    net = F.col("gross_bps") - cost_bps
+    net = F.when(F.col("traded"), F.col("gross_bps") - cost_bps)
     aggs = []
     for r in regimes:
         x = F.when(F.col(r), net)
         aggs += [F.count(x).alias(f"{r}_n"), F.avg(x).alias(f"{r}_m"), F.stddev_samp(x).alias(f"{r}_s")]
-    wide = trades.filter("traded").groupBy(*keys).agg(*aggs)
+    wide = trades.groupBy(*keys).agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(r).alias("regime"), F.col(f"{r}_n").alias("n"), F.col(f"{r}_m").alias("mean_net"),
                  F.col(f"{r}_s").alias("std_net")) for r in regimes

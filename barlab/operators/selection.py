@@ -18,9 +18,9 @@ MAX_FEATURES = 8
 def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """|correlation| of every feature pair as (i, j, corr); undefined entries are null.
 
-    One distributed Gram matrix; only features x features numbers leave the executors.
+    One distributed Gram matrix; only features x features numbers leave the executors. A missing value raises.
     """
-    vectors = VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="skip").transform(df)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="error").transform(df)
     matrix = Correlation.corr(vectors, "v").head()[0].toArray()
     rows = [
         (a, b, None if matrix[i, j] != matrix[i, j] else abs(float(matrix[i, j])))

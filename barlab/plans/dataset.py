@@ -91,7 +91,15 @@ def load_matrix(store: DataFrame, bars: DataFrame, spec: DatasetSpec, interval:
 
 
 def load_dataset(store: DataFrame, bars: DataFrame, spec: DatasetSpec, interval: str | None = None) -> DataFrame:
-    return drop_incomplete(load_matrix(store, bars, spec, interval), [*spec.features, "y"])
+    """Complete rows. A feature without any value leaves the columns first, so it cannot empty the dataset; if no complete
+    row is left even so, that is an error."""
+    matrix = load_matrix(store, bars, spec, interval)
+    present = matrix.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in [*spec.features, "y"]]).first()
+    kept = [c for c in spec.features if present[c]]
+    complete = drop_incomplete(matrix.select("symbol", "ts", *kept, "y"), [*kept, "y"])
+    if not present["y"] or complete.isEmpty():
+        raise ValueError(f"no complete row between {spec.start} and {spec.end}; without values: {[c for c in spec.features if not present[c]]}")
+    return complete
 
 
 def load_stacked(store: DataFrame, bars_by_interval: Mapping[str, DataFrame], spec: DatasetSpec) -> DataFrame:

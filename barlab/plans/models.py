@@ -56,7 +56,8 @@ def kept(rows: DataFrame) -> Iterator[DataFrame]:
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """A missing feature raises: rows are completed or dropped, and counted, before a model sees them."""
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
 
 
 def _normalized(raw: Column) -> Column:
@@ -184,7 +185,7 @@ def predict_pwin(meta: PipelineModel, probas: DataFrame, row: Sequence[str], y:
 
 def adversarial_auc(
     train: DataFrame, test: DataFrame, features: Sequence[str], row: Sequence[str], folds: int = ADVERSARIAL_FOLDS,
-    seed: int = 42, drop: Sequence[str] = ("interval_indicator",), max_iter: int = 10,
+    seed: int = 42, drop: Sequence[str] = ("interval_indicator",), max_iter: int = 50,
 ) -> DataFrame:
     """Mean held-out AUC of telling test rows from train rows by their features (0.5: alike).
 

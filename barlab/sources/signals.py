@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
+from barlab.session import cut_lineage
+
 SIGNAL_KEY = ("signal_id", "symbol", "ts")
 BACKFILL_SOURCE = "oof_backfill"
 
@@ -49,36 +51,62 @@ def backfill_summary(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def latest_per_key(rows: DataFrame, order: Column, keys: Sequence[str] = SIGNAL_KEY) -> DataFrame:
-    """Newest row per key (last write wins). ``order`` should be unique within a key."""
+    """Newest row per key (last write wins). Rows that tie in ``order`` are told apart by their values."""
     rest = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order.alias("_o"), F.xxhash64(*rest).alias("_h"))).alias("_r"))
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def merge(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = SIGNAL_KEY) -> DataFrame:
-    """Existing rows overwritten by incoming ones with the same key."""
+def merge(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = SIGNAL_KEY, order: str | None = None) -> DataFrame:
+    """Existing rows overwritten by incoming ones with the same key; of several incoming ones the last by ``order`` stays."""
+    if order:
+        incoming = latest_per_key(incoming, F.col(order), keys).drop(order)
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     return latest_per_key(both, F.col("_new"), keys).drop("_new")
 
 
-def upsert(spark: SparkSession, incoming: DataFrame, path: str, period: str = "yyyy-MM") -> None:
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is no such path; any other error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def upsert(spark: SparkSession, incoming: DataFrame, path: str, period: str = "yyyy-MM", order: str | None = None) -> None:
     """Keyed overwrite of a Parquet table partitioned by (signal_id, period).
 
-    Only periods present in ``incoming`` are read, merged and replaced. The merged rows are staged next
-    to the table first, because a job cannot overwrite the files it reads.
+    Only the partitions present in ``incoming`` are read, merged and replaced; their list comes to the driver and prunes
+    the read. The table is read with the declared types, so an id such as '007' stays a string. Columns or types
+    that differ from the table's raise before anything is written. Of several incoming rows with one key the last by
+    ``order`` stays. The merged rows are checkpointed first, because a job cannot overwrite the files it reads.
     """
     part = ["signal_id", "period"]
-    new = incoming.withColumn("period", F.date_format("ts", period))
-    try:
-        touched = new.select(*part).distinct()
-        old = spark.read.parquet(path).join(touched, part, "left_semi")
-        merged = merge(old, new, SIGNAL_KEY)
-    except AnalysisException:
-        merged = latest_per_key(new, F.lit(1))
-    staged = f"{path.rstrip('/')}_staging"
-    merged.repartition(*part, F.to_date("ts")).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *part).parquet(path)
+    new = incoming.withColumn("signal_id", F.col("signal_id").cast("string")).withColumn("period", F.date_format("ts", period))
+    new = latest_per_key(new, F.col(order) if order else F.lit(1))
+    if order:
+        new = new.drop(order)
+    table = _stored(spark, path)
+    if table is not None:
+        stored = {f.name: f.dataType for f in table.schema.fields if f.name not in part}
+        given = {f.name: f.dataType for f in new.schema.fields if f.name not in part}
+        if stored != given:
+            raise ValueError(f"columns differ from the table's: {given} instead of {stored}")
+        touched = [(r.signal_id, r.period) for r in new.select(*part).distinct().collect()]
+        old = spark.read.schema(new.schema).parquet(path)
+        periods = {}
+        for signal, when in touched:
+            periods.setdefault(when, []).append(signal)
+        wanted = F.lit(False)
+        for when, signals in periods.items():
+            wanted = wanted | ((F.col("period") == when) & F.col("signal_id").isin(signals))
+        merged = merge(old.filter(wanted).select(*new.columns), new, SIGNAL_KEY)
+    else:
+        merged = new
+    merged = cut_lineage(merged.repartition(*part, F.to_date("ts")))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
 
 
 def predictions_with_labels(
