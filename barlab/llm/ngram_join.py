@@ -90,8 +90,8 @@ def range_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bit_sketch(members: np.ndarray) -> bytes:
-    """A parity bit sketch of 2^k >= max(64, size) bits; the halves of a longer one XOR to the shorter one."""
-    bits = max(64, 1 << (len(members) - 1).bit_length()) if len(members) else 64
+    """A parity bit sketch of 2^k >= max(64, 4 * size) bits; the halves of a longer one XOR to the shorter one."""
+    bits = max(64, 1 << (4 * len(members) - 1).bit_length()) if len(members) else 64
     hits = np.bincount((members & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(hits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -120,22 +120,14 @@ def sets_table(docs: DataFrame, shingle: int) -> DataFrame:
 def shared_keys(docs: DataFrame, shingle: int, bands: Bands, buckets: int) -> DataFrame:
     """(key, doc_id) for every sketch key that two or more documents have.
 
-    A block of documents sends one sorted run of (key, ordinal) per bucket, 8 bytes a key; of documents with equal sets in a
-    block only the first sends keys, the others are its copies.
+    A block of documents sends one sorted run of (key, ordinal) per bucket, 8 bytes a key.
     """
-    width = U64(64 - 24)
 
     def emit(batches):
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), shingle)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            seen, chosen = set(), []
-            for i in np.argsort(ids, kind="stable").tolist():
-                if len(sets[i]):
-                    mark = sets[i].tobytes() if len(sets[i]) < 8 else (len(sets[i]), int(np.bitwise_xor.reduce(sets[i])), int(mix(sets[i]).sum(dtype=U64)))
-                    if mark not in seen:
-                        seen.add(mark)
-                        chosen.append(i)
+            chosen = [i for i, s in enumerate(sets) if len(s)]
             if not chosen:
                 continue
             parts = [range_keys(sets[i], bands) for i in chosen]
@@ -290,17 +282,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
     info = members.select("doc_id", "n", "sketch")
     usable = narrow.where("doc_id is not null and text is not null")
     copies = members.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    keys = shared_keys(usable, shingle, bands, 4 * scratch_partitions(docs))
-    keys = keys.join(copies.withColumnsRenamed({"a": "doc_id", "b": "class_id"}), "doc_id", "left").select(
-        "key", F.coalesce("class_id", "doc_id").alias("doc_id")).distinct()
-    keys = store(keys, "keys")
+    usable = without_ids(usable, copies.select(F.col("a").alias("doc_id")))  # one document of each set
+    keys = store(shared_keys(usable, shingle, bands, scratch_partitions(docs)), "keys")
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("a"))
     stars = keys.join(heads, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
     stars = store(plausible(stars, info, num, den), "stars")
     links = store(verified(stars, store(candidate_sets(usable, stars, shingle), "members"), num, den), "links")
     so_far = components(links, "first").withColumnRenamed("node", "doc_id")
     placed = keys.join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
+    split = placed.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")).where("lo < hi")
+    split = split.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size")  # of keys with the same documents one is enough
     groups = placed.join(split, "key").join(info, "doc_id")
     more = store(crossing_pairs(groups, num, den).join(stars, ["a", "b"], "left_anti"), "more")
     more = store(verified(more, candidate_sets(usable, more, shingle), num, den), "links")
