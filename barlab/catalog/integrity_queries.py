@@ -223,8 +223,13 @@ def g38(spark, d):
     return m.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(picked).alias("p")).select("n_rows", "p.*")
 
 
-@query("p18_feature_side_columns", """SELECT count(*) AS n, count(DISTINCT label) AS n_labels FROM embeddings""")
+@query("p18_feature_side_columns", f"""WITH {embedding_cte()}, m AS (SELECT 2.0::DOUBLE AS interval_indicator, {", ".join(EMBED_FEATURES)} FROM emb)
+    SELECT feature, feature = 'interval_indicator' AS is_side, count(x) AS n, round(avg(x), 6) AS mean
+    FROM (UNPIVOT m ON interval_indicator, {", ".join(EMBED_FEATURES)} INTO NAME feature VALUE x) GROUP BY 1""")
 def p18(spark, d):
+    """Every matrix column with its side: kept aside from selection, or a candidate."""
     m = embedding_matrix(spark, d).withColumn("interval_indicator", F.lit(2.0))
-    side = sel.side_columns(m.columns)
-    return m.drop(*side).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("n_labels"))
+    names = ["interval_indicator", *EMBED_FEATURES]
+    side = sel.side_columns(names)
+    long = m.select(*names).unpivot([], names, "feature", "x")
+    return long.groupBy("feature").agg(F.count("x").alias("n"), rounded(F.avg("x")).alias("mean")).withColumn("is_side", F.col("feature").isin(side))

@@ -10,7 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from barlab.catalog.inputs import EMBED_FEATURES, check_matrix, embedding_matrix, rounded, table
+from barlab.catalog.inputs import EMBED_FEATURES, check_matrix, embedding_cte, embedding_matrix, rounded, table
 from barlab.catalog.registry import query
 from barlab.operators.folds import generate_folds
 from barlab.operators.metrics import gating_metrics, per_model_metrics
@@ -167,10 +167,11 @@ def m12(spark, d):
     return mo.eval_binary(scored, (), "y")
 
 
-@query("u07_adversarial_union", """SELECT set_label, count(*) AS n FROM (
-      SELECT CASE WHEN vec_id < (SELECT count(*) // 2 FROM embeddings) THEN 0 ELSE 1 END AS set_label FROM embeddings) GROUP BY 1""")
+@query("u07_adversarial_union", f"""WITH {embedding_cte()}, h AS (SELECT *, CASE WHEN vec_id < (SELECT count(*) // 2 FROM emb) THEN 0.0 ELSE 1.0 END::DOUBLE AS side FROM emb)
+    SELECT side AS y, count(*) AS n, {", ".join(f"round(avg({f}), 6) AS {f}" for f in EMBED_FEATURES)} FROM h GROUP BY 1""")
 def u07(spark, d):
-    e = table(spark, d, "embeddings")
+    """The union that adversarial validation learns from, summed up per side."""
+    e = vectors(spark, d, "binary").drop("y")
     half = e.count() // 2
-    both = e.filter(F.col("vec_id") < half).withColumn("set_label", F.lit(0)).unionByName(e.filter(F.col("vec_id") >= half).withColumn("set_label", F.lit(1)))
-    return both.groupBy("set_label").agg(F.count(F.lit(1)).alias("n"))
+    both = mo.labelled_union(e.filter(F.col("vec_id") < half), e.filter(F.col("vec_id") >= half), ["vec_id", *FEATURES])
+    return both.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[rounded(F.avg(f)).alias(f) for f in FEATURES])

@@ -309,9 +309,10 @@ def k03(spark, d):
 
 @query("g50_sweep_counts", f"""WITH {TRIALS_CTE}, b AS (SELECT spec, min(trial_number) AS bt FROM trials GROUP BY 1)
     SELECT spec, count(*) FILTER (state = 'COMPLETE') AS n_complete, count(*) FILTER (state = 'PRUNED') AS n_pruned, count(*) FILTER (state = 'FAIL') AS n_fail,
-      max(score) FILTER (state = 'COMPLETE') AS best_score FROM trials GROUP BY 1""")
+      max(score) FILTER (state = 'COMPLETE') AS best_score, max(score) FILTER (state = 'COMPLETE' AND trial_number = 0) AS baseline_score,
+      round(max(score) FILTER (state = 'COMPLETE') - max(score) FILTER (state = 'COMPLETE' AND trial_number = 0), 6) AS improvement FROM trials GROUP BY 1""")
 def g50(spark, d):
-    return ru.sweep_counts(trial_rows(spark, d)).select("spec", "n_complete", "n_pruned", "n_fail", "best_score")
+    return ru.sweep_counts(trial_rows(spark, d)).select("spec", "n_complete", "n_pruned", "n_fail", "best_score", "baseline_score", "improvement")
 
 
 # --- gates -------------------------------------------------------------------------------------------------

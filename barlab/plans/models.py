@@ -183,6 +183,11 @@ def predict_pwin(meta: PipelineModel, probas: DataFrame, row: Sequence[str], y:
         "features", "scaled", "rawPrediction", "probability", "prediction")
 
 
+def labelled_union(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Train rows with ``y`` 0 above test rows with ``y`` 1."""
+    return train.select(*columns).withColumn("y", F.lit(0.0)).unionByName(test.select(*columns).withColumn("y", F.lit(1.0)))
+
+
 def adversarial_auc(
     train: DataFrame, test: DataFrame, features: Sequence[str], row: Sequence[str], folds: int = ADVERSARIAL_FOLDS,
     seed: int = 42, drop: Sequence[str] = ("interval_indicator",), max_iter: int = 50,
@@ -193,8 +198,7 @@ def adversarial_auc(
     One scored union gives all fold AUCs in one job.
     """
     names = [f for f in features if f not in drop]
-    both = train.select(*row, *names).withColumn("y", F.lit(0.0)).unionByName(
-        test.select(*row, *names).withColumn("y", F.lit(1.0)))
+    both = labelled_union(train, test, [*row, *names])
     folded = both.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(folds)).cast("int"))
     ready = cut_lineage(assembler(names).transform(folded).select("_fold", "y", "features"))
     scored = None

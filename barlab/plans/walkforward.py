@@ -24,11 +24,12 @@ def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 class WalkForward:
-    """Result tables of one run: ``guards``, ``oof``, ``metrics`` (long), ``models`` and ``selected``."""
+    """Result tables of one run: ``guards``, ``oof``, ``metrics`` (long), ``models``, ``selected`` and ``configured``,
+    the number of folds that were asked for."""
 
-    def __init__(self, spec, guards, oof, metrics, models, selected):
+    def __init__(self, spec, guards, oof, metrics, models, selected, configured):
         self.spec, self.guards, self.oof, self.metrics = spec, guards, oof, metrics
-        self.models, self.selected = models, selected
+        self.models, self.selected, self.configured = models, selected, configured
 
     @property
     def primary(self) -> str:
@@ -36,7 +37,7 @@ class WalkForward:
 
     def summary(self) -> DataFrame:
         counts = self.guards.agg(
-            F.count(F.lit(1)).alias("n_folds_generated"), F.count_if(F.col("skipped_reason").isNull()).alias("n_folds_run"))
+            F.lit(self.configured).cast("long").alias("n_folds_configured"), F.count(F.lit(1)).alias("n_folds_generated"), F.count_if(F.col("skipped_reason").isNull()).alias("n_folds_run"))
         return fold_aggregate(self.metrics, self.primary).join(F.broadcast(counts))
 
     def headline(self) -> DataFrame:
@@ -48,23 +49,31 @@ class WalkForward:
 
 def run_walk_forward(
     rows: DataFrame, folds: DataFrame, spec: ModelSpec, row: Sequence[str] = ("symbol", "ts"), select: int | None = None,
-    ts: str = "ts", carry: Sequence[str] = (),
+    ts: str = "ts", carry: Sequence[str] = (), n_configured: int | None = None,
 ) -> WalkForward:
     """``rows``: row key, ts, features, y. ``folds``: one fold table (a few rows).
 
-    The rows are written once and re-read by every fold. Fold fits run one after another, each distributed; predictions are cut from the models' lineage by
-    a reliable checkpoint, so losing an executor does not refit anything.
+    The rows are written once and re-read by every fold. Test rows are those at the serving interval, for the guards and for
+    the invariance statistics as well, which look at the features a fold selected. Fold fits run one after another, each
+    distributed; predictions are cut from the models' lineage by a reliable checkpoint, so losing an executor does not
+    refit anything. A run without a finite primary metric in any fold is an error.
     """
     rows = cut_lineage(rows)
-    guards = class_guard(rows, folds, spec.objective, (), ts)
+    placed = assign_folds(rows, folds, (), ts)
+    served_test = filter_serving_interval(placed.filter(F.col("role") == "test"), spec.interval)
+    served = placed.filter(F.col("role") == "train").unionByName(served_test)
+    left = served_test.groupBy("fold").agg(F.count(F.lit(1)).alias("_served"))
+    guards = class_guard(rows, folds, spec.objective, (), ts).join(left, "fold", "left")
+    gone = F.col("skipped_reason").isNull() & F.col("_served").isNull()
+    guards = cut_lineage(guards.withColumn(
+        "skipped_reason", F.when(gone, "empty_test_window_after_interval_filter").otherwise(F.col("skipped_reason"))).drop("_served"))
     usable = [r.fold for r in guards.filter(F.col("skipped_reason").isNull()).select("fold").orderBy("fold").collect()]
     if not usable:
         raise ValueError(f"no usable fold for {spec.name}")
-    placed = assign_folds(rows, folds, (), ts)
     parts, models, selected = [], {}, {}
     for k in usable:
-        train = placed.filter((F.col("fold") == k) & (F.col("role") == "train"))
-        test = filter_serving_interval(placed.filter((F.col("fold") == k) & (F.col("role") == "test")), spec.interval)
+        train = served.filter((F.col("fold") == k) & (F.col("role") == "train"))
+        test = served.filter((F.col("fold") == k) & (F.col("role") == "test"))
         chosen = spec
         if select:
             from dataclasses import replace
@@ -75,10 +84,17 @@ def run_walk_forward(
         parts.append(predict(models[k], test, chosen).select("fold", *row, *carry, "y", out))
     oof = cut_lineage(reduce(DataFrame.unionByName, parts))
     scored = long_metrics(evaluate(oof, spec, ["fold"]), ["fold"])
-    shifts = summarize(bin_shifts(placed, ["fold"], spec.features, spec.objective), ["fold"])
+    if select:
+        own = [bin_shifts(served.filter(F.col("fold") == k), ["fold"], selected[k], spec.objective) for k in usable]
+        shifts = summarize(reduce(DataFrame.unionByName, own), ["fold"])
+    else:
+        shifts = summarize(bin_shifts(served, ["fold"], spec.features, spec.objective), ["fold"])
     invariance = long_metrics(shifts.withColumn("n_pairs", F.col("n_pairs").cast("double")), ["fold"])
     metrics = scored.unionByName(invariance.filter(F.col("fold").isin(usable))).withColumn("run_id", F.lit(spec.name))
-    return WalkForward(spec, guards, oof, metrics, models, selected)
+    finite = F.col("value").isNotNull() & ~F.isnan("value")
+    if scored.filter((F.col("metric") == PRIMARY[spec.objective]) & finite).isEmpty():
+        raise ValueError(f"no fold of {spec.name} has a finite {PRIMARY[spec.objective]}")
+    return WalkForward(spec, guards, oof, metrics, models, selected, folds.count() if n_configured is None else n_configured)
 
 
 def holdout(rows: DataFrame, spec: ModelSpec, val_fraction: float = 0.2, order: Sequence[str] = ("ts",)) -> tuple[PipelineModel, DataFrame]:
