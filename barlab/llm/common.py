@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BLOCK_ROWS = 4096
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 
 
@@ -125,8 +125,8 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True, space: np.n
     before = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, U64), before, starts
-    seq = np.arange(n, dtype=np.int64)
-    place = seq - starts[np.maximum(np.cumsum(first) - 1, 0)]
+    wide = np.int32 if n < 1 << 31 else np.int64
+    place = np.arange(n, dtype=wide) - starts.astype(wide)[np.maximum(np.cumsum(first, dtype=wide) - 1, 0)]
     longest = int(place[inside].max()) + 1
     weights = mix(np.arange(1, longest + 1, dtype=U64)) | U64(1)
     value = (_LOWER[raw] if lower else raw).astype(U64) + U64(1)

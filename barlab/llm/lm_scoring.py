@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.common import crc_share, slices, store, text_bytes, word_hashes
 from barlab.llm.gru import Gru
-from barlab.llm.postings import postings, weighted_sums, word_counts
+from barlab.llm.postings import BLOCK_BYTES, postings, weighted_sums, word_counts
 
 END = b""
 
@@ -125,7 +125,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, classes: i
                     names=["block", "ids", "gru"])
                 at += d.num_rows
 
-        for batch in slices(batches):  # the same blocks as in the postings
+        for batch in slices(batches, max_bytes=BLOCK_BYTES):  # the same blocks as in the postings
             pending.append(((part << 32) | k, batch))
             k, held = k + 1, held + batch.nbytes
             if held > 12 << 20:

@@ -21,6 +21,8 @@ from barlab.llm.common import BLOCK_ROWS, U64, binary_rows, mix, scratch_partiti
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 #: A word in more than this share of a block's documents is dealt over several buckets, if the caller allows it.
 FREQUENT = 16
+#: Text of a block.
+BLOCK_BYTES = 5 << 20
 CHUNK_ROWS = 128
 
 
@@ -64,7 +66,7 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=BLOCK_BYTES):
             block = (part << 32) | k
             k += 1
             n = batch.num_rows
