@@ -135,6 +135,21 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True, space: np.n
     return mix(np.add.reduceat(value, starts)), before, starts
 
 
+def word_strings(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[pa.Array, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of every row as one binary column, and the words before each row."""
+    inside = ~_SPACE[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = at[:-1][at[:-1] < len(raw)]
+    first[heads] = inside[heads]
+    starts = np.flatnonzero(first)
+    data = (_LOWER[raw] if lower else raw)[inside]
+    sizes = np.add.reduceat(inside.astype(np.int32), starts) if len(starts) else np.zeros(0, np.int32)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return words, np.searchsorted(starts, at)
+
+
 def binary_rows(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     """A binary column whose row i holds the next ``counts[i]`` items of ``data``."""
     at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]) * data.dtype.itemsize

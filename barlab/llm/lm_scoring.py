@@ -8,16 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import crc_share, slices, store, text_bytes, word_hashes
+from barlab.llm.common import crc_share, slices, store, text_bytes, word_hashes, word_strings
 from barlab.llm.gru import Gru
 from barlab.llm.postings import BLOCK_BYTES, postings, weighted_sums, word_counts
 
 END = b""
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words and the end token."""
-    return [*text.encode().lower().split(), END] if text else [END]
+def words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased (A-Z) words of all texts and one end token for each, with the row of every token."""
+    found, before = word_strings(*text_bytes(batch.column("text")), lower=True)
+    rows = np.arange(batch.num_rows)
+    return pa.concat_arrays([found, pa.array([END] * len(rows), pa.binary())]), np.concatenate([np.repeat(rows, np.diff(before)), rows])
 
 
 def vocabulary_hashes(vocab: list[bytes]) -> np.ndarray:

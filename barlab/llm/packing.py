@@ -8,19 +8,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import slices
+from barlab.llm.common import slices, text_bytes, word_strings
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, sequence_cost double")
 
 
+#: First bytes of the white space outside ASCII.
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 class ChunkIds:
     """Token ids of texts through a table of distinct chunks between white space, for tokenizers that drop white space.
 
     A chunk is encoded once per worker while it stays in the table; the table is emptied at ``limit`` chunks.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
@@ -30,16 +35,16 @@ class ChunkIds:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.end = np.zeros(1, np.int64)
         self.used, self.ends = 0, [0]
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         for s in range(0, len(chunks), 1024):
             part = chunks[s:s + 1024]
-            lens = np.fromiter(map(len, part), np.int64, len(part))
-            e = self.tk.encode(" ".join(part), add_special_tokens=False)
+            texts = [c.decode() for c in part]
+            lens = np.fromiter(map(len, texts), np.int64, len(texts))
+            e = self.tk.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
             where = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
             starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
@@ -47,51 +52,63 @@ class ChunkIds:
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used:self.used + len(ids)] = ids
-            at = self.used + np.cumsum(count)
-            for k, c in enumerate(part):
-                self.slot[c] = len(self.ends) - 1 + k
-            self.ends.extend(at.tolist())
+            base = len(self.ends) - 1
+            self.slot.update((c, base + k) for k, c in enumerate(part))
+            self.ends.extend((self.used + np.cumsum(count)).tolist())
             self.used += len(ids)
 
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids laid end to end, each document followed by ``end_id``, and the tokens of each document."""
-        lists = [t.split() if t else [] for t in texts]
-        odd = [i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        for i in odd:  # str.split parts at these, the tokenizer does not
-            lists[i] = []
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = [w for ws in lists for w in ws] or [""]
-        coded = pa.array(flat, pa.string()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.slot) + len(words) > self.limit:
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids laid end to end, each document followed by ``end_id``, and the tokens of each document.
+
+        Chunks are parted at ASCII white space; a text with other white space is given to the tokenizer as a whole.
+        """
+        raw, at = text_bytes(column)
+        rows = len(at) - 1
+        odd = np.unique(np.searchsorted(at, wide_spaces(raw), side="right") - 1)
+        words, before = word_strings(raw, at, lower=False)
+        row = np.repeat(np.arange(rows), np.diff(before))
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        if len(self.slot) + len(known) > self.limit:
             self.clear()
-        self.learn([w for w in words if w and w not in self.slot])
+        self.learn([w for w in known if w not in self.slot])
         ends = np.array(self.ends, np.int64)
-        slot = np.fromiter((self.slot.get(w, 0) for w in words), np.int64, len(words))
-        first, size = (ends[slot], ends[slot + 1] - ends[slot]) if len(ends) > 1 else (np.zeros(len(words), np.int64),) * 2
-        code = coded.indices.to_numpy()[: int(lens.sum())]
+        slot = np.fromiter((self.slot[w] for w in known), np.int64, len(known))
+        first, size = ends[slot], np.diff(ends)[slot] if len(known) else slot
+        code = coded.indices.to_numpy().astype(np.int64)
+        if len(odd):
+            keep = ~np.isin(row, odd)
+            row, code = row[keep], code[keep]
         sizes = size[code]
-        per_doc = np.zeros(len(texts), np.int64)
-        row = np.repeat(np.arange(len(texts)), lens)
-        np.add.at(per_doc, row, sizes)
-        total = int(sizes.sum())
-        source = np.arange(total) + np.repeat(first[code] - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64), sizes)
-        body = self.ids[source]
-        whole = {i: np.array(self.tk.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in odd}
+        per_doc = np.bincount(row, sizes, rows).astype(np.int64)
+        source = np.arange(int(sizes.sum())) + np.repeat(first[code] - (np.cumsum(sizes) - sizes), sizes)
+        whole = {int(i): np.array(self.tk.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in odd}
         for i, v in whole.items():
             per_doc[i] = len(v)
-        out = np.full(int(per_doc.sum()) + len(texts), end_id, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(per_doc + 1) - 1] = False
-        if odd:
-            at = np.cumsum(per_doc + 1) - per_doc - 1
-            for i, v in whole.items():
-                out[at[i]:at[i] + len(v)] = v
-                keep[at[i]:at[i] + len(v)] = False
-        out[keep] = body
+        out = np.full(int(per_doc.sum()) + rows, end_id, np.uint32)
+        body = np.ones(len(out), bool)
+        last = np.cumsum(per_doc + 1) - 1
+        body[last] = False
+        for i, v in whole.items():
+            out[last[i] - len(v):last[i]] = v
+            body[last[i] - len(v):last[i]] = False
+        out[body] = self.ids[source]
         return out, per_doc + 1
 
 
+def wide_spaces(raw: np.ndarray) -> np.ndarray:
+    """Places of Unicode white space outside ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000."""
+    lead = np.flatnonzero(_LEADS[raw])
+    if not len(lead):
+        return lead
+    padded = np.concatenate([raw, np.zeros(2, np.uint8)])
+    a, b, c = padded[lead], padded[lead + 1], padded[lead + 2]
+    hit = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    hit |= (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+    hit |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    return lead[hit]
+
+
 def capacities(total: int, size: int) -> list[int]:
     """Sequence capacities that hold exactly ``total`` tokens: full ones, then powers of two, which need no padding."""
     caps, rest = [size] * (total // size), total % size
@@ -153,7 +170,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size:
         part, k = TaskContext.get().partitionId(), 0
         ids_of = chunk_table(tokenizer_path)
         for batch in slices(batches, max_bytes=4 << 20):
-            ids, tokens = ids_of.encode(batch.column("text").to_pylist(), end_id)
+            ids, tokens = ids_of.encode(batch.column("text"), end_id)
             pieces, cost = pack_block(tokens, size, linear, quadratic)
             start = np.cumsum(tokens) - tokens
             p = np.array(pieces, np.int64).reshape(-1, 5)

@@ -39,6 +39,20 @@ def binary_hashes(words: pa.Array) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]])
 
 
+def in_chunks(split: Callable, kind: pa.DataType) -> Callable:
+    """``words_of`` from a function of one text; few texts exist as lists of words at a time."""
+
+    def words_of(batch: pa.RecordBatch):
+        lens, parts = [], []
+        for s in range(0, batch.num_rows, CHUNK_ROWS):
+            lists = [split(t) for t in batch.column("text").slice(s, CHUNK_ROWS).to_pylist()]
+            lens += [len(ws) for ws in lists]
+            parts.append(pa.array([w for ws in lists for w in ws], kind))
+        return pa.concat_arrays(parts), np.repeat(np.arange(batch.num_rows), lens)
+
+    return words_of
+
+
 def pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -51,8 +65,9 @@ def unpack(payload: bytes) -> pa.Table:
 
 
 def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header: Callable, tally: Callable | None = None,
-             salts: int = 1, kind: pa.DataType = pa.binary()) -> DataFrame:
-    """(block, bucket, payload) for the words ``words_of(text) -> list`` (of values of ``kind``), and one header row per block with a null payload.
+             salts: int = 1) -> DataFrame:
+    """(block, bucket, payload) for the words of ``words_of(batch) -> (words, row of each)``, and one header row per block with a
+    null payload.
 
     ``header(batch, words per row) -> dict`` gives one list per column of ``carry`` (name -> Spark type), an array column of the
     header row. ``tally(batch)`` marks documents; a payload's ``tally`` is the word's frequency in the marked ones. The payloads
@@ -70,22 +85,17 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
             block = (part << 32) | k
             k += 1
             n = batch.num_rows
-            lens, parts = np.zeros(n, np.int64), []
-            for s in range(0, n, CHUNK_ROWS):  # few texts exist as lists of words at a time
-                lists = [words_of(t) for t in batch.column("text").slice(s, CHUNK_ROWS).to_pylist()]
-                lens[s:s + len(lists)] = [len(ws) for ws in lists]
-                parts.append(pa.array([w for ws in lists for w in ws], kind))
-            lists = None
-            head = header(batch, lens)
+            found, row = words_of(batch)
+            head = header(batch, np.bincount(row, minlength=n))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([block % buckets]), pa.array([None], pa.binary()), *(pa.array([list(head[c])], pa.list_(KINDS[v])) for c, v in carry.items())],
                 names=names)
-            if not lens.sum():
+            if not len(found):
                 continue
-            coded = pa.concat_arrays(parts).dictionary_encode()
-            del parts
+            coded = found.dictionary_encode()
+            del found
             words = coded.dictionary.cast(pa.binary())
-            key = coded.indices.to_numpy().astype(np.int64) * BLOCK_ROWS + np.repeat(np.arange(n), lens)
+            key = coded.indices.to_numpy().astype(np.int64) * BLOCK_ROWS + row
             key.sort()
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             freq = np.diff(np.append(at, len(key)))

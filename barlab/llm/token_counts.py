@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.postings import postings, weighted_sums
+from barlab.llm.postings import in_chunks, postings, weighted_sums
 
 _RUN = re.compile(r"\s\s|\x00|[\x1c-\x1f]")
 
@@ -80,6 +80,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, special: li
         return {"doc_id": batch.column("doc_id").to_pylist(), "n_bytes": size}
 
     split = pre_tokens(pattern, special)
-    posted = postings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), split, carry, head, salts=16, kind=pa.string())
+    posted = postings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), in_chunks(split, pa.string()), carry, head, salts=16)
     sums = weighted_sums(posted, ["pieces"], carry, piece_counter(tokenizer_path), "int")
     return sums.select("doc_id", "n_bytes", F.col("pieces").cast("long").alias("n_tokens"), (F.col("pieces") > limit).alias("over_limit"))
