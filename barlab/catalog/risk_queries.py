@@ -12,6 +12,7 @@ from barlab.catalog.inputs import (
 )
 from barlab.catalog.registry import query
 from barlab.functions.stats import normal_ppf
+from barlab.operators.attach import attach
 from barlab.operators import pnl
 from barlab.operators import sharpe as sh
 from barlab.operators.bootstrap import bootstrap_macro_auc
@@ -124,7 +125,7 @@ def g16(spark, d):
 def c10(spark, d):
     rows = _daily_regimes(spark, d)
     cuts = quantiles(rows.filter("role = 'train'"), ["symbol"], "vol", [0.25, 0.75], "q")
-    joined = rows.filter("role = 'test'").join(cuts, "symbol").select("symbol", "vol", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    joined = attach(rows.filter("role = 'test'"), cuts, ["symbol"], F.col("vol")).select("symbol", "vol", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     return joined.groupBy("symbol", rounded("lo").alias("low_cut"), rounded("hi").alias("high_cut")).agg(
         F.count_if(F.col("vol") < F.col("lo")).alias("n_low"), F.count_if(F.col("vol") > F.col("hi")).alias("n_high"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.functions.corr import pearson
 from barlab.functions.times import micros
+from barlab.operators.attach import attach
 from barlab.operators.ranks import quantiles
 from barlab.operators.splits import halves, split_chronological
 
@@ -146,7 +147,7 @@ def mutual_information(
     ).filter(F.col("x").isNotNull())
     cuts = quantiles(long, by, "x", [i / n_bins for i in range(1, n_bins)], "_cuts")
     bin_ = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col("x"))).alias("_bin")
-    cells = long.join(cuts, by).groupBy(*by, bin_, "_y").agg(F.count(F.lit(1)).alias("_n"))
+    cells = attach(long, cuts, by, F.col("x")).groupBy(*by, bin_, "_y").agg(F.count(F.lit(1)).alias("_n"))
     sums = lambda *k: F.sum("_n").over(Window.partitionBy(*by, *k))
     joint = cells.withColumn("_t", sums()).withColumn("_nb", sums("_bin")).withColumn("_ny", sums("_y"))
     p = lambda c: F.col(c) / F.col("_t")

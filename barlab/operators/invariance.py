@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlab.operators.attach import attach
 from barlab.operators.ranks import quantiles
 
 PASS_THRESHOLD = {"binary": 0.15, "regression": 0.5, "multiclass": 0.15}
@@ -37,7 +38,7 @@ def bin_shifts(
     train = long.filter(F.col(role) == "train")
     cuts = quantiles(train, by, "x", [i / n_bins for i in range(1, n_bins)], "_cuts")
     big = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n_bins * min_rows).drop("_n")
-    binned = long.join(cuts.join(big, by), by).withColumn("bin", quantile_bin(F.col("x"), F.col("_cuts")))
+    binned = attach(long, cuts.join(big, by), by, F.col("x")).withColumn("bin", quantile_bin(F.col("x"), F.col("_cuts")))
     side = lambda r, c: F.when(F.col(role) == r, c)
     sizes = [F.count(side(r, F.lit(1))).alias(f"n_{r}") for r in ("train", "test")]
     enough = (F.col("n_train") >= min_rows) & (F.col("n_test") >= min_rows)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlab.functions.stats import student_t_cdf
+from barlab.operators.attach import attach
 from barlab.operators.ranks import quantiles
 
 # Costs in basis points per round trip, mean true range per interval, barrier widths.
@@ -84,7 +85,7 @@ def add_regimes(
         raise ValueError("trend quantiles must satisfy 0 < low < high < 1")
     train = rows.filter(F.col(role) == "train")
     cuts = quantiles(train, keys, vol, vol_probs, "_v").join(quantiles(train, keys, trend, trend_probs, "_t"), list(keys))
-    test = rows.filter(F.col(role) == "test").join(cuts, list(keys))
+    test = attach(rows.filter(F.col(role) == "test"), cuts, keys, F.hash(vol, trend))
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     flags = {
         **vol_flags(F.col(vol), at("_v", 0), at("_v", 1)), **trend_flags(F.col(trend), at("_t", 0), at("_t", 1))

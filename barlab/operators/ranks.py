@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barlab.operators.attach import attach
+
 RANGES = 128
 _PICK = 4096
 _STEP = 12
@@ -24,7 +26,7 @@ def _with_range(distinct: DataFrame, keys: Sequence[str], value: str) -> DataFra
         .groupBy(*keys).agg(F.array_distinct(F.percentile(value, probs)).alias("_cuts"))
     )
     cuts = cuts.withColumn("_heads", F.filter("_cuts", lambda c, i: i % _STEP == _STEP - 1))
-    joined = distinct.join(cuts, list(keys), "left") if keys else distinct.join(F.broadcast(cuts), how="left")
+    joined = attach(distinct, cuts, keys, F.col(value), "left")
     below = lambda array: F.size(F.filter(array, lambda c: c < F.col(value)))
     base = below("_heads") * _STEP
     index = base + below(F.slice("_cuts", base + 1, F.lit(_STEP)))
@@ -52,7 +54,7 @@ def prefix_sums(
     scanned = ranged
     for n in sums:
         scanned = scanned.withColumn(f"{n}_before", F.coalesce(F.sum(n).over(smaller), F.lit(0)))
-    joined = scanned.join(offsets, part)
+    joined = scanned.join(offsets, part)  # ranges already split a large group
     for n in sums:
         joined = joined.withColumn(f"{n}_before", F.col(f"{n}_before") + F.col(f"_o_{n}"))
     return joined.drop("_range", *[f"_o_{n}" for n in sums])

@@ -84,3 +84,22 @@ def test_class_weights_do_not_shuffle_rows_by_class(spark):
     assert sorted({(r.y, round(r.weight, 4)) for r in balanced_weights(df, "y").collect()}) == [(0, round(100 / 180, 4)), (1, 5.0)]
     plan = balanced_weights(df, "y")._sc._jvm.PythonSQLUtils.explainString(balanced_weights(df, "y")._jdf.queryExecution(), "simple")
     assert "BroadcastHashJoin" in plan
+
+
+def test_cut_points_reach_rows_without_a_shuffle_on_the_group_alone(spark):
+    from barlab.operators.ranks import quantiles
+
+    df = spark.range(4000).select((F.col("id") % 2).cast("string").alias("symbol"), (F.col("id") * 37 % 1009).cast("double").alias("x"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        train = df.withColumn("role", F.lit("train")).withColumn("y", F.col("x"))
+        rows = train.unionByName(train.withColumn("role", F.lit("test")))
+        out = pnl.add_regimes(rows, ["symbol"], "x", "y")
+        plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+        got = quantiles(df, ["symbol"], "x", [0.5], "q").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    top = plan[:plan.index("Filter")]
+    assert "_salt" in top and out.count() == 4000
+    assert {r.symbol for r in got} == {"0", "1"}
