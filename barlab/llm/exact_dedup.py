@@ -30,7 +30,7 @@ def seen_twice(hashes: DataFrame, filter_bits: int) -> DataFrame:
 
 
 def may_repeat(df: DataFrame, segments: DataFrame, h: Column, filter_bits: int) -> DataFrame:
-    """Second pass: ``df`` with ``repeats``, false only for rows whose hash occurs once. The filter is broadcast; its size
+    """Second pass: ``df`` with ``__repeats``, false only for rows whose hash occurs once. The filter is broadcast; its size
     is bounded by ``filter_bits`` / 8 bytes by construction."""
     bit = F.pmod(h, F.lit(filter_bits))
     word = (bit / WORD_BITS).cast("long")
@@ -38,7 +38,7 @@ def may_repeat(df: DataFrame, segments: DataFrame, h: Column, filter_bits: int)
         "__b", (bit % WORD_BITS).cast("int"))
     joined = probed.join(F.broadcast(segments.withColumnRenamed("segment", "__segment").withColumnRenamed("words", "__words")), "__segment", "left")
     hit = F.expr("shiftright(__words[__k], __b) & 1L") == 1
-    return joined.withColumn("repeats", F.coalesce(hit, F.lit(False))).drop("__segment", "__k", "__b", "__words")
+    return joined.withColumn("__repeats", F.coalesce(hit, F.lit(False))).drop("__segment", "__k", "__b", "__words")
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, filter_bits: int = 1 << 24) -> DataFrame:
@@ -48,8 +48,8 @@ def without_ids(docs: DataFrame, gone: DataFrame, filter_bits: int = 1 << 24) ->
     gone = store(gone.where("doc_id is not null"), "gone")
     segments = bit_segments(gone.select(F.pmod(F.xxhash64("doc_id"), F.lit(filter_bits)).alias("bit")).distinct())
     flagged = may_repeat(docs, segments, h, filter_bits)
-    maybe = flagged.where("repeats").drop("repeats")
-    return flagged.where("not repeats").drop("repeats").unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    maybe = flagged.where("__repeats").drop("__repeats")
+    return flagged.where("not __repeats").drop("__repeats").unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def exact_groups(docs: DataFrame, filter_bits: int = 1 << 27) -> DataFrame:
@@ -64,9 +64,9 @@ def exact_groups(docs: DataFrame, filter_bits: int = 1 << 27) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("h"))
     rows = store(rows, "hashes")
     flagged = may_repeat(rows, seen_twice(rows.select("h"), filter_bits), F.col("h"), filter_bits).drop("h")
-    once = flagged.where("not repeats").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+    once = flagged.where("not __repeats").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                                F.lit(True).alias("kept"), "text_sha256")
-    again = flagged.where("repeats").drop("repeats")
+    again = flagged.where("__repeats").drop("__repeats")
     groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     again = again.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
@@ -82,8 +82,8 @@ def drop_exact_copies(docs: DataFrame, filter_bits: int = 1 << 27) -> DataFrame:
     h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     segments = store(seen_twice(docs.select(h.alias("h")), filter_bits), "filter")
     flagged = may_repeat(docs.withColumn("__h", h), segments, F.col("__h"), filter_bits).drop("__h")
-    once = flagged.where("not repeats").drop("repeats")
-    again = flagged.where("repeats").drop("repeats")
+    once = flagged.where("not __repeats").drop("__repeats")
+    again = flagged.where("__repeats").drop("__repeats")
     key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     best = again.groupBy(key.alias("__key")).agg(F.max(F.struct(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).alias("best"))
     return once.unionByName(best.select("best.row.*"))

@@ -175,7 +175,7 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame
             sets = shingle_sets(batch.column("text"), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
 
-    maybe = may_repeat(docs, bit_segments(bits), F.xxhash64("doc_id"), FILTER_BITS).where("repeats").select("doc_id", "text")
+    maybe = may_repeat(docs, bit_segments(bits), F.xxhash64("doc_id"), FILTER_BITS).where("__repeats").select("doc_id", "text")
     return maybe.mapInArrow(scan, "doc_id long, members binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "members"])
 
 

@@ -91,9 +91,9 @@ def test_join_of_null_and_repeated_ids_and_no_rows(make):
     rows = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.jaccard_components(df).collect())
     assert rows == [("2", 0, "2"), ("4", 1, "4"), ("4", 1, "4"), ("None", 1, "None")]
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
-    clash = df.withColumns({c: F.lit(1) for c in ("n", "h1", "key", "component", "class_id", "sketch", "bit", "repeats")})
-    kept = ngram_join.drop_near_copies(clash.drop("repeats"))
-    assert kept.count() == 4 and kept.columns == clash.drop("repeats").columns
+    clash = df.withColumns({c: F.lit(1) for c in ("n", "h1", "key", "component", "class_id", "sketch", "bit", "repeats", "label", "weight")})
+    kept = ngram_join.drop_near_copies(clash)
+    assert kept.count() == 4 and kept.columns == clash.columns
 
 
 def test_components_of_chains_and_stars(spark):
