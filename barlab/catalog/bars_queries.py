@@ -80,7 +80,7 @@ def w03(spark, d):
     return _derived(event_bars(spark, d), "volume_zscore_24")
 
 
-@query("w04_rolling_corr", f"""WITH {event_bars_cte()}, {returns_cte()}, p AS (
+PAIR_SQL = f"""WITH {event_bars_cte()}, {returns_cte()}, p AS (
       SELECT ts, max(CASE WHEN symbol = 'click' THEN r1 END) AS a, max(CASE WHEN symbol = 'purchase' THEN r1 END) AS b
       FROM rets WHERE symbol IN ('click', 'purchase') GROUP BY ts
       HAVING max(CASE WHEN symbol = 'click' THEN r1 END) IS NOT NULL
@@ -88,7 +88,10 @@ def w03(spark, d):
     c AS (SELECT ts, CASE WHEN count(*) OVER w = 24 THEN corr(a, b) OVER w END AS v
           FROM p WINDOW w AS (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
     SELECT bars.symbol, bars.ts, round(c.v, 6) AS value
-    FROM bars LEFT JOIN c ON bars.ts = c.ts WHERE bars.symbol = 'click'""")
+    FROM bars LEFT JOIN c ON bars.ts = c.ts WHERE bars.symbol = 'click'"""
+
+
+@query("w04_rolling_corr", PAIR_SQL)
 def w04(spark, d):
     rho = rolling_corr(event_bars(spark, d), "click", "purchase", 24)
     return rho.select("symbol", F.col("start_time").alias("ts"), rounded("corr").alias("value"))
@@ -113,7 +116,7 @@ def w06(spark, d):
     return _derived(event_bars(spark, d), "forward_sharpe_sign_24")
 
 
-def _pctrank_sql(source_cte: str, window: int, least: int) -> str:
+def pctrank_sql(source_cte: str, window: int, least: int) -> str:
     return f"""WITH {source_cte}, f AS (
       SELECT symbol, interval, ts, CASE WHEN close_price > 0 AND lead(close_price, 24) OVER w > 0
                THEN ln(lead(close_price, 24) OVER w / close_price) END AS x
@@ -125,13 +128,13 @@ def _pctrank_sql(source_cte: str, window: int, least: int) -> str:
     SELECT symbol, ts, CASE WHEN p > 0.5 THEN 1.0 WHEN p IS NOT NULL THEN 0.0 END::DOUBLE AS value FROM r"""
 
 
-@query("w07_forward_pctrank", _pctrank_sql(order_bars_cte(), 2160, 720))
+@query("w07_forward_pctrank", pctrank_sql(order_bars_cte(), 2160, 720))
 def w07(spark, d):
     ranked = forward_pctrank(order_bars(spark, d), 24, 2160, 720, "value")
     return ranked.select("symbol", F.col("start_time").alias("ts"), "value")
 
 
-@query("w07_forward_pctrank_hourly", _pctrank_sql(event_bars_cte(), 168, 48))
+@query("w07_forward_pctrank_hourly", pctrank_sql(event_bars_cte(), 168, 48))
 def w07_hourly(spark, d):
     ranked = forward_pctrank(event_bars(spark, d), 24, 168, 48, "value")
     return ranked.select("symbol", F.col("start_time").alias("ts"), "value")

@@ -10,10 +10,12 @@ from barlab.catalog.inputs import (
     GLOBAL_FEATURES, REGISTRY_CTE, STORE_FEATURES, barrier_cte, atr_cte, event_bars, event_bars_cte, registry,
     rounded, store_cte, store_values, table,
 )
+from barlab.catalog.bars_queries import PAIR_SQL, pctrank_sql
 from barlab.catalog.registry import query
 from barlab.functions.times import to_naive_utc
 from barlab.operators import align
 from barlab.operators.asof import asof_wide
+from barlab.operators.features import pctrank_label
 from barlab.plans.dataset import DatasetSpec, coverage, load_dataset, load_matrix, load_stacked
 from barlab.sources import store as st
 from barlab.sources.bars import bar_grid, grid_between
@@ -301,6 +303,21 @@ def d01(spark, d):
     return _stack_out(load_dataset(store_values(spark, d, bars), bars, SPEC))
 
 
+@query("d01_pctrank_and_pair_dataset", f"""WITH lab AS ({pctrank_sql(event_bars_cte(), 168, 48)}), pair AS ({PAIR_SQL}), {event_bars_cte()},
+    lr AS (SELECT symbol, ts, CASE WHEN close_price > 0 AND lag(close_price, 24) OVER k > 0 THEN ln(close_price / lag(close_price, 24) OVER k) END AS x
+           FROM bars WINDOW k AS (PARTITION BY symbol, interval ORDER BY ts))
+    SELECT lab.symbol, lab.ts, round(x, 6) AS log_return_24, pair.value AS pair_corr, lab.value AS y
+    FROM lab JOIN lr USING (symbol, ts) JOIN pair ON pair.ts = lab.ts
+    WHERE lab.symbol IN ('click', 'view') AND lab.{SQL_RANGE.replace("ts <", "lab.ts <")} AND x IS NOT NULL AND pair.value IS NOT NULL AND lab.value IS NOT NULL""")
+def d01_pctrank(spark, d):
+    """A percentile-rank label and a pair correlation as dataset columns, with a feature that has no value at all."""
+    bars = event_bars(spark, d)
+    spec = DatasetSpec(symbols=("click", "view"), interval="1h", start=START, end=END, label=pctrank_label(24, 168, 48), per_bar={"never_stored": 1},
+                       derived=("log_return_24",), pairs={"pair_corr": ("click", "purchase")})
+    out = load_dataset(store_values(spark, d, bars), bars, spec)
+    return out.select("symbol", "ts", rounded("log_return_24").alias("log_return_24"), rounded("pair_corr").alias("pair_corr"), "y")
+
+
 @query("d01_dataset_coverage", f"""WITH {_stacked_sql()}, m AS (SELECT * FROM m1h)
     SELECT feature_name, n_slots, n_non_null, round(n_non_null / n_slots, 4) AS pct_non_null FROM (
       SELECT count(*) AS n_slots, count(volume_zscore_24) AS volume_zscore_24, count(atr_14) AS atr_14,

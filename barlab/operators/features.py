@@ -246,3 +246,27 @@ def forward_pctrank(
 
     ranked = moved.groupBy(*keys, "_chunk").applyInPandas(rank, f"{schema}, {out} double")
     return ranked.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+
+
+@dataclass(frozen=True)
+class WholeColumn:
+    """A label that needs more than a window frame: ``compute(bars, out)`` gives (keys, ts, out)."""
+
+    name: str
+    back: int
+    ahead: int
+    compute: Callable[[DataFrame, str], DataFrame]
+
+
+def pctrank_label(h: int = 24, window: int = 2160, min_periods: int = 720, name: str = "forward_pctrank") -> WholeColumn:
+    return WholeColumn(name, window + h, h, lambda bars, out: forward_pctrank(bars, h, window, min_periods, out))
+
+
+WHOLE_LABELS: dict[str, WholeColumn] = {c.name: c for c in (pctrank_label(),)}
+
+
+def label_column(label: str | BarColumn | WholeColumn) -> BarColumn | WholeColumn:
+    """A registered label by name, or the given one."""
+    if not isinstance(label, str):
+        return label
+    return LABELS.get(label) or WHOLE_LABELS[label]

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlab.functions.times import default_cap_hours, seconds_of
 from barlab.operators.align import drop_incomplete, feature_coverage, long_to_wide, stack_intervals
 from barlab.operators.asof import asof_wide
-from barlab.operators.features import LABELS, derive
+from barlab.operators.features import FEATURES, KEYS, TS, BarColumn, WholeColumn, derive, label_column, rolling_corr
 from barlab.sources.bars import bar_grid
-from barlab.sources.store import market_bundle, read_features, read_global_features
+from barlab.sources.store import BUNDLE_HALO, market_bundle, read_features, read_global_features
 
 GLOBAL_CAP_HOURS = 168.0
 
 
+#: Bars of a pair correlation.
+PAIR_FRAME = 24
+
+
 @dataclass(frozen=True)
 class DatasetSpec:
     """What to load. ``per_bar`` and ``shared`` map feature name to version; ``caps`` maps it to its
@@ -27,18 +31,25 @@ class DatasetSpec:
     interval: str
     start: datetime
     end: datetime
-    label: str
+    label: str | BarColumn | WholeColumn
     per_bar: Mapping[str, int] = field(default_factory=dict)
     shared: Mapping[str, int] = field(default_factory=dict)
     caps: Mapping[str, float] = field(default_factory=dict)
     exact: tuple[str, ...] = ()
     derived: tuple[str, ...] = ()
     training_intervals: tuple[str, ...] = ()
+    pairs: Mapping[str, tuple[str, str]] = field(default_factory=dict)  # column -> two symbols, whose returns are correlated
 
     @property
     def features(self) -> list[str]:
-        """Column order: per-bar, global, derived."""
-        return [*self.per_bar, *self.shared, *self.derived]
+        """Column order: per-bar, global, derived, pair correlations."""
+        return [*self.per_bar, *self.shared, *self.derived, *self.pairs]
+
+    def halo(self, interval: str) -> timedelta:
+        """How far bars are read beyond the range: the widest frame among the derived columns and the label."""
+        chosen = [*(FEATURES[c] for c in self.derived), label_column(self.label)]
+        reach = max([PAIR_FRAME * bool(self.pairs), *(max(c.back, c.ahead) for c in chosen)])
+        return max(BUNDLE_HALO, timedelta(seconds=(reach + 1) * seconds_of(interval)))
 
 
 def from_registry(scoped: DataFrame, base: DatasetSpec) -> DatasetSpec:
@@ -83,10 +94,19 @@ def load_matrix(store: DataFrame, bars: DataFrame, spec: DatasetSpec, interval:
         values = read_global_features(store, spec.shared, spec.start, spec.end)
         shared = asof_wide(bar_grid(spark, spec.start, spec.end, interval), values, caps, step, origin, exact=spec.exact)
         matrix = matrix.join(shared, "ts", "left")
-    bundle = market_bundle(bars, spec.symbols, interval, spec.start, spec.end)
-    wide = derive(bundle, [*spec.derived, LABELS[spec.label]]).select(
-        "symbol", F.col("start_time").alias("ts"), *spec.derived, F.col(spec.label).alias("y"))
+    needed = list(dict.fromkeys([*spec.symbols, *(s for pair in spec.pairs.values() for s in pair)]))
+    around = market_bundle(bars, needed, interval, spec.start, spec.end, spec.halo(interval))
+    bundle = around.filter(F.col("symbol").isin(list(spec.symbols)))
+    label = label_column(spec.label)
+    framed = [*spec.derived, *([label] if isinstance(label, BarColumn) else [])]
+    wide = derive(bundle, framed) if framed else bundle
+    if isinstance(label, WholeColumn):
+        wide = wide.join(label.compute(bundle, label.name), [*KEYS, TS], "left")
+    wide = wide.select("symbol", F.col(TS).alias("ts"), *spec.derived, F.col(label.name).alias("y"))
     matrix = matrix.join(wide, ["symbol", "ts"], "left")
+    for name, (left, right) in spec.pairs.items():
+        rho = rolling_corr(around, left, right, PAIR_FRAME, name).select(F.col(TS).alias("ts"), name)
+        matrix = matrix.join(rho, "ts", "left")
     return matrix.select("symbol", "ts", *spec.features, "y")
 
 
@@ -112,9 +132,9 @@ def coverage(matrix: DataFrame, spec: DatasetSpec, keys: Sequence[str] = ()) ->
     return feature_coverage(matrix, [*spec.features, "y"], keys)
 
 
-def horizon_hours(label: str, interval: str) -> float:
+def horizon_hours(label: str | BarColumn | WholeColumn, interval: str) -> float:
     """How far a label looks ahead; the smallest embargo that keeps it out of the next window."""
-    return LABELS[label].ahead * seconds_of(interval, ("1m", "5m", "15m", "1h", "4h", "1d")) / 3600
+    return label_column(label).ahead * seconds_of(interval, ("1m", "5m", "15m", "1h", "4h", "1d")) / 3600
 
 
 def check_embargo(label: str, interval: str, embargo_days: float) -> None:
