@@ -215,7 +215,21 @@ def k05(spark, d):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mi"), "feature")).cast("long"))
 
 
-@query("g38_select_features")
+GREEDY_SQL = f"""WITH RECURSIVE {_corr_sql(64).replace("lg", "lc")}, {mi_cte("emb", EMBED_FEATURES, "y")},
+    p AS (SELECT row_number() OVER (ORDER BY cm.i, cm.j) AS rn, cm.i AS a, cm.j AS b, ma.mi AS mia, mb.mi AS mib
+          FROM cm JOIN mi ma ON ma.feature = cm.i JOIN mi mb ON mb.feature = cm.j WHERE cm.i < cm.j AND cm.corr > 0.12),
+    walk AS (SELECT 0 AS rn, CAST([] AS VARCHAR[]) AS gone
+             UNION ALL SELECT p.rn, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone
+                                         ELSE list_append(gone, CASE WHEN mia < mib THEN a ELSE b END) END
+             FROM walk JOIN p ON p.rn = walk.rn + 1),
+    kept AS (SELECT feature, mi, CAST(substr(feature, 2) AS INTEGER) AS idx FROM mi
+             WHERE NOT list_contains((SELECT gone FROM walk ORDER BY rn DESC LIMIT 1), feature)),
+    best AS (SELECT feature, idx FROM kept ORDER BY mi DESC, idx LIMIT 7)
+    SELECT (SELECT count(*) FROM emb) AS n_rows, CAST(row_number() OVER (ORDER BY idx) AS INTEGER) AS position, feature FROM best
+    UNION ALL SELECT (SELECT count(*) FROM emb), 0, 'interval_indicator'"""
+
+
+@query("g38_select_features", GREEDY_SQL)
 def g38(spark, d):
     m = embedding_matrix(spark, d).withColumn("interval_indicator", F.lit(2.0))
     chosen = sel.select_features(m, ["interval_indicator", *EMBED_FEATURES], threshold=0.12)
