@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Window, functions as F
 
 from barlab.catalog.inputs import (
-    CHECK_FEATURES, EMBED_FEATURES, check_cte, check_matrix, embedding_cte, embedding_matrix, event_bars,
-    event_bars_cte, rounded, table,
+    CHECK_FEATURES, EMBED_FEATURES, check_cte, check_matrix, embedding_cte, embedding_matrix,
+    rounded, table,
 )
 from barlab.catalog.registry import query
 from barlab.operators import integrity as it

@@ -6,8 +6,6 @@ and statistical properties.
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from barlab.catalog.inputs import EMBED_FEATURES, check_matrix, embedding_cte, embedding_matrix, rounded, table
