@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
     usable = narrow.where("doc_id is not null and text is not null")
     copies = members.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     usable = without_ids(usable, copies.select(F.col("a").alias("doc_id")))  # one document of each set
-    keys = store(shared_keys(usable, shingle, bands, scratch_partitions(docs)), "keys")
+    keys = store(shared_keys(usable, shingle, bands, 2 * scratch_partitions(docs)), "keys")
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("a"))
     stars = keys.join(heads, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
     stars = store(plausible(stars, info, num, den), "stars")
