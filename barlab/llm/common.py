@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -182,3 +183,24 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         last = now
     low = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return low.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+_TOKENIZERS: dict = {}
+
+
+def tokenizer(path: str):
+    """The worker's tokenizer for a file, loaded once and kept to one thread: a task has one core."""
+    if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tk = Tokenizer.from_file(path)
+        tk.no_truncation()
+        tk.no_padding()
+        _TOKENIZERS[path] = tk
+    return _TOKENIZERS[path]
+
+
+def give_back() -> None:
+    """Return memory that Arrow keeps for later to the system; Spark reuses workers for other tasks."""
+    pa.default_memory_pool().release_unused()

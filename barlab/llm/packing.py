@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import slices, text_bytes, word_strings
+from barlab.llm.common import slices, text_bytes, tokenizer, word_strings
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, sequence_cost double")
@@ -26,11 +26,7 @@ class ChunkIds:
     """
 
     def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tk = Tokenizer.from_file(path)
-        self.tk.no_truncation()
-        self.tk.no_padding()
+        self.tk = tokenizer(path)
         self.limit = limit
         self.clear()
 

@@ -16,13 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from barlab.llm.common import BLOCK_ROWS, U64, binary_rows, mix, scratch_partitions, slices
+from barlab.llm.common import BLOCK_ROWS, U64, binary_rows, give_back, mix, scratch_partitions, slices
 
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 #: A word in more than this share of a block's documents is dealt over several buckets, if the caller allows it.
 FREQUENT = 16
 #: Text of a block.
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 3 << 20
 CHUNK_ROWS = 128
 
 
@@ -122,6 +122,8 @@ def postings(docs: DataFrame, words_of: Callable, carry: dict[str, str], header:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(payload), block)), pa.array(bucket[cuts[:-1]]), pa.array(payload, pa.binary()), *(pa.nulls(len(payload), pa.list_(KINDS[v])) for v in carry.values())],
                 names=names)
+            del whole, words, payload, key, freq
+            give_back()
 
     return docs.mapInArrow(emit, schema)
 
@@ -174,6 +176,8 @@ def weighted_sums(posted: DataFrame, value_cols: list[str], carry: dict[str, str
                     acc[j] += np.bincount(ords, np.repeat(v, m) * freq, BLOCK_ROWS)
         if now is not None:
             yield flush()
+        del values
+        give_back()
 
     def finish(key, group):
         ords, parts = group.column("ords").to_pylist(), [group.column(c).to_pylist() for c in value_cols]

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from barlab.llm.common import tokenizer
 from barlab.llm.postings import in_chunks, postings, weighted_sums
 
 _RUN = re.compile(r"\s\s|\x00|[\x1c-\x1f]")
@@ -47,18 +48,14 @@ def piece_counter(tokenizer_path: str) -> Callable:
     """A task's table of distinct pre-tokens: each is encoded once, whatever number of blocks and documents hold it."""
 
     def start():
-        from tokenizers import Tokenizer
-
-        tk = Tokenizer.from_file(tokenizer_path)
-        tk.no_truncation()
-        tk.no_padding()
+        tk = tokenizer(tokenizer_path)
         known: dict[bytes, int] = {}
 
         def pieces(words: pa.Array) -> list[np.ndarray]:
             keys = words.to_pylist()
             new = list({k for k in keys if k not in known})
-            for s in range(0, len(new), 4096):
-                part = new[s:s + 4096]
+            for s in range(0, len(new), 1024):
+                part = new[s:s + 1024]
                 known.update(zip(part, (len(e.ids) for e in tk.encode_batch([k.decode() for k in part], add_special_tokens=False))))
             return [np.fromiter((known[k] for k in keys), np.float64, len(keys))]
 
