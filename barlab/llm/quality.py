@@ -42,14 +42,25 @@ def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([(g % U64(buckets)).astype(np.int64) for g in grams]), np.tile(doc, len(grams))
 
 
+def usable_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) once per labelled id, with its larger label; rows without an id or a value of 0 or 1 are left out."""
+    clean = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    return clean.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def bounded_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
     """At most ``bound`` labelled ids of each class, those with the smallest hashes: (doc_id, label)."""
-    clean = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    clean = clean.groupBy("doc_id").agg(F.max("label").alias("label"))
+    clean = usable_labels(labels, column)
     take = lambda v: clean.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return take(0).unionByName(take(1))
 
 
+def intercept_shift(labels: DataFrame, column: str, picked: DataFrame) -> float:
+    """What takes an intercept fitted on ``picked`` (of ``bounded_labels``) to the class ratio of all labels; 0 if nothing was left out."""
+    n, m = ({r.label: r["count"] for r in df.groupBy("label").count().collect()} for df in (usable_labels(labels, column), picked))
+    return float(np.log(n[1] / n[0] * m[0] / m[1])) if len(m) == 2 else 0.0
+
+
 def gram_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """N-gram counts of all texts and of the target ones (label 1): one number per bucket."""
 
@@ -88,14 +99,14 @@ def weigh(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
     """Intercept and slope of a one-variable logistic regression (Newton steps with a small ridge)."""
-    scale = float(x.std()) or 1.0
-    z = np.stack([np.ones_like(x), x / scale], axis=1)
+    mid, scale = float(x.mean()), float(x.std()) or 1.0  # away from zero the steps would not converge
+    z = np.stack([np.ones_like(x), (x - mid) / scale], axis=1)
     b = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
         h = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(x) * np.diag([1e-6, 1e-2]) + 1e-9 * np.eye(2)
         b = b + np.clip(np.linalg.solve(h, z.T @ (y - p) - ridge * len(x) * np.array([1e-6, 1e-2]) * b), -4, 4)
-    return float(b[0]), float(b[1] / scale)
+    return float(b[0] - b[1] * mid / scale), float(b[1] / scale)
 
 
 def kth_largest(rows: DataFrame, k: int) -> float | None:
@@ -131,7 +142,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, label: str = "qualit
     """``docs`` with ``__quality``, a struct of weight, log_odds, key and kept: Gumbel top-k over the importance of each text.
 
     The target model counts the n-grams of texts labelled 1, the raw model those of all texts. At most ``bound`` labels of
-    each class take part (they also calibrate the mean log-ratio to log-odds); every text is counted and weighed whole.
+    each class take part (they also calibrate the mean log-ratio to log-odds, at the class ratio of all labels); every text
+    is counted and weighed whole.
     ``key`` is log-odds plus Gumbel noise, and the k largest keys are kept, k being the number of texts with
     non-negative log-odds. Null and empty texts have no n-grams and weight 0. Equal rows have equal keys and stay or go
     together, as do ties at the k-th key. Without labels of both classes everything is kept. Labels with a null id or
@@ -146,6 +158,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, label: str = "qualit
     sample = weighed.join(F.broadcast(picked), "doc_id").select("__weight", "label").collect()  # a bounded sample
     x, y = np.array([r["__weight"] for r in sample]), np.array([r.label for r in sample], float)
     a, b = logistic(x, y) if len(set(y)) == 2 else (1.0, 0.0)
+    a += intercept_shift(labels, label, picked)
     odds = F.lit(a) + F.lit(b) * F.col("__weight")
     keyed = weighed.select(odds.alias("odds"), (odds + gumbel(seed)).alias("key"))
     cut = kth_largest(keyed, keyed.where("odds >= 0").count())

@@ -35,6 +35,19 @@ def test_resampling_keeps_the_target_and_drops_junk(spark, make):
     assert quality.importance_resample(make(texts).limit(0), labels).count() == 0
 
 
+def test_resampling_does_not_depend_on_the_label_bound(spark, make):
+    rng = random.Random(11)
+    texts, labels = [], []
+    for i in range(700):  # about six good texts to a bad one, and odds that overlap
+        share = rng.random()
+        texts.append(" ".join(w if rng.random() < share else w.upper() + "!" for w in prose(rng, 60).split()))
+        labels.append((i, int(rng.random() < 1 / (1 + math.exp(-0.3 - 3 * share)))))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    whole, cut = (quality.importance_resample(make(texts), labels, bound=b).select("__quality.*").collect() for b in (20_000, 60))
+    assert abs(np.mean([r.log_odds for r in whole]) - np.mean([r.log_odds for r in cut])) < 0.7
+    assert abs(sum(r.kept for r in whole) - sum(r.kept for r in cut)) < 90
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(2)
     values = np.round(np.concatenate([rng.normal(size=3000), np.full(50, 0.25), rng.normal(1e-9, 1e-12, 100)]), 12)
