@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.common import APART, U64, crc_share, mix, slices, store, text_bytes, word_hashes
-from barlab.llm.quality import bounded_labels, logistic
+from barlab.llm.quality import bounded_labels, intercept_shift, logistic
 
 #: Views of a token: the whole token and its first bytes, so that an unseen form of a known stem has a score.
 VIEWS = (None, 4, 5, 6, 7)
@@ -192,8 +192,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
 
     Labels are learnt from at most ``bound`` rows of each class outside the held-out share, and are never an input of a
     score. The lexicon comes from all of them; its extreme-value scale and the map from a text's evidence to a
-    probability come from two halves, each judged by the lexicon of the other. Null, empty and
-    token-free texts have no passage and get the score of no evidence. Rows are scored one by one; null and repeated ids stay.
+    probability come from two halves, each judged by the lexicon of the other, at the class ratio of all labels outside
+    the held-out share. Null, empty and token-free texts have no passage and get the score of no evidence. Rows are scored one by one; null and repeated ids stay.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -203,9 +203,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
     counts = store(view_counts(train), "views")
     sizes = {(r.fold, r.label): r["count"] for r in train.groupBy("fold", "label").count().collect()}
     bad_texts, texts = [sizes.get((f, 1), 0) for f in (0, 1)], [sizes.get((f, 0), 0) + sizes.get((f, 1), 0) for f in (0, 1)]
-    share = sum(bad_texts) / max(sum(texts), 1)
     bad, both = F.col("bad0") + F.col("bad1"), F.col("all0") + F.col("all1")
-    listed = counts.where((bad >= min_docs) & (bad > 2 * share * both)).orderBy(F.desc(bad / (both - bad + 1)), "h").limit(2 * size).collect()
+    # twice as frequent in toxic texts as in others: a ratio of rates, which the sizes of the classes do not move
+    often = bad * (sum(texts) - sum(bad_texts)) > 2 * (both - bad) * sum(bad_texts)
+    listed = counts.where((bad >= min_docs) & often).orderBy(F.desc(bad / (both - bad + 1)), "h").limit(2 * size).collect()
     prior, tokens = prior_counts(rows, np.array(sorted(r.h for r in listed), np.int64)) if listed else ({}, 1)
     fit = lambda cells, k, n: lexicon_of(cells, k, n, prior, tokens, size, certainty, strength)
     lexicon = fit([(r.h, r.bad0 + r.bad1, r.all0 + r.all1) for r in listed], sum(bad_texts), sum(texts))
@@ -230,7 +231,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
         x = np.append(x, [math.log1p(r.evidence + r.top) for r in probe])  # a bounded sample
         y = np.append(y, [float(r.label) for r in probe])
     a, b = logistic(x, y) if len(set(y)) == 2 else (-3.0, 0.0)
-    b = max(b, 0.0)
+    a, b = a + intercept_shift(usable, label, picked), max(b, 0.0)
     scored = passage_scores(rows.withColumn("held_out", crc_share("doc_id", modulus) == held), lexicon, scale, 0.1, level)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) + F.lit(b) * F.log1p(F.col("evidence") + F.col("top")))))
     return scored.withColumn("score", score).select(

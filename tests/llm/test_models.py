@@ -96,6 +96,25 @@ def test_toxicity_on_held_out_texts(spark, make):
     assert toxicity.score_toxicity(make(texts[:3]).limit(0), labels).count() == 0
 
 
+def test_toxicity_with_both_classes_at_the_bound(spark, make):
+    rng = random.Random(12)
+    marks = [int(i % 5 == 0) for i in range(400)]
+    texts = [prose(rng, 70) + (" " + " ".join(rng.choice(["vlorm", "grukash", "zentolk"]) for _ in range(6)) if m else "") for m in marks]
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(make(texts), labels, bound=40).collect()}
+    held = [i for i in range(400) if rows[i].held_out]
+    assert np.mean([rows[i].predicted == marks[i] for i in held]) > 0.97
+
+
+def test_toxicity_intercept_is_that_of_all_labels(spark, make):
+    rng = random.Random(13)
+    texts = [prose(rng, 60) for _ in range(400)]  # no evidence at all: every score is the toxic share of the labels
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    for bound in (20_000, 40):
+        scores = [r.score for r in toxicity.score_toxicity(make(texts), labels, bound=bound).collect()]
+        assert abs(np.median(scores) - 0.2) < 0.06
+
+
 def test_word_hashes_depend_on_the_word_alone():
     texts = [b"A b  longer-word\n", b"", b" \t", b"b a LONGER-word x" + b"y" * 5000, b"b"]
     raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
