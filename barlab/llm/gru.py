@@ -30,6 +30,7 @@ class Gru:
             self.p["cb"] = np.logaddexp.reduce(lp, axis=1)
             self.p["wb"] = lp - self.p["cb"][:, None]
         self.p = {k: x.astype(F32) for k, x in self.p.items()}
+        self.moments, self.updates = None, 0
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -100,10 +101,14 @@ class Gru:
                 ds[at] += dw @ p["ww"][c].T
         return (out, g, ds) if grad else out
 
-    def train(self, docs: list[np.ndarray], lanes: int = 16, window: int = 32, rate: float = 0.02) -> Gru:
-        """One pass of Adam over the documents, backpropagation cut at ``window`` steps, states carried on."""
+    def train(self, docs: list[np.ndarray], lanes: int = 16, window: int = 32, rate: float = 0.02, most: int = 256) -> Gru:
+        """One pass of Adam over the documents, backpropagation cut at ``window`` steps, states carried on.
+
+        Long streams take up to ``most`` lanes, as long as that leaves 128 steps of Adam. A further call goes on with the
+        moments of the last one.
+        """
         stream = np.concatenate(docs)
-        lanes = max(1, min(lanes, len(stream) // (4 * window)))
+        lanes = max(1, min(lanes, len(stream) // (4 * window)), min(most, len(stream) // (128 * window)))
         first = np.zeros(len(stream), bool)
         first[np.cumsum([0, *map(len, docs)])[:-1]] = True
         steps = -(-len(stream) // lanes)
@@ -114,8 +119,8 @@ class Gru:
         ids = np.pad(stream, (0, pad)).reshape(lanes, steps).T
         reset = np.pad(first, (0, pad), constant_values=True).reshape(lanes, steps).T
         weight = weight.reshape(lanes, steps).T
-        m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        h, n, k = np.zeros((lanes, self.hidden), F32), self.hidden, 0
+        m, v = self.moments = self.moments or tuple({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        h, n = np.zeros((lanes, self.hidden), F32), self.hidden
         for s in range(0, steps, window):
             i, r, w = ids[s:s + window], reset[s:s + window], weight[s:s + window]
             before, h, kept = self.run(i, r, h.copy(), trace=True)
@@ -139,7 +144,8 @@ class Gru:
             g["u"], g["gate"] = du, dx.sum((0, 1))
             g["table"] = np.zeros_like(self.p["table"])
             np.add.at(g["table"], i.ravel(), dx.reshape(-1, 3 * n))
-            k += 1
+            self.updates += 1
+            k = self.updates
             count = max(1, int(live.sum()))
             for name, x in self.p.items():
                 d = np.clip(-g[name] / count, -1, 1)

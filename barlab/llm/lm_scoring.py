@@ -13,6 +13,8 @@ from barlab.llm.gru import Gru
 from barlab.llm.postings import BLOCK_BYTES, postings, weighted_sums, word_counts
 
 END = b""
+#: Tokens of texts that the recurrent model holds at a time while it is trained.
+LEARN = 1 << 20
 
 
 def words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
@@ -43,15 +45,15 @@ def ids_of(batch: pa.RecordBatch, keys: np.ndarray, codes: np.ndarray, end_id: i
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, classes: int = 32, width: int = 32, hidden: int = 24,
-                    train_share: int = 32, rounds: int = 2) -> DataFrame:
+                    train_share: int = 1, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
     A null or empty text is its end token alone. Rows are scored one by one, so repeated rows and null ids stay. Word counts
     come from all documents outside the held-out share. The recurrent model knows the ``classes * width - 2`` most
     frequent words (a bounded model size); any other word costs the model's unknown token times the word's share of
-    the base probability outside the vocabulary, so the score is a proper probability of the text. It is trained on one
-    document in ``train_share`` of the training ones, whole texts, in every input split (so what is learnt from grows with
-    the corpus), and the splits' models are averaged after each of ``rounds`` passes.
+    the base probability outside the vocabulary, so the score is a proper probability of the text. It is trained on every
+    training document, whole texts, in every input split, and the splits' models are averaged after each of ``rounds``
+    passes. A ``train_share`` above 1 leaves all but one document in that many out.
     With no training tokens every count is 0 and the base is uniform.
     """
     size = classes * width
@@ -92,14 +94,18 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, classes: i
         now = params
 
         def learn(batches):
-            texts = []
+            model, texts, held, tokens = Gru(classes, width, hidden, start).load(now), [], 0, 0
             for batch in slices(batches):
                 ids, ends = ids_of(batch, keys, codes, end_id, unknown_id)
+                if texts and held + len(ids) > LEARN:
+                    model.train(texts)
+                    texts, held = [], 0
                 texts += np.split(ids, ends[:-1])
+                held, tokens = held + len(ids), tokens + len(ids)
             if texts:
-                model = Gru(classes, width, hidden, start).load(now).train(texts)
+                model.train(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([float(sum(map(len, texts)))]), pa.array([model.flat()], pa.list_(pa.float32()))], names=["weight", "model"])
+                    [pa.array([float(tokens)]), pa.array([model.flat()], pa.list_(pa.float32()))], names=["weight", "model"])
 
         mean = learners.mapInArrow(learn, "weight double, model array<float>").select("weight", F.posexplode("model").alias("i", "x")).groupBy("i").agg(
             (F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x")).collect()  # one row per parameter: a fixed number

@@ -182,6 +182,21 @@ def test_language_model_base_equals_brute_force(make):
     assert lm_scoring.score_documents(make(["a b"]).limit(0)).count() == 0
 
 
+def test_language_model_learns_from_every_training_document(make, monkeypatch):
+    seen = []
+    frame = type(make(["a"]).select("text"))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a, **b: (seen.append(self) if f.__name__ == "learn" else None, plain(self, f, schema, *a, **b))[1])
+    texts = [f"text{i} " + "word " * (i % 7) for i in range(150)]
+    lm_scoring.score_documents(make(texts + ["the same"] * 40, ids=[*range(150), *[7] * 20, *[None] * 20]))
+    want = collections.Counter(t for i, t in zip([*range(150), *[7] * 20, *[None] * 20], texts + ["the same"] * 40) if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2)
+    assert len(seen) == 2 and all(collections.Counter(r.text for r in d.collect()) == want for d in seen)
+    docs = [np.tile([1, 2, 3, 4, 5, 6], 40) for _ in range(60)]
+    model = Gru(3, 4, 8)
+    pieces = [model.train(docs[i:i + 20]).updates for i in (0, 20, 40)]
+    assert pieces == sorted(set(pieces)) and model.score(docs[0], np.array([240]))[0] > 0.3 * Gru(3, 4, 8).score(docs[0], np.array([240]))[0]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_pipeline_stages(spark):
     import corpus_pipeline
