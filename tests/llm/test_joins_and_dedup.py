@@ -175,6 +175,38 @@ def test_decontamination_finds_copies_and_paraphrases(spark, make):
     assert decontaminate.contaminated_pairs(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_copies_among_words_of_no_item(make, spark):
+    rng = random.Random(8)
+    words = [f"common{i}" for i in range(45)]
+    items = [" ".join(words[k * 15:k * 15 + 15]) for k in range(3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    other = lambda n: [f"other{rng.randrange(10 ** 6)}" for _ in range(n)]
+    clean = []
+    for _ in range(60):  # the items' words are in nearly all documents, those around a copy in none: so it is in a large corpus
+        mixed = words + other(200)
+        rng.shuffle(mixed)
+        clean.append(" ".join(mixed))
+    copies = [" ".join([*other(60), item, *other(60)]) for item in items]
+    near = [" ".join([*other(60), *(w for j, w in enumerate(item.split()) if j not in (3, 9)), *other(60)]) for item in items]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(make(clean + copies + near), bench).collect()}
+    assert got == {(60 + k, k % 3) for k in range(6)}
+
+
+def test_overlaps_lose_no_common_subsequence():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        item = rng.integers(0, 12, rng.integers(1, 20))
+        term = rng.integers(-1, 30, 300)
+        before = np.array([0, 0, 130, 131, 300])
+        doc, first, end = decontaminate.passages(before)
+        has = np.zeros(31, np.int8)
+        has[item] = 1
+        at, _ = decontaminate.overlaps(term, before, doc, first, end, has, len(item), 0.5)
+        for p in range(len(doc)):
+            text = term[max(before[doc[p]], first[p] - len(item)):min(before[doc[p] + 1], end[p] + len(item))]
+            assert decontaminate.lcs(item, text) < 0.5 * len(item) or p in at
+
+
 def test_lcs():
     rng = np.random.default_rng(1)
     for _ in range(50):
