@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from barlab.llm import sql
 from barlab.llm.common import table
 from barlab.llm.decontaminate import contaminated_pairs
 from barlab.llm.exact_dedup import exact_groups
 from barlab.llm.lm_scoring import score_documents
+from barlab.llm.merkle import tampered_manifest
 from barlab.llm.ngram_join import jaccard_components
 from barlab.llm.packing import pack_sequences
 from barlab.llm.quality import importance_resample
@@ -88,3 +90,8 @@ def op9(spark, sf_dir):
 @query("op10_lm_scoring")
 def op10(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", sql.MERKLE)
+def op11(spark, sf_dir):
+    return tampered_manifest(table(spark, sf_dir, "documents"))
