@@ -14,6 +14,7 @@ from barlab.llm.merkle import tampered_manifest
 from barlab.llm.ngram_join import jaccard_components
 from barlab.llm.packing import pack_sequences
 from barlab.llm.quality import importance_resample
+from barlab.llm.runs import run_digests, with_planted_runs
 from barlab.llm.secrets import scan_secrets
 from barlab.llm.suffix_dedup import remove_copies
 from barlab.llm.token_counts import token_counts
@@ -95,3 +96,8 @@ def op10(spark, sf_dir):
 @query("op11_merkle_manifest", sql.MERKLE)
 def op11(spark, sf_dir):
     return tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs", sql.RUNS)
+def op12(spark, sf_dir):
+    return run_digests(with_planted_runs(table(spark, sf_dir, "documents")))

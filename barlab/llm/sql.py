@@ -57,3 +57,38 @@ SELECT p.doc_id, p.leaf, g.h AS subroot, r.h AS root, coalesce(q.proof_sha256, s
        e.folded_root = r.h AS verified, CASE WHEN {crc32('doc_id::VARCHAR')} % 7 = 0 THEN e.depth ELSE 0 END AS copied_nodes
 FROM placed p JOIN groups g USING (tree) JOIN ends e USING (id) LEFT JOIN proofs q USING (id) CROSS JOIN (SELECT h FROM upper_nodes WHERE n = 1) r
 """
+
+RUNS = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         {crc32('doc_id::VARCHAR')}::BIGINT AS h
+  FROM documents
+), planted AS (
+  SELECT *, len(w) AS n, (h // 10) % nullif(len(w), 0) AS a FROM split
+), period AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM planted
+), words AS (
+  SELECT id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM period)
+), meet AS (
+  SELECT x.id, y.i - x.i AS q, y.i AS j FROM words x JOIN words y ON y.id = x.id AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= y.n
+), islands AS (
+  SELECT id, q, min(j) - q AS start, count(*) + q AS length
+  FROM (SELECT *, j - row_number() OVER (PARTITION BY id, q ORDER BY j) AS island FROM meet) GROUP BY id, q, island
+), long AS (
+  SELECT * FROM islands WHERE length >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM long l WHERE NOT EXISTS (
+    SELECT 1 FROM long s WHERE s.id = l.id AND s.q < l.q AND s.start <= l.start AND s.start + s.length >= l.start + l.length)
+), summary AS (
+  SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY id
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY length::DOUBLE / q DESC, start, q) = 1
+), kept AS (
+  SELECT id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words w
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.id = w.id AND w.i >= r.start + r.q AND w.i < r.start + r.length) GROUP BY id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM split LEFT JOIN summary USING (id) LEFT JOIN best USING (id) LEFT JOIN kept USING (id)
+"""
