@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlab.llm import sql
 from barlab.llm.common import table
@@ -14,6 +14,7 @@ from barlab.llm.merkle import tampered_manifest
 from barlab.llm.ngram_join import jaccard_components
 from barlab.llm.packing import pack_sequences
 from barlab.llm.quality import importance_resample
+from barlab.llm.quality_rules import apply_rules
 from barlab.llm.runs import run_digests, with_planted_runs
 from barlab.llm.secrets import scan_secrets
 from barlab.llm.suffix_dedup import remove_copies
@@ -101,3 +102,8 @@ def op11(spark, sf_dir):
 @query("op12_periodic_runs", sql.RUNS)
 def op12(spark, sf_dir):
     return run_digests(with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+@query("op13_adaptive_quality_rules", sql.QUALITY)
+def op13(spark, sf_dir):
+    return apply_rules(table(spark, sf_dir, "documents")).withColumn("outliers", F.array_join(F.array_sort("outliers"), ","))

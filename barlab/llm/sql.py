@@ -92,3 +92,55 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 *
        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM split LEFT JOIN summary USING (id) LEFT JOIN best USING (id) LEFT JOIN kept USING (id)
 """
+
+_FEATURES = {
+    "word_length": ("1000 * word_chars // n_words", 500), "symbols": ("1000 * n_symbols // word_chars", 10),
+    "capitals": ("1000 * n_capitals // word_chars", 30), "dup_lines": ("1000 * n_dup_lines // (n_lines + 20)", 30),
+    "repeats": ("1000 * n_repeat_words // (n_words + 100)", 60),
+    "echoes": ("1000 * n_echo_words // (n_words + 20)", 30),
+}
+_LONG = " UNION ALL ".join(f"SELECT id, lang_key, source_key, '{f}' AS feature, {w} AS least, {e} AS v FROM counts WHERE NOT base_failed"
+                           for f, (e, w) in _FEATURES.items())
+
+
+def _fences(level: str, keys: str) -> str:
+    by = f"{keys}, feature" if keys else "feature"
+    return f"""{level} AS (
+  SELECT {by}, n, q1 - 3 * greatest(q3 - q1, least) AS low, q3 + 3 * greatest(q3 - q1, least) AS high FROM (
+    SELECT {by}, max(least) AS least, max(total) AS n, min(lowest) FILTER (4 * upto >= total) AS q1, min(highest) FILTER (4 * upto >= 3 * total) AS q3
+    FROM (SELECT {by}, lowest, highest, max(least) AS least, sum(count(*)) OVER (PARTITION BY {by} ORDER BY lowest) AS upto,
+                 sum(count(*)) OVER (PARTITION BY {by}) AS total FROM bucketed GROUP BY {by}, lowest, highest) GROUP BY {by}))"""
+
+
+QUALITY = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, '=' || lang AS lang_key, '=' || source AS source_key, coalesce(text, '') AS t FROM documents
+), split AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts
+), windows AS (
+  SELECT id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM split)
+), again AS (
+  SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, win) > 1
+), covered AS (
+  SELECT id, count(DISTINCT place) AS n FROM (SELECT id, unnest(range(i, i + 8)) AS place FROM again) GROUP BY id
+), counts AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM (
+    SELECT s.id, doc_id, coalesce(lang_key, '') AS lang_key, coalesce(source_key, '') AS source_key, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
+           len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+           len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echo_words
+    FROM split s LEFT JOIN covered USING (id))
+), long AS ({_LONG}
+), bucketed AS (
+  SELECT *, (v >> shift) << shift AS lowest, (((v >> shift) + 1) << shift) - 1 AS highest FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS shift FROM long)
+), {_fences('own', 'lang_key, source_key')}, {_fences('language', 'lang_key')}, {_fences('corpus', '')}
+, judged AS (
+  SELECT l.id, list(l.feature ORDER BY l.feature) FILTER (NOT l.v BETWEEN
+           CASE WHEN o.n >= 200 THEN o.low WHEN g.n >= 200 THEN g.low ELSE c.low END AND
+           CASE WHEN o.n >= 200 THEN o.high WHEN g.n >= 200 THEN g.high ELSE c.high END) AS bad
+  FROM long l JOIN own o USING (lang_key, source_key, feature) JOIN language g USING (lang_key, feature) JOIN corpus c USING (feature) GROUP BY l.id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad IS NULL AS kept,
+       coalesce(array_to_string(bad, ','), '') AS outliers
+FROM counts LEFT JOIN judged USING (id)
+"""
