@@ -16,7 +16,9 @@ from barlab.operators import calibration as cal
 from barlab.operators import folds as fo
 from barlab.operators import metrics as me
 from barlab.operators import splits as sp
-from barlab.operators.ranks import auc, quantiles
+from barlab.operators.attach import attach
+from barlab.operators.ranks import approx_quantiles, auc, quantiles
+from barlab.operators.sketch import rank_error
 from barlab.plans.stacking import oof_matrix
 
 
@@ -437,6 +439,19 @@ def g52(spark, d):
     return q.select("l_returnflag", F.transform("q", lambda x: rounded(x, 4)).alias("q"))
 
 
+@query("g52_sketch_quantiles", """SELECT l_returnflag, p, count(*) AS n, TRUE AS within_error
+    FROM lineitem, (SELECT unnest([0.05, 0.25, 0.5, 0.9]::DOUBLE[]) AS p) GROUP BY 1, 2""")
+def g52_sketch(spark, d):
+    """Quantiles from a mergeable sketch, each held against the exact ranks of its value over all rows."""
+    rows, probs = table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("x")), [0.05, 0.25, 0.5, 0.9]
+    q = approx_quantiles(rows, ["l_returnflag"], "x", probs, "q")
+    ranked = attach(rows, q, ["l_returnflag"], F.col("x")).select("l_returnflag", "x", F.posexplode("q").alias("i", "q")).groupBy("l_returnflag", "i").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("q")).alias("below"), F.count_if(F.col("x") <= F.col("q")).alias("upto"))
+    p = F.get(F.array(*[F.lit(v) for v in probs]), F.col("i"))
+    error = 2 * rank_error()
+    return ranked.select("l_returnflag", p.alias("p"), "n", ((F.col("below") / F.col("n") <= p + error) & (F.col("upto") / F.col("n") >= p - error)).alias("within_error"))
+
+
 @query("c07_oof_inner_join", f"""WITH {event_bars_cte()},
       p AS (SELECT symbol, ts, close_price / (close_price + 50) AS v FROM bars WHERE close_price > 0),
       w AS (SELECT ts, max(v) FILTER (symbol = 'click') AS click, max(v) FILTER (symbol = 'view') AS view, max(v) FILTER (symbol = 'signup') AS signup

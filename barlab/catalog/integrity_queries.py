@@ -11,6 +11,7 @@ from barlab.catalog.inputs import (
 from barlab.catalog.registry import query
 from barlab.operators import integrity as it
 from barlab.operators import selection as sel
+from barlab.operators.neighbours import neighbour_information
 
 K = ["symbol"]
 def _end(spark, d):
@@ -138,6 +139,42 @@ def mi_cte(source: str, feats, y: str, n_bins: int = 10) -> str:
            GROUP BY 1)"""
 
 
+def neighbour_cte(source: str, feats, y: str) -> str:
+    """The nearest-neighbour estimate with three neighbours, by counting every row inside every interval."""
+    names = ", ".join(feats)
+    sides = ", ".join(f"{{'d': {d}, 'c': {f}(c, {j}) OVER w}}" for j in (1, 2, 3) for f, d in ((f"lag", f"x - lag(x, {j}) OVER w"), ("lead", f"lead(x, {j}) OVER w - x")))
+    return f"""nl AS (UNPIVOT (SELECT {y} AS yy, {names} FROM {source}) ON {names} INTO NAME feature VALUE x),
+    nc AS (SELECT feature, yy, x, count(*) AS c FROM nl GROUP BY ALL),
+    nn AS (SELECT *, list_sort(list_filter([{sides}], lambda s: s.d IS NOT NULL)) AS near FROM nc WINDOW w AS (PARTITION BY feature, yy ORDER BY x)),
+    nk AS (SELECT *, least(3, c - 1 + coalesce(list_sum(list_transform(near, lambda s: s.c)), 0)) AS k FROM nn),
+    nr AS (SELECT *, CASE WHEN c - 1 >= k THEN 0 WHEN c - 1 + near[1].c >= k THEN near[1].d WHEN c - 1 + near[1].c + near[2].c >= k THEN near[2].d ELSE near[3].d END AS r
+           FROM nk WHERE k > 0),
+    nm AS (SELECT a.feature, a.yy, a.x, any_value(a.c) AS c, any_value(a.k) AS k, sum(b.c) AS m FROM nr a JOIN nc b ON b.feature = a.feature
+             AND ((a.r = 0 AND b.x = a.x) OR (b.x > a.x - a.r AND b.x < a.x + a.r)) GROUP BY a.feature, a.yy, a.x),
+    dg AS (SELECT n, coalesce(sum(1.0 / nullif(n - 1, 0)) OVER (ORDER BY n), 0) - 0.5772156649015329 AS psi FROM range(1, (SELECT count(*) + 2 FROM {source})) t(n)),
+    ny AS (SELECT feature, yy, sum(c) AS c, sum(c) / sum(sum(c)) OVER (PARTITION BY feature) AS p FROM nc GROUP BY 1, 2),
+    nh AS (SELECT feature, sum(ny.c * psi) FILTER (ny.c > 1) AS sc, -sum(p * ln(p)) AS h FROM ny JOIN dg ON dg.n = ny.c GROUP BY 1),
+    ns AS (SELECT feature, sum(c) AS n, sum(c * (g1.psi - g2.psi)) AS s FROM nm JOIN dg g1 ON g1.n = k JOIN dg g2 ON g2.n = m GROUP BY 1),
+    mi AS (SELECT ns.feature, greatest(0, psi + (s - sc) / ns.n) AS mi, h FROM ns JOIN nh USING (feature) JOIN dg ON dg.n = ns.n)"""
+
+
+@query("g32_label_leakage_neighbours", f"""WITH {embedding_cte()}, {neighbour_cte("emb", EMBED_FEATURES, "y")}
+    SELECT feature, round(mi, 6) AS mi, round(mi / h, 6) AS score FROM mi""")
+def g32_neighbours(spark, d):
+    out = neighbour_information(embedding_matrix(spark, d), EMBED_FEATURES)
+    return out.select("feature", rounded("mi").alias("mi"), rounded("score").alias("score"))
+
+
+@query("g37_neighbour_information", f"""WITH o AS (SELECT CAST(o_totalprice AS DOUBLE) AS price, floor(CAST(o_totalprice AS DOUBLE) / 5000) AS steps, o_orderstatus AS y FROM orders),
+    {neighbour_cte("o", ("price", "steps"), "y")}
+    SELECT feature, round(mi, 6) AS mi, round(mi / h, 6) AS score FROM mi""")
+def g37_neighbours(spark, d):
+    """Order prices, once as they are and once with nothing but ties."""
+    price = F.col("o_totalprice").cast("double")
+    orders = table(spark, d, "orders").select(price.alias("price"), F.floor(price / 5000).cast("double").alias("steps"), F.col("o_orderstatus").alias("y"))
+    return neighbour_information(orders, ["price", "steps"]).select("feature", rounded("mi").alias("mi"), rounded("score").alias("score"))
+
+
 @query("g32_label_leakage_mi", f"""WITH {embedding_cte()}, {mi_cte("emb", EMBED_FEATURES, "y")}
     SELECT feature, round(mi, 6) AS mi, round(mi / h, 6) AS score FROM mi""")
 def g32(spark, d):
@@ -153,12 +190,16 @@ def g37(spark, d):
 
 
 def _checks(spark, d):
-    m = check_matrix(spark, d)
-    return it.combine([
-        it.min_rows(m, K), it.constant_features(m, CHECK_FEATURES, K), it.stale_tail(m, CHECK_FEATURES, _end(spark, d), K),
-        it.binary_class_balance(m, K), it.train_val_class_balance(m, 0.2, K), it.label_stationarity(m, K),
-        it.label_leakage(it.leakage_pearson(m, CLEAN, K), K),
-    ])
+    return it.check_suite(check_matrix(spark, d), CHECK_FEATURES, CLEAN, _end(spark, d), 0.2, K)
+
+
+SUITE = ("min_rows", "constant_features", "stale_tail", "binary_class_balance", "train_val_class_balance", "label_stationarity", "label_leakage")
+
+
+@query("g33_check_suite", f"""WITH {check_cte()}, {", ".join(f"m{i} AS ({SQLS[n][0]})" for i, n in enumerate(SUITE))}
+    {" UNION ALL ".join(f"SELECT symbol, '{n}' AS check_name, {SQLS[n][2]} AS severity, round(CAST({SQLS[n][1]} AS DOUBLE), 6) AS actual FROM m{i}" for i, n in enumerate(SUITE))}""")
+def g33_suite(spark, d):
+    return _out(_checks(spark, d)).withColumnRenamed("check", "check_name")
 
 
 @query("g33_worst_severity", f"""WITH {check_cte()}, {", ".join(
@@ -213,7 +254,8 @@ def k05(spark, d):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mi"), "feature")).cast("long"))
 
 
-GREEDY_SQL = f"""WITH RECURSIVE {_corr_sql(64).replace("lg", "lc")}, {mi_cte("emb", EMBED_FEATURES, "y")},
+def _greedy_sql(information: str) -> str:
+    return f"""WITH RECURSIVE {_corr_sql(64).replace("lg", "lc")}, {information},
     p AS (SELECT row_number() OVER (ORDER BY cm.i, cm.j) AS rn, cm.i AS a, cm.j AS b, ma.mi AS mia, mb.mi AS mib
           FROM cm JOIN mi ma ON ma.feature = cm.i JOIN mi mb ON mb.feature = cm.j WHERE cm.i < cm.j AND cm.corr > 0.12),
     walk AS (SELECT 0 AS rn, CAST([] AS VARCHAR[]) AS gone
@@ -227,14 +269,24 @@ GREEDY_SQL = f"""WITH RECURSIVE {_corr_sql(64).replace("lg", "lc")}, {mi_cte("em
     UNION ALL SELECT (SELECT count(*) FROM emb), 0, 'interval_indicator'"""
 
 
-@query("g38_select_features", GREEDY_SQL)
+@query("g38_select_features", _greedy_sql(mi_cte("emb", EMBED_FEATURES, "y")))
 def g38(spark, d):
     m = embedding_matrix(spark, d).withColumn("interval_indicator", F.lit(2.0))
-    chosen = sel.select_features(m, ["interval_indicator", *EMBED_FEATURES], threshold=0.12)
+    chosen = sel.select_features(m, ["interval_indicator", *EMBED_FEATURES], threshold=0.12, n_bins=10)
+    return _picked(m, chosen)
+
+
+def _picked(m, chosen):
     picked = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature")) for i, c in enumerate(chosen)])
     return m.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(picked).alias("p")).select("n_rows", "p.*")
 
 
+@query("g38_select_features_neighbours", _greedy_sql(neighbour_cte("emb", EMBED_FEATURES, "y")))
+def g38_neighbours(spark, d):
+    m = embedding_matrix(spark, d).withColumn("interval_indicator", F.lit(2.0))
+    return _picked(m, sel.select_features(m, ["interval_indicator", *EMBED_FEATURES], threshold=0.12))
+
+
 @query("p18_feature_side_columns", f"""WITH {embedding_cte()}, m AS (SELECT 2.0::DOUBLE AS interval_indicator, {", ".join(EMBED_FEATURES)} FROM emb)
     SELECT feature, feature = 'interval_indicator' AS is_side, count(x) AS n, round(avg(x), 6) AS mean
     FROM (UNPIVOT m ON interval_indicator, {", ".join(EMBED_FEATURES)} INTO NAME feature VALUE x) GROUP BY 1""")

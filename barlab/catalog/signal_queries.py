@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barlab.catalog.eval_queries import FOLD_AGG_CTE, FOLD_ROWS_CTE, auc_sql, binary_sql, bins_sql, fold_metric_rows
 from barlab.catalog.inputs import FOLDS_CTE, SCORES_CTE, rounded, score_folds, scores, table
 from barlab.catalog.registry import query
+from barlab.operators.frames import stable_sort
 from barlab.operators import calibration as cal
 from barlab.operators import folds as fo
 from barlab.operators import gates as ga
@@ -162,12 +163,10 @@ def k07(spark, d):
 @query("k01_stable_sort", """SELECT symbol, ts, piece_order, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, piece_order, id) AS pos FROM (
       SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, CAST(user_id % 2 AS INTEGER) AS piece_order, event_id AS id FROM events)""")
 def k01(spark, d):
-    from pyspark.sql import Window
-
     e = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
                                          (F.col("user_id") % 2).cast("int").alias("piece_order"), F.col("event_id").alias("id"))
-    pos = F.row_number().over(Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts", "piece_order", "id"))
-    return e.withColumn("pos", pos.cast("long")).drop("id")
+    days = e.withColumn("day", F.to_date("ts"))
+    return stable_sort(days, ["symbol", "day"], ["ts", "piece_order"], ["id"]).select("symbol", "ts", "piece_order", "pos")
 
 
 # --- runs ------------------------------------------------------------------------------------------------

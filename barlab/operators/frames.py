@@ -1,9 +1,11 @@
 """Row-exact window frames that still run in parallel within one symbol.
 
-Frames count rows, not time, so a row needs its position inside its key. Positions come from
-per-day row counts (a small table) plus a row number inside each day; no window spans a whole key
-except over that small table. Rows are then cut into chunks of consecutive positions, each chunk
-carrying copies of the neighbouring rows its frames reach, and the window runs per chunk.
+Frames count rows, not time, so a row needs its position inside its key. Positions come from ranges of
+(key, order columns): a sample of all rows places their bounds, so that a busy hour or a single symbol with most of
+the rows is cut as finely as its rows demand; range counts are summed up and rows are ranked inside
+their range. No window spans a whole key except over the table of range counts. Rows are then cut into chunks of consecutive
+positions, each chunk carrying copies of the neighbouring rows its frames reach, and the window runs
+per chunk.
 """
 
 from __future__ import annotations
@@ -12,7 +14,45 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from barlab.operators.sketch import slot_sample
+
 MIN_CHUNK_ROWS = 4096
+RANGE_ROWS = 1 << 15
+MAX_RANGES = 1 << 16
+_PICK = 64
+_FAN = 16
+
+
+def range_bounds(df: DataFrame, columns: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One row: ``_bounds``, ascending tuples of ``columns`` that cut ``df`` into ranges of about ``range_rows`` rows, and every
+    16th, 256th and 4096th of them, so that a row finds its range in a few comparisons.
+
+    The tuples come from a slot sample of one row in 64, at most ``4 * MAX_RANGES`` of them however many rows there are; they are the same
+    on every evaluation. Rows with equal tuples share a range.
+    """
+    picked = df.select(*columns).filter(F.pmod(F.xxhash64(*columns, F.lit("range")), F.lit(_PICK)) == 0)
+    sample = slot_sample(picked, [], columns, 4 * MAX_RANGES)
+    all_ = sample.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_s"), F.coalesce(F.sum("_seen"), F.lit(0)).alias("_n"))
+    parts = F.least(F.lit(MAX_RANGES), F.floor(F.col("_n") * _PICK / range_rows), F.size("_s")).cast("int")
+    steps = F.when(F.col("_parts") > 1, F.sequence(F.lit(1), F.col("_parts") - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda j: F.get("_s", F.floor(j * F.size("_s") / F.col("_parts")).cast("int"))
+    bounds = all_.withColumn("_parts", parts).select(F.array_distinct(F.transform(steps, at)).alias("_bounds"))
+    heads = lambda name: F.filter(name, lambda b, i: i % _FAN == _FAN - 1)
+    for level, below in (("_b1", "_bounds"), ("_b2", "_b1"), ("_b3", "_b2")):
+        bounds = bounds.withColumn(level, heads(below))
+    return bounds
+
+
+def with_range(df: DataFrame, columns: Sequence[str], out: str = "_slice", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with the number of its row's range of ``columns``; ranges ascend with them."""
+    rows = df.withColumn("_at", F.struct(*columns)).crossJoin(F.broadcast(range_bounds(df, columns, range_rows)))  # one row
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col("_at")))
+    index = below("_b3")
+    for level in ("_b2", "_b1", "_bounds"):
+        rows = rows.withColumn("_i", index * _FAN)
+        rows = rows.withColumn("_i", F.col("_i") + below(F.slice(level, F.col("_i") + 1, F.lit(_FAN))))
+        index = F.col("_i")
+    return rows.withColumn(out, index).drop("_at", "_i", "_bounds", "_b1", "_b2", "_b3")
 
 
 def number_rows(
@@ -21,16 +61,15 @@ def number_rows(
     order: Sequence[str],
     out: str = "_rn",
     total: str | None = None,
-    bucket: Column | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """0-based position of each row within ``keys`` under ``order`` (its first column is a timestamp).
+    """0-based position of each row within ``keys`` under ``order``.
 
-    ``bucket`` must be monotone in the first order column; by default it is the day. ``total`` names
-    an extra column with the row count of the key.
+    ``total`` names an extra column with the row count of the key. A total order gives one result; tied rows take
+    neighbouring positions in any order. Rows with a null key have no position and are left out.
     """
-    bucket = F.to_date(F.col(order[0])) if bucket is None else bucket
     part = [*keys, "_slice"]
-    rows = df.withColumn("_slice", bucket)
+    rows = with_range(df, [*keys, *order], "_slice", range_rows)
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -45,6 +84,11 @@ def number_rows(
     return rows.join(offsets, part).withColumn(out, F.col("_off") + local).drop("_slice", "_off")
 
 
+def stable_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: Sequence[str], out: str = "pos") -> DataFrame:
+    """1-based position under ``order`` within ``keys``; rows that tie keep the order of ``tie`` (their arrival)."""
+    return number_rows(df, keys, [*order, *tie], out).withColumn(out, (F.col(out) + 1).cast("long"))
+
+
 def add_halo(df: DataFrame, back: int, ahead: int, chunk_rows: int | None = None) -> DataFrame:
     """Copy each numbered row into every chunk whose frames can reach it; ``_core`` marks the owner."""
     size = chunk_rows or max(MIN_CHUNK_ROWS, 4 * (back + ahead))

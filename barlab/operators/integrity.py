@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barlab.functions.corr import pearson
 from barlab.functions.times import micros
 from barlab.operators.attach import attach
+from barlab.operators.frames import number_rows
 from barlab.operators.ranks import quantiles
 from barlab.operators.splits import halves, split_chronological
+from barlab.session import cut_lineage
 
 # Check thresholds.
 MIN_ROWS = 1000
@@ -169,6 +171,49 @@ def combine(checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def check_suite(
+    df: DataFrame, features: Sequence[str], leakage_features: Sequence[str], end: Column, val_fraction: float,
+    keys: Sequence[str] = (), order: Sequence[str] = ("ts",), y: str = "y", ts: str = "ts",
+) -> DataFrame:
+    """The checks of a binary label (0 or 1; anything else is one further class) as (keys, check, severity, actual).
+
+    Rows are ranked once; every check is a few columns of one grouped aggregate over them, unfolded at the end, so the input is
+    not read once per check. Equal to the single checks put together.
+    """
+    needed = dict.fromkeys([*keys, *order, ts, y, *features, *leakage_features])
+    rows = cut_lineage(df.select(*needed, end.alias("_end")))  # ranking reads it three times, the columns that lead here once
+    ranked = number_rows(rows, keys, order, "_rn", "_total")
+    label = F.col(y).cast("double")
+    late = F.col("_rn") >= F.col("_total") - F.greatest(F.lit(1), F.bround(F.col("_total") * val_fraction).cast("long"))
+    second = F.col("_rn") >= F.floor(F.col("_total") / 2)
+    mean = lambda where: F.avg(F.when(where, label))
+    stats = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max("_end").alias("_end"),
+        *[F.stddev_pop(f).alias(f"std_{f}") for f in features], *[F.max(F.when(F.col(f).isNotNull(), F.col(ts))).alias(f"last_{f}") for f in features],
+        F.count_if(label == 0).alias("n0"), F.count_if(label == 1).alias("n1"),
+        F.abs(mean(~late) - mean(late)).alias("balance"), F.abs(mean(~second) - mean(second)).alias("drift"),
+        *[F.abs(pearson(F.col(f).cast("double"), label)).alias(f"corr_{f}") for f in leakage_features],
+    )
+    total = lambda flags: sum((F.coalesce(f, F.lit(False)).cast("int") for f in flags), F.lit(0))
+    flat = total([F.col(f"std_{f}") < CONSTANT_STD for f in features])
+    stale = total([(micros("_end") - micros(f"last_{f}")) / 3_600_000_000 > STALE_HOURS for f in features])
+    counts = F.filter(F.array("n0", "n1", F.col("n") - F.col("n0") - F.col("n1")), lambda c: c > 0)
+    share = F.array_min(counts) / F.col("n")
+    leak = F.array_max(F.array(*[F.col(f"corr_{f}") for f in leakage_features]))
+    checks = {
+        "min_rows": (F.when(F.col("n") < MIN_ROWS, "FAIL").otherwise("PASS"), F.col("n")),
+        "constant_features": (_warn(flat > 0), flat),
+        "stale_tail": (_warn(stale > 0), stale),
+        "binary_class_balance": (F.when(F.size(counts) < 2, "FAIL").when(share < MIN_CLASS_SHARE, "WARN").otherwise("PASS"), share),
+        "train_val_class_balance": (F.when(F.col("balance").isNull(), "FAIL").when(F.col("balance") > BALANCE_DRIFT, "WARN").otherwise("PASS"), F.col("balance")),
+        "label_stationarity": (_warn((F.col("n") >= STATIONARITY_MIN_ROWS) & (F.col("drift") > STATIONARITY_DRIFT)), F.col("drift")),
+        "label_leakage": (F.when(leak.isNull(), None).when(leak >= LEAKAGE, "FAIL").otherwise("PASS"), leak),
+    }
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), severity.alias("severity"), actual.cast("double").alias("actual"))
+                     for name, (severity, actual) in checks.items()])
+    return stats.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*").filter(F.col("severity").isNotNull())
+
+
 def worst_severity(checks: DataFrame, keys: Sequence[str] = (), allow_leakage: bool = False) -> DataFrame:
     """FAIL > WARN > PASS; an allowed leakage failure only warns."""
     severity = F.col("severity")

@@ -1,8 +1,9 @@
 """Order statistics over groups of any size: prefix sums, exact quantiles, rank AUC, rank bins.
 
 A group is first reduced to its distinct values (map-side combine), then cut into value ranges. The
-cut points come from a hash-selected subset of the distinct values, so they are the same on every
-re-run and balance the ranges however the values cluster; results never depend on them. Each range
+cut points come from a slot sample of a hash-selected subset of the distinct values (``sketch``), so
+they are the same on every re-run, balance the ranges however the values cluster and rest on at most
+``SLOTS`` values of a group; results never depend on them. Each range
 is scanned on its own and ranges are chained through a table of at most ``RANGES`` rows per group.
 """
 
@@ -13,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.operators.attach import attach
+from barlab.operators.sketch import KLL_K, quantile_sketch, sketch_quantiles, slot_sample
 
 RANGES = 128
 _PICK = 4096
@@ -21,10 +23,8 @@ _STEP = 12
 
 def _with_range(distinct: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    cuts = (
-        distinct.filter(F.pmod(F.xxhash64(value), F.lit(_PICK)) == 0)
-        .groupBy(*keys).agg(F.array_distinct(F.percentile(value, probs)).alias("_cuts"))
-    )
+    picked = slot_sample(distinct.filter(F.pmod(F.xxhash64(value), F.lit(_PICK)) == 0), keys, [value])
+    cuts = picked.groupBy(*keys).agg(F.array_distinct(F.percentile(value, probs)).alias("_cuts"))
     cuts = cuts.withColumn("_heads", F.filter("_cuts", lambda c, i: i % _STEP == _STEP - 1))
     joined = attach(distinct, cuts, keys, F.col(value), "left")
     below = lambda array: F.size(F.filter(array, lambda c: c < F.col(value)))
@@ -122,3 +122,14 @@ def quantiles(
     point = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
     ordered = F.array_sort(F.collect_list(F.struct(F.col("_i"), point.alias("q"))))
     return ends.groupBy(*keys).agg(F.transform(ordered, lambda s: s["q"]).alias(out))
+
+
+def approx_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles", k: int = KLL_K
+) -> DataFrame:
+    """Quantiles from one mergeable sketch per group, within ``sketch.rank_error(k)``; a single pass with one small shuffle.
+
+    Each result is a value that occurred, without interpolation. Use ``quantiles`` where the exact ones are needed.
+    """
+    sketched = quantile_sketch(df, keys, value, k, "_sketch")
+    return sketched.select(*keys, sketch_quantiles(F.col("_sketch"), probs).alias(out))
