@@ -273,7 +273,7 @@ FOLD_METRICS_SQL = f"""{SCORES_CTE}, {FOLDS_CTE}, tst AS (
     own AS (SELECT symbol, fold, round(auc, 6) AS own_auc FROM own_aucs)"""
 
 
-def _own(spark, d, folds):
+def own_fold_auc(spark, d, folds):
     placed = fo.assign_folds(scores(spark, d), folds, ["symbol"], roles=("test",))
     own = auc(placed, ["symbol", "fold"], "l_discount", F.col("actual") >= 0.5)
     return own.select("symbol", "fold", rounded("auc").alias("own_auc"))
@@ -288,7 +288,7 @@ def _own(spark, d, folds):
     FROM folds f JOIN ends USING (symbol) LEFT JOIN aucs USING (symbol, fold) LEFT JOIN cnt USING (symbol, fold) LEFT JOIN own USING (symbol, fold)""")
 def g10(spark, d):
     folds = score_folds(spark, d)
-    out = cal.per_fold_saved_vs_own(scores(spark, d), folds, _own(spark, d, folds), ["symbol"])
+    out = cal.per_fold_saved_vs_own(scores(spark, d), folds, own_fold_auc(spark, d, folds), ["symbol"])
     return out.select("symbol", "fold", F.col("n").cast("long").alias("n"), rounded("saved_auc").alias("saved_auc"), "own_auc", "note")
 
 

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from barlab.catalog.eval_queries import FOLD_AGG_CTE, FOLD_ROWS_CTE, auc_sql, binary_sql, bins_sql, fold_metric_rows
+from barlab.catalog.eval_queries import FOLD_AGG_CTE, FOLD_METRICS_SQL, FOLD_ROWS_CTE, auc_sql, binary_sql, bins_sql, fold_metric_rows, own_fold_auc
 from barlab.catalog.inputs import FOLDS_CTE, SCORES_CTE, rounded, score_folds, scores, table
 from barlab.catalog.registry import query
 from barlab.operators.frames import stable_sort
@@ -14,6 +14,7 @@ from barlab.operators import calibration as cal
 from barlab.operators import folds as fo
 from barlab.operators import gates as ga
 from barlab.operators.metrics import binary_metrics
+from barlab.operators.report import analysis_report
 from barlab.sources import runs as ru
 from barlab.sources import signals as sg
 
@@ -276,6 +277,30 @@ def s20(spark, d):
     return whole.unionByName(pick(cal.per_month_metrics(s), "month", F.col("month")))
 
 
+REPORT_SQL = f"""WITH {FOLD_METRICS_SQL}, b AS (SELECT symbol, arg_max(test_start, fold) AS lo, arg_max(test_end, fold) AS hi, max(fold) AS last, arg_max(train_end, fold) AS saved_end FROM folds GROUP BY 1),
+      z AS (SELECT s.symbol, CASE WHEN ts >= hi THEN 'post' ELSE 'last_fold' END AS part, 'all' AS section, predicted, actual FROM scores s JOIN b USING (symbol) WHERE ts >= lo),
+      sec AS (SELECT symbol, 'overall' AS part, 'all' AS section, predicted, actual FROM scores
+        UNION ALL SELECT symbol, 'month', strftime(ts, '%Y-%m'), predicted, actual FROM scores
+        UNION ALL SELECT symbol, 'fold', CAST(fold AS VARCHAR), predicted, actual FROM tst UNION ALL SELECT * FROM z),
+      {binary_sql('sec', 'symbol, part, section')}, cal AS (SELECT * FROM sec WHERE part IN ('overall', 'last_fold', 'post')), {bins_sql('cal', 'symbol, part')}
+    SELECT symbol, part, section, n, brier, log_loss, accuracy, auc, CAST(NULL AS DOUBLE) AS own_auc, CAST(NULL AS VARCHAR) AS note,
+      CAST(NULL AS DOUBLE) AS ece, CAST(NULL AS DOUBLE) AS mean_pred, CAST(NULL AS DOUBLE) AS actual_rate FROM bm WHERE part <> 'fold'
+    UNION ALL SELECT symbol, 'fold', CAST(f.fold AS VARCHAR), coalesce(n, 0), brier, log_loss, accuracy, auc, own_auc,
+      CASE WHEN test_end <= saved_end THEN 'inside_train' WHEN f.fold = last THEN 'last_fold' ELSE 'overlap' END, NULL, NULL, NULL
+      FROM folds f JOIN b USING (symbol) LEFT JOIN (SELECT *, CAST(section AS INTEGER) AS fold FROM bm WHERE part = 'fold') m USING (symbol, fold) LEFT JOIN own USING (symbol, fold)
+    UNION ALL SELECT symbol, 'calibration', part || ' ' || CASE WHEN bin = 0 THEN '[' ELSE '(' END || printf('%.2f, %.2f]', bin / 10.0, (bin + 1) / 10.0), count, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+      round(mean_pred, 4), round(actual_rate, 6) FROM bins
+    UNION ALL SELECT symbol, 'ece', part, CAST(sum(count) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, round(sum(abs_gap * count) / sum(count), 6), NULL, NULL FROM bins GROUP BY symbol, part"""
+
+
+@query("s20_report_sections", REPORT_SQL)
+def s20_sections(spark, d):
+    folds = score_folds(spark, d)
+    out = analysis_report(scores(spark, d), folds, own_fold_auc(spark, d, folds), ["symbol"])
+    exact = ("symbol", "part", "section", "n", "own_auc", "note")
+    return out.select(*[c if c in exact else rounded(c, 4 if c == "mean_pred" else 6).alias(c) for c in out.columns])
+
+
 # --- trials ------------------------------------------------------------------------------------------------
 
 def trial_rows(spark, d):

@@ -23,12 +23,12 @@ def argmax(probs: Column) -> Column:
 
 def binary_metrics(
     df: DataFrame, keys: Sequence[str] = (), y: str = "actual", p: str = "predicted",
-    threshold: float = 0.5, eps: float = 1e-15,
+    threshold: float = 0.5, eps: float = 1e-15, weight: Column | None = None,
 ) -> DataFrame:
     """n, class-1 rate, prediction mean and population std, Brier, log-loss, accuracy and AUC.
 
     All of them depend only on how many positives and negatives share a score, so one reduction to
-    distinct scores feeds the additive sums and the rank AUC together.
+    distinct scores feeds the additive sums and the rank AUC together. A whole ``weight`` counts a row that often.
     """
     pos, neg = F.col("_pos"), F.col("_neg")
     n, s = pos + neg, F.col(p)
@@ -39,7 +39,7 @@ def binary_metrics(
         "_loss": -(pos * F.log(q) + neg * F.log(1.0 - q)),
         "_hits": F.when(s >= threshold, pos).otherwise(neg),
     }
-    per = score_ranges(df, keys, p, F.col(y) >= 0.5, extras=extras)
+    per = score_ranges(df, keys, p, F.col(y) >= 0.5, weight, extras=extras)
     total = F.sum("_pos") + F.sum("_neg")
     mean = F.sum("_p") / total
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
