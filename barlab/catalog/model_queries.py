@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlab.catalog.inputs import EMBED_FEATURES, check_matrix, embedding_cte, embedding_matrix, rounded, table
+from barlab.catalog.eval_queries import bins_sql
+from barlab.catalog.inputs import (
+    EMBED_FEATURES, FOLD_PARAMS, SCORES_CTE, check_matrix, embedding_cte, embedding_matrix, rounded, scores, table,
+)
 from barlab.catalog.registry import query
 from barlab.operators.folds import generate_folds
 from barlab.operators.metrics import gating_metrics, per_model_metrics
 from barlab.operators.splits import meta_split
 from barlab.plans import models as mo
+from barlab.plans.foldstore import FoldStore
 from barlab.plans.search import grid_search
 from barlab.plans.stacking import oof_matrix, predict_stacked, train_stacker
 from barlab.plans.walkforward import holdout, long_metrics, run_walk_forward
@@ -105,6 +109,39 @@ def bar_walk(spark, d):
     return run_walk_forward(bar_rows(spark, d), bar_folds(spark, d), mo.ModelSpec("bars", "binary", BAR_FEATURES, params=SMALL))
 
 
+def cell_folds(spark, d):
+    """Folds over all line items together."""
+    return generate_folds(scores(spark, d).agg(F.min("ts").cast("timestamp_ntz").alias("start"), F.max("ts").cast("timestamp_ntz").alias("end")), **FOLD_PARAMS)
+
+
+CELL_FOLDS_SQL = """f AS (SELECT fold, test_start - INTERVAL 372 DAY AS train_start, test_start - INTERVAL 7 DAY AS train_end, test_start, test_start + INTERVAL 120 DAY AS test_end
+        FROM (SELECT CAST(k AS INTEGER) AS fold, s + INTERVAL 372 DAY + INTERVAL (k * 120) DAY AS test_start, e
+              FROM (SELECT min(ts) AS s, max(ts) AS e FROM scores), range(12) r(k)) WHERE test_start + INTERVAL 120 DAY <= e),
+      w AS (SELECT fold, 'train' AS role, train_start AS lo, train_end AS hi FROM f UNION ALL SELECT fold, 'test', test_start, test_end FROM f),
+      x AS (SELECT fold, role, least(1 - 1e-15::DOUBLE, greatest(1e-15::DOUBLE, predicted)) AS q, predicted, actual FROM scores JOIN w ON ts >= lo AND ts < hi)"""
+
+
+@query("m06_fold_cells", f"""WITH {SCORES_CTE}, {CELL_FOLDS_SQL}, {bins_sql('x', 'fold, role')}, e AS (SELECT fold, role, sum(abs_gap * count) / sum(count) AS ece FROM bins GROUP BY 1, 2)
+    SELECT fold, role, count(*) AS n, round(avg(actual), 6) AS class1_rate, round(avg(predicted), 4) AS pred_mean, round(avg(pow(actual - predicted, 2)), 6) AS brier,
+      round(avg(-(actual * ln(q) + (1 - actual) * ln(1 - q))), 6) AS log_loss, round(avg(CASE WHEN (predicted >= 0.5) = (actual >= 0.5) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+      round(any_value(ece), 6) AS ece FROM x JOIN e USING (fold, role) GROUP BY 1, 2""")
+def m06_cells(spark, d):
+    """Statistics of every fold window from additive cells."""
+    store = FoldStore(scores(spark, d).select("ts", "predicted", "actual"), cell_folds(spark, d))
+    out = store.scores("actual", "predicted")
+    return out.select("fold", "role", "n", rounded("pred_mean", 4).alias("pred_mean"), *[rounded(c).alias(c) for c in ("class1_rate", "brier", "log_loss", "accuracy", "ece")])
+
+
+@query("m06_fold_guards", f"""WITH {SCORES_CTE}, {CELL_FOLDS_SQL}
+    SELECT fold, n_train, n_test, train_classes, test_classes, CASE WHEN n_train = 0 THEN 'empty_train_window' WHEN n_test = 0 THEN 'empty_test_window'
+      WHEN train_classes < 2 THEN 'single_class_train_set' WHEN test_classes < 2 THEN 'single_class_test_set' END AS skipped_reason
+    FROM (SELECT f.fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test, count(DISTINCT actual) FILTER (role = 'train') AS train_classes,
+            count(DISTINCT actual) FILTER (role = 'test') AS test_classes FROM f LEFT JOIN x USING (fold) GROUP BY 1)""")
+def m06_guards(spark, d):
+    """The guards of a walk-forward run from additive cells."""
+    return FoldStore(scores(spark, d).select("ts", "actual"), cell_folds(spark, d)).guard("binary", "actual")
+
+
 @query("m06_walk_forward")
 def m06(spark, d):
     return bar_walk(spark, d).metrics

@@ -9,11 +9,12 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.operators.align import filter_serving_interval
-from barlab.operators.folds import assign_folds, class_guard, fold_aggregate, metric_means
+from barlab.operators.align import INTERVAL_CODES, filter_serving_interval
+from barlab.operators.folds import fold_aggregate, metric_means
 from barlab.operators.invariance import bin_shifts, summarize
 from barlab.operators.selection import select_features
 from barlab.operators.splits import split_chronological
+from barlab.plans.foldstore import FoldStore
 from barlab.plans.models import PRIMARY, ModelSpec, evaluate, fit, predict
 from barlab.session import cut_lineage
 
@@ -53,27 +54,21 @@ def run_walk_forward(
 ) -> WalkForward:
     """``rows``: row key, ts, features, y. ``folds``: one fold table (a few rows).
 
-    The rows are written once and re-read by every fold. Test rows are those at the serving interval, for the guards and for
+    The rows are written once by month (``FoldStore``); a fold reads the months of its windows and the guards add up cells, so
+    no row is copied into the folds that hold it. Test rows are those at the serving interval, for the guards and for
     the invariance statistics as well, which look at the features a fold selected. Fold fits run one after another, each
     distributed; predictions are cut from the models' lineage by a reliable checkpoint, so losing an executor does not
     refit anything. A run without a finite primary metric in any fold is an error.
     """
-    rows = cut_lineage(rows)
-    placed = assign_folds(rows, folds, (), ts)
-    served_test = filter_serving_interval(placed.filter(F.col("role") == "test"), spec.interval)
-    served = placed.filter(F.col("role") == "train").unionByName(served_test)
-    left = served_test.groupBy("fold").agg(F.count(F.lit(1)).alias("_served"))
-    guards = class_guard(rows, folds, spec.objective, (), ts).join(left, "fold", "left")
-    gone = F.col("skipped_reason").isNull() & F.col("_served").isNull()
-    guards = cut_lineage(guards.withColumn(
-        "skipped_reason", F.when(gone, "empty_test_window_after_interval_filter").otherwise(F.col("skipped_reason"))).drop("_served"))
+    store = FoldStore(rows, folds, ts)
+    serves = None if "interval_indicator" not in rows.columns else F.col("interval_indicator") == INTERVAL_CODES[spec.interval]
+    guards = cut_lineage(store.guard(spec.objective, served=serves))
     usable = [r.fold for r in guards.filter(F.col("skipped_reason").isNull()).select("fold").orderBy("fold").collect()]
     if not usable:
         raise ValueError(f"no usable fold for {spec.name}")
     parts, models, selected = [], {}, {}
     for k in usable:
-        train = served.filter((F.col("fold") == k) & (F.col("role") == "train"))
-        test = served.filter((F.col("fold") == k) & (F.col("role") == "test"))
+        train, test = store.window(k, "train"), filter_serving_interval(store.window(k, "test"), spec.interval)
         chosen = spec
         if select:
             from dataclasses import replace
@@ -84,13 +79,11 @@ def run_walk_forward(
         parts.append(predict(models[k], test, chosen).select("fold", *row, *carry, "y", out))
     oof = cut_lineage(reduce(DataFrame.unionByName, parts))
     scored = long_metrics(evaluate(oof, spec, ["fold"]), ["fold"])
-    if select:
-        own = [bin_shifts(served.filter(F.col("fold") == k), ["fold"], selected[k], spec.objective) for k in usable]
-        shifts = summarize(reduce(DataFrame.unionByName, own), ["fold"])
-    else:
-        shifts = summarize(bin_shifts(served, ["fold"], spec.features, spec.objective), ["fold"])
+    own = [bin_shifts(store.window(k, "train").unionByName(filter_serving_interval(store.window(k, "test"), spec.interval)),
+                      ["fold"], selected[k], spec.objective) for k in usable]
+    shifts = summarize(reduce(DataFrame.unionByName, own), ["fold"])
     invariance = long_metrics(shifts.withColumn("n_pairs", F.col("n_pairs").cast("double")), ["fold"])
-    metrics = scored.unionByName(invariance.filter(F.col("fold").isin(usable))).withColumn("run_id", F.lit(spec.name))
+    metrics = scored.unionByName(invariance).withColumn("run_id", F.lit(spec.name))
     finite = F.col("value").isNotNull() & ~F.isnan("value")
     if scored.filter((F.col("metric") == PRIMARY[spec.objective]) & finite).isEmpty():
         raise ValueError(f"no fold of {spec.name} has a finite {PRIMARY[spec.objective]}")

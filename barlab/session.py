@@ -30,12 +30,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors reach.
 
     Only a local master without that setting (tests) gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -45,4 +44,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return (shared or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in ``shared_folder``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
