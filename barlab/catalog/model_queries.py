@@ -66,6 +66,12 @@ def m02(spark, d):
     return _holdout(spark, d, "binary", early_stopping=0.15, interval="4h")
 
 
+@query("m02_early_stopping_multiclass")
+def m02_multi(spark, d):
+    """Each class stops on its own."""
+    return _holdout(spark, d, "multiclass", early_stopping=0.15, interval="4h")
+
+
 @query("m03_fit_ensemble")
 def m03(spark, d):
     rows = meta_split(vectors(spark, d, "multiclass"))

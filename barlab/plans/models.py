@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -73,11 +73,19 @@ def _array(scored: DataFrame, spec_objective: str) -> Column:
     return _normalized(vector_to_array("rawPrediction"))
 
 
+def _one_vs_rest(rows: DataFrame, spec: ModelSpec, extra: Mapping[str, str]) -> OneVsRestModel:
+    """One boosted sequence per class. With a validation column each class stops on its own validation loss, so the
+    sequences have lengths of their own."""
+    trees = GBTClassifier(**{**_trees(spec, **extra), "labelCol": "_class"})
+    models = [trees.fit(rows.withColumn("_class", (F.col("y") == c).cast("double"))) for c in range(N_CLASSES)]
+    return OneVsRestModel(models=models).setFeaturesCol("features").setPredictionCol("prediction").setRawPredictionCol("rawPrediction")
+
+
 def fit(train: DataFrame, spec: ModelSpec, order: Sequence[str] = ("ts",), keys: Sequence[str] = ()) -> PipelineModel:
     """Boosted trees for the objective. With early stopping the tail of the train rows (behind an
     embargo gap) is the validation set; when the carve's guards fail all rows are used."""
     extra = {}
-    if spec.early_stopping > 0 and spec.objective != "multiclass":
+    if spec.early_stopping > 0:
         carved = early_stopping_carve(train, spec.early_stopping, spec.interval, keys, order)
         if not carved.filter(F.col("role").isNull()).limit(1).count():
             train = carved.filter(F.col("role") != "embargo").withColumn("is_val", F.col("role") == "es_val")
@@ -92,6 +100,9 @@ def fit(train: DataFrame, spec: ModelSpec, order: Sequence[str] = ("ts",), keys:
         raise ValueError(f"unknown objective {spec.objective!r}")
     used = [*spec.features, "y", *([extra["validationIndicatorCol"]] if extra else [])]
     with kept(train.select(*used)) as rows:
+        if extra and spec.objective == "multiclass":
+            columns = assembler(spec.features)
+            return PipelineModel([columns, _one_vs_rest(columns.transform(rows), spec, extra)])
         return Pipeline(stages=[assembler(spec.features), model]).fit(rows)
 
 

@@ -53,3 +53,22 @@ def test_stacker_guards(spark):
         train_stacker(oof_matrix(oof, labels, ["m", "n"]), ["m", "n"], "binary")
     with pytest.raises(ValueError):
         train_stacker(labels, [], "multiclass")
+
+
+def test_each_class_stops_on_its_own(spark):
+    rng = np.random.default_rng(3)
+    out = []
+    for i in range(1500):
+        a, b = rng.normal(size=2)
+        y = 2 if a > 0.8 else int(rng.random() < 0.5)  # class 2 is easy, 0 and 1 are noise
+        out.append((START + timedelta(hours=i), float(a), float(b), float(y)))
+    rows = spark.createDataFrame(out, "ts timestamp_ntz, a double, b double, y double")
+    spec = mo.ModelSpec("t", "multiclass", ("a", "b"), params={"maxIter": 12, "maxDepth": 2}, early_stopping=0.2, interval="4h")
+    model = mo.fit(rows, spec)
+    trees = [m.getNumTrees for m in model.stages[-1].models]
+    assert len(trees) == 3 and min(trees) < 12 and len(set(trees)) > 1
+    got = mo.predict(model, rows, spec).select("y", "probs").collect()
+    assert all(abs(sum(r.probs) - 1) < 1e-9 and len(r.probs) == 3 for r in got)
+    assert np.mean([np.argmax(r.probs) == 2 for r in got if r.y == 2]) > 0.9
+    few = mo.fit(rows.limit(30), spec)  # too few rows for the carve: all are used, no class stops
+    assert [m.getNumTrees for m in few.stages[-1].models] == [12, 12, 12]
