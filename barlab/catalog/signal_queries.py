@@ -97,16 +97,14 @@ def c06(spark, d):
 
 
 def oof_folds(spark, d):
-    """One row per symbol and month with out-of-fold arrays; deep discounts have no prediction."""
-    s = scores(spark, d).withColumn("month", F.date_trunc("month", "ts").cast("timestamp_ntz"))
+    """Chunks of out-of-fold arrays, a fold per symbol and month; deep discounts have no prediction."""
+    s = scores(spark, d).withColumn("test_start", F.date_trunc("month", "ts").cast("timestamp_ntz"))
     p = F.when(F.col("l_discount") < 0.095, F.col("predicted"))
-    return s.groupBy("symbol", F.col("month").alias("test_start")).agg(
-        F.sort_array(F.collect_list(F.struct("ts", "l_extendedprice", p.alias("p")))).alias("r"), F.count(F.lit(1)).alias("n_test"),
-    ).select(
-        "symbol", ((F.year("test_start") - 1995) * 12 + F.month("test_start")).alias("fold"),
+    chunks = sg.chunk_folds(s, ["symbol", "test_start"], p, ["ts", "l_extendedprice", "predicted"])
+    return chunks.select(
+        "symbol", ((F.year("test_start") - 1995) * 12 + F.month("test_start")).alias("fold"), "chunk", "start",
         (F.col("test_start") - F.expr("INTERVAL 7 DAYS")).alias("train_end"), "test_start",
-        F.add_months("test_start", 1).cast("timestamp_ntz").alias("test_end"), "n_test",
-        F.transform("r", lambda x: x["p"]).alias("oof_predictions"), F.transform("r", lambda x: x["ts"]).alias("oof_timestamps"),
+        F.add_months("test_start", 1).cast("timestamp_ntz").alias("test_end"), "n_test", "oof_predictions", "oof_timestamps",
         F.lit(None).cast("string").alias("skipped_reason"),
     )
 
@@ -126,7 +124,22 @@ def p20(spark, d):
       CAST(count(*) FILTER (l_discount >= 0.095) AS INTEGER) AS n_nan_skipped, CAST(count(*) FILTER (l_discount < 0.095) AS INTEGER) AS n_to_upsert, CAST(NULL AS VARCHAR) AS skipped_reason
     FROM scores GROUP BY 1, 2""")
 def p22(spark, d):
-    return sg.backfill_summary(oof_folds(spark, d), ["symbol"])
+    counts = ("n_preds", "n_timestamps", "n_nan_skipped", "n_to_upsert")
+    return sg.backfill_summary(oof_folds(spark, d), ["symbol"]).select("symbol", "fold", *[F.col(c).cast("int").alias(c) for c in counts], "skipped_reason")
+
+
+@query("p22_backfill_windows", f"""WITH {SCORES_CTE}
+    SELECT symbol, CAST((year(ts) - 1995) * 12 + month(ts) AS INTEGER) AS fold, CAST(date_trunc('month', min(ts)) AS TIMESTAMP) AS test_start,
+      CAST(date_trunc('month', min(ts)) + INTERVAL 1 MONTH AS TIMESTAMP) AS test_end, count(*) AS n_test FROM scores GROUP BY 1, 2""")
+def p22_windows(spark, d):
+    return sg.backfill_summary(oof_folds(spark, d), ["symbol"]).select("symbol", "fold", "test_start", "test_end", "n_test")
+
+
+@query("p22_backfill_totals", f"""WITH {SCORES_CTE}
+    SELECT symbol, count(DISTINCT date_trunc('month', ts)) AS n_folds, CAST(0 AS BIGINT) AS n_folds_skipped, count(*) FILTER (l_discount < 0.095) AS total_rows,
+      count(*) FILTER (l_discount >= 0.095) AS total_skipped_nan FROM scores GROUP BY 1""")
+def p22_totals(spark, d):
+    return sg.backfill_totals(sg.backfill_summary(oof_folds(spark, d), ["symbol"]), ["symbol"])
 
 
 @query("p24_signal_band", f"""WITH {KEYED_CTE}

@@ -8,21 +8,45 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
+from barlab.operators.frames import number_rows
 from barlab.session import cut_lineage
 
 SIGNAL_KEY = ("signal_id", "symbol", "ts")
 BACKFILL_SOURCE = "oof_backfill"
+CHUNK_ROWS = 4096
+
+
+def chunk_folds(
+    rows: DataFrame, keys: Sequence[str], prediction: Column, order: Sequence[str] = ("ts",), chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Predictions of each fold (``keys``) as chunks of arrays in the order given, at most ``chunk_rows`` values long.
+
+    Columns: keys, chunk, start (place of its first value in the fold), n_test (rows of the fold), oof_timestamps, oof_predictions.
+    However large a fold is, one task gathers one chunk.
+    """
+    placed = number_rows(rows.withColumn("_p", prediction), keys, order, "_rn", "n_test")
+    value = F.struct(F.col("_rn"), F.col(order[0]).alias("ts"), F.col("_p").alias("p"))
+    chunks = placed.groupBy(*keys, F.floor(F.col("_rn") / chunk_rows).alias("chunk")).agg(F.max("n_test").alias("n_test"), F.sort_array(F.collect_list(value)).alias("_r"))
+    return chunks.select(
+        *keys, "chunk", (F.col("chunk") * chunk_rows).alias("start"), "n_test", F.transform("_r", lambda r: r["ts"]).alias("oof_timestamps"),
+        F.transform("_r", lambda r: r["p"]).alias("oof_predictions"))
+
+
+def _lengths() -> tuple[Column, Column]:
+    return F.coalesce(F.size("oof_predictions"), F.lit(0)), F.coalesce(F.size("oof_timestamps"), F.lit(0))
 
 
 def flatten_oof(folds: DataFrame, signal_id: Column | str, symbol: Column | str, sha: Column | str) -> DataFrame:
     """Per-fold prediction and timestamp arrays to keyed rows.
 
-    ``folds``: fold, train_end, test_start, test_end, oof_predictions, oof_timestamps. Missing
-    predictions are skipped, unequal array lengths fail the query.
+    ``folds``: fold, train_end, test_start, test_end, oof_predictions, oof_timestamps; a fold may come in several chunks. Missing
+    predictions are skipped, unequal array lengths fail the query, and so does a chunk that reaches past its fold's n_test.
     """
     col = lambda c: F.lit(c) if isinstance(c, str) else c
-    n_preds = F.coalesce(F.size("oof_predictions"), F.lit(0))
-    uneven = n_preds != F.coalesce(F.size("oof_timestamps"), F.lit(0))
+    n_preds, n_stamps = _lengths()
+    uneven = n_preds != n_stamps
+    if "chunk" in folds.columns:
+        uneven = uneven | (F.col("start") + n_preds > F.col("n_test"))
     checked = F.when(uneven, F.raise_error("prediction and timestamp counts differ").cast("boolean")).otherwise(n_preds > 0)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     meta = F.to_json(F.named_struct(
@@ -40,14 +64,29 @@ def flatten_oof(folds: DataFrame, signal_id: Column | str, symbol: Column | str,
 
 
 def backfill_summary(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """What a backfill would write per fold; nothing is written (dry run)."""
-    missing = F.size(F.filter("oof_predictions", lambda p: p.isNull() | F.isnan(p)))
-    n = F.coalesce(F.size("oof_predictions"), F.lit(0))
-    return folds.select(
-        *keys, "fold", n.alias("n_preds"), F.coalesce(F.size("oof_timestamps"), F.lit(0)).alias("n_timestamps"),
-        F.coalesce(missing, F.lit(0)).alias("n_nan_skipped"), (n - F.coalesce(missing, F.lit(0))).alias("n_to_upsert"),
-        "skipped_reason",
-    )
+    """What a backfill would write per fold, with the fold's window where it is given; nothing is written (dry run).
+
+    Chunks of a fold are added up. Their starts and lengths must chain without a gap to n_test, or the query fails.
+    """
+    n_preds, n_stamps = _lengths()
+    missing = F.coalesce(F.size(F.filter("oof_predictions", lambda p: p.isNull() | F.isnan(p))), F.lit(0))
+    window = [c for c in ("test_start", "test_end", "n_test") if c in folds.columns]
+    sums = folds.groupBy(*keys, "fold").agg(
+        *[F.max(c).alias(c) for c in window], F.sum(n_preds).alias("n_preds"), F.sum(n_stamps).alias("n_timestamps"), F.sum(missing).alias("n_nan_skipped"),
+        F.sum(n_preds - missing).alias("n_to_upsert"), F.max("skipped_reason").alias("skipped_reason"), *(
+            [F.sum("start").alias("_starts"), F.count(F.lit(1)).alias("_chunks"), F.max(n_preds).alias("_step")] if "chunk" in folds.columns else []))
+    if "chunk" in folds.columns:
+        chained = (F.col("n_preds") == F.col("n_test")) & (2 * F.col("_starts") == F.col("_step") * F.col("_chunks") * (F.col("_chunks") - 1))
+        broken = F.raise_error(F.concat(F.lit("chunks of fold "), F.col("fold").cast("string"), F.lit(" do not add up"))).cast("bigint")
+        sums = sums.withColumn("n_preds", F.when(chained, F.col("n_preds")).otherwise(broken)).drop("_starts", "_chunks", "_step")
+    return sums
+
+
+def backfill_totals(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Folds, rows to write and missing predictions of a whole backfill, from ``backfill_summary``."""
+    return summary.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_folds"), F.count_if(F.col("skipped_reason").isNotNull()).alias("n_folds_skipped"),
+        F.sum("n_to_upsert").alias("total_rows"), F.sum("n_nan_skipped").alias("total_skipped_nan"))
 
 
 def latest_per_key(rows: DataFrame, order: Column, keys: Sequence[str] = SIGNAL_KEY) -> DataFrame:
