@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 import zlib
@@ -186,6 +187,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
 
 _TOKENIZERS: dict = {}
+#: What workers keep from one task to the next.
+KEPT: list[dict] = [_TOKENIZERS]
 
 
 def tokenizer(path: str):
@@ -202,5 +205,23 @@ def tokenizer(path: str):
 
 
 def give_back() -> None:
-    """Return memory that Arrow keeps for later to the system; Spark reuses workers for other tasks."""
+    """Return memory that Arrow and the C library keep for later to the system; Spark reuses workers for other tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def forget() -> None:
+    """Begin a task in a reused worker without the tokenizers and tables that other operators left in it."""
+    for tables in KEPT:
+        tables.clear()
+    give_back()
+
+
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """``wanted``, or with underscores added a name that no column has."""
+    used = {c.lower() for c in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import U64, components, mix, scratch_partitions, slices, store, text_bytes, word_hashes
+from barlab.llm.common import U64, components, forget, mix, scratch_partitions, slices, store, text_bytes, word_hashes
 from barlab.llm.exact_dedup import bit_segments, may_repeat, without_ids
 
 #: Members of one block of a key group that is compared in place; larger groups are compared block against block.
@@ -106,6 +106,7 @@ def sets_table(docs: DataFrame, shingle: int) -> DataFrame:
     """row, doc_id, n (set size), h1, h2 (a 128-bit digest of the set) and its bit sketch."""
 
     def scan(batches):
+        forget()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), shingle)
             h1 = [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in sets]
@@ -124,6 +125,7 @@ def shared_keys(docs: DataFrame, shingle: int, bands: Bands, buckets: int) -> Da
     """
 
     def emit(batches):
+        forget()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), shingle)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -171,6 +173,7 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame
     bits = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")).distinct()
 
     def scan(batches):
+        forget()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])

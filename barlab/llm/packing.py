@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import slices, text_bytes, tokenizer, word_strings
+from barlab.llm.common import KEPT, slices, text_bytes, tokenizer, word_strings
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, sequence_cost double")
@@ -185,6 +185,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size:
 
 
 _TABLES: dict[str, ChunkIds] = {}
+KEPT.append(_TABLES)
 
 
 def chunk_table(path: str) -> ChunkIds:
