@@ -41,15 +41,20 @@ def may_repeat(df: DataFrame, segments: DataFrame, h: Column, filter_bits: int)
     return joined.withColumn("__repeats", F.coalesce(hit, F.lit(False))).drop("__segment", "__k", "__b", "__words")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as one struct column, so that no name of theirs can meet one used here."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, filter_bits: int = 1 << 24) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``gone`` (distinct doc_id). Rows that a bit filter of the ids clears pass
-    straight through; only the others, whose texts then travel, meet the ids in a join. Null ids stay."""
-    h = F.xxhash64(F.col("doc_id").cast("long"))
+    straight through; only the others, whose texts then travel, meet the ids in a join. Null ids stay. Other columns may have
+    any name and type."""
     gone = store(gone.where("doc_id is not null"), "gone")
     segments = bit_segments(gone.select(F.pmod(F.xxhash64("doc_id"), F.lit(filter_bits)).alias("bit")).distinct())
-    flagged = may_repeat(docs, segments, h, filter_bits)
-    maybe = flagged.where("__repeats").drop("__repeats")
-    return flagged.where("not __repeats").drop("__repeats").unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    flagged = may_repeat(_packed(docs), segments, F.xxhash64("doc_id"), filter_bits)
+    maybe = flagged.where("__repeats")
+    return flagged.where("not __repeats").select("row.*").unionByName(maybe.join(gone, "doc_id", "left_anti").select("row.*"))
 
 
 def exact_groups(docs: DataFrame, filter_bits: int = 1 << 27) -> DataFrame:
@@ -77,13 +82,15 @@ def drop_exact_copies(docs: DataFrame, filter_bits: int = 1 << 27) -> DataFrame:
     """``docs`` without the copies that ``exact_groups`` drops, one row for each distinct text, columns unchanged.
 
     Rows that cannot repeat pass through with their text; the others are reduced to one row per text with partial
-    aggregation, so a large group of copies shrinks before it is shuffled.
+    aggregation, so a large group of copies shrinks before it is shuffled. Rows with one text and one doc_id are told apart by
+    their values; of equal rows one stays. A null doc_id stays only where no other has the text. Other columns may have any
+    name and type, maps included.
     """
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    segments = store(seen_twice(docs.select(h.alias("h")), filter_bits), "filter")
-    flagged = may_repeat(docs.withColumn("__h", h), segments, F.col("__h"), filter_bits).drop("__h")
-    once = flagged.where("not __repeats").drop("__repeats")
-    again = flagged.where("__repeats").drop("__repeats")
-    key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    best = again.groupBy(key.alias("__key")).agg(F.max(F.struct(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).alias("best"))
-    return once.unionByName(best.select("best.row.*"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = _packed(docs)
+    segments = store(seen_twice(rows.select(F.xxhash64(text).alias("h")), filter_bits), "filter")
+    flagged = may_repeat(rows, segments, F.xxhash64(text), filter_bits)
+    values = F.xxhash64(F.to_json("row"))
+    best = flagged.where("__repeats").groupBy(F.sha2(text, 256).alias("key")).agg(
+        F.max_by("row", F.struct(F.col("doc_id"), values.alias("values"))).alias("row"))
+    return flagged.where("not __repeats").select("row.*").unionByName(best.select("row.*"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barlab.llm.common import U64, mix, slices, store, text_bytes, word_hashes
+from barlab.llm.common import forget, free_name, U64, mix, slices, store, text_bytes, word_hashes
 
 #: Classes of bytes for word shapes: letters of either case, digits; any other byte stands for itself.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -65,6 +65,7 @@ def gram_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """N-gram counts of all texts and of the target ones (label 1): one number per bucket."""
 
     def count(batches):
+        forget()
         total = np.zeros((2, buckets))
         for batch in slices(batches):
             gram, doc = features(batch.column("text"), buckets)
@@ -81,31 +82,34 @@ def gram_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def weigh(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
-    """``docs`` with ``__weight``: the mean log-ratio of a text's n-grams (0 for a text without words)."""
+def weigh(docs: DataFrame, log_ratio: np.ndarray, out: str = "__weight") -> DataFrame:
+    """``docs`` with the column ``out``: the mean log-ratio of a text's n-grams (0 for a text without words)."""
     held = docs.sparkSession.sparkContext.broadcast(log_ratio)  # one number per bucket
-    schema = docs.withColumn("__weight", F.lit(0.0)).schema
+    schema = docs.withColumn(out, F.lit(0.0)).schema
 
     def scan(batches):
+        forget()
         ratio = held.value
         for batch in slices(batches):
             gram, doc = features(batch.column("text"), len(ratio))
             n = np.bincount(doc, minlength=batch.num_rows)
             w = np.bincount(doc, ratio[gram], batch.num_rows) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w)], names=[*batch.schema.names, "__weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w)], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(scan, schema)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
-    """Intercept and slope of a one-variable logistic regression (Newton steps with a small ridge)."""
-    mid, scale = float(x.mean()), float(x.std()) or 1.0  # away from zero the steps would not converge
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
+    """Intercept and slope of a one-variable logistic regression, the k-th point counted ``n[k]`` times (Newton steps with a small ridge)."""
+    mid = float(np.average(x, weights=n))
+    scale = float(np.sqrt(np.average((x - mid) ** 2, weights=n))) or 1.0  # away from zero the steps would not converge
+    total = float(n.sum())
     z = np.stack([np.ones_like(x), (x - mid) / scale], axis=1)
     b = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(x) * np.diag([1e-6, 1e-2]) + 1e-9 * np.eye(2)
-        b = b + np.clip(np.linalg.solve(h, z.T @ (y - p) - ridge * len(x) * np.array([1e-6, 1e-2]) * b), -4, 4)
+        h = (z * (n * p * (1 - p))[:, None]).T @ z + ridge * total * np.diag([1e-6, 1e-2]) + 1e-9 * np.eye(2)
+        b = b + np.clip(np.linalg.solve(h, z.T @ (n * (y - p)) - ridge * total * np.array([1e-6, 1e-2]) * b), -4, 4)
     return float(b[0] - b[1] * mid / scale), float(b[1] / scale)
 
 
@@ -138,8 +142,8 @@ def gumbel(seed: int) -> Column:
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 1 << 15, bound: int = 20_000,
-                        seed: int = 17) -> DataFrame:
-    """``docs`` with ``__quality``, a struct of weight, log_odds, key and kept: Gumbel top-k over the importance of each text.
+                        seed: int = 17, out: str = "__quality") -> DataFrame:
+    """``docs`` with ``out``, a struct of weight, log_odds, key and kept: Gumbel top-k over the importance of each text.
 
     The target model counts the n-grams of texts labelled 1, the raw model those of all texts. At most ``bound`` labels of
     each class take part (they also calibrate the mean log-ratio to log-odds, at the class ratio of all labels); every text
@@ -155,13 +159,22 @@ def importance_resample(docs: DataFrame, labels: DataFrame, label: str = "qualit
     smooth = lambda c: np.log((c + 1) / (c.sum() + len(c)))
     ratio = smooth(target) - smooth(raw) if target.any() else np.zeros(buckets)
     weighed = store(weigh(narrow, ratio).select("doc_id", "__weight"), "weights")
-    sample = weighed.join(F.broadcast(picked), "doc_id").select("__weight", "label").collect()  # a bounded sample
-    x, y = np.array([r["__weight"] for r in sample]), np.array([r.label for r in sample], float)
-    a, b = logistic(x, y) if len(set(y)) == 2 else (1.0, 0.0)
+    # a labelled id may be repeated without bound: equal weights, to four digits, come as one row
+    sample = weighed.join(F.broadcast(picked), "doc_id").groupBy(F.round("__weight", 4).alias("w"), "label").agg(F.count("*").alias("n")).orderBy("w", "label").collect()
+    x, y, n = (np.array([r[c] for r in sample], float) for c in ("w", "label", "n"))
+    a, b = logistic(x, y, n) if len(set(y)) == 2 else (1.0, 0.0)
     a += intercept_shift(labels, label, picked)
     odds = F.lit(a) + F.lit(b) * F.col("__weight")
     keyed = weighed.select(odds.alias("odds"), (odds + gumbel(seed)).alias("key"))
     cut = kth_largest(keyed, keyed.where("odds >= 0").count())
-    key = odds + gumbel(seed)
+    name = free_name("__weight", docs.columns)
+    key, odds = (F.lit(a) + F.lit(b) * F.col(name) + gumbel(seed)), F.lit(a) + F.lit(b) * F.col(name)
     kept = key >= F.lit(cut) if cut is not None else F.lit(False)
-    return weigh(docs, ratio).withColumn("__quality", F.struct(F.col("__weight").alias("weight"), odds.alias("log_odds"), key.alias("key"), kept.alias("kept"))).drop("__weight")
+    quality = F.struct(F.col(name).alias("weight"), odds.alias("log_odds"), key.alias("key"), kept.alias("kept"))
+    return weigh(docs, ratio, name).withColumn(out, quality).drop(name)
+
+
+def keep_resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``importance_resample`` keeps, with their columns whatever their names."""
+    name = free_name("__quality", docs.columns)
+    return importance_resample(docs, labels, out=name).where(F.col(f"{name}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

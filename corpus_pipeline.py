@@ -10,12 +10,12 @@ from barlab.llm.decontaminate import drop_contaminated
 from barlab.llm.exact_dedup import drop_exact_copies
 from barlab.llm.ngram_join import drop_near_copies
 from barlab.llm.packing import pack_sequences
-from barlab.llm.quality import importance_resample
+from barlab.llm.quality import keep_resampled
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
-    return importance_resample(docs, table(spark, sf_dir, "labels")).where("__quality.kept").select(*docs.columns)
+    return keep_resampled(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
