@@ -6,7 +6,7 @@ and statistical properties.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barlab.catalog.eval_queries import bins_sql
 from barlab.catalog.inputs import (
@@ -15,9 +15,10 @@ from barlab.catalog.inputs import (
 from barlab.catalog.registry import query
 from barlab.operators.folds import generate_folds
 from barlab.operators.metrics import gating_metrics, per_model_metrics
-from barlab.operators.splits import meta_split
+from barlab.operators.splits import encode_multiclass, meta_split
 from barlab.plans import models as mo
 from barlab.plans.foldstore import FoldStore
+from barlab.plans.gated import run_to_gates
 from barlab.plans.search import grid_search
 from barlab.plans.stacking import oof_matrix, predict_stacked, train_stacker
 from barlab.plans.walkforward import holdout, long_metrics, run_walk_forward
@@ -163,6 +164,19 @@ def m08(spark, d):
     return bar_walk(spark, d).summary()
 
 
+def gated_bars(spark, d):
+    """Three-class barrier labels of all bars, from checks to gates."""
+    rows = check_matrix(spark, d).select("symbol", "ts", *BAR_FEATURES, encode_multiclass(F.col("y3")).cast("double").alias("y")).filter("y is not null")
+    spec = mo.ModelSpec("bars3", "multiclass", BAR_FEATURES)
+    return run_to_gates(rows, bar_folds(spark, d), spec, F.max("ts").over(Window.partitionBy("symbol")), "directional", vol="volume_zscore_24", trend="log_return_24",
+                        n_trials=10, trial_variance=0.002, adversarial_iter=None)
+
+
+@query("m08_run_to_gates")
+def m08_gates(spark, d):
+    return gated_bars(spark, d).gate_rows()
+
+
 @query("m09_holdout_80_20")
 def m09(spark, d):
     rows = bar_rows(spark, d)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from barlab.catalog.eval_queries import FOLD_AGG_CTE, FOLD_METRICS_SQL, FOLD_ROWS_CTE, auc_sql, binary_sql, bins_sql, fold_metric_rows, own_fold_auc
 from barlab.catalog.inputs import FOLDS_CTE, SCORES_CTE, rounded, score_folds, scores, table
-from barlab.catalog.registry import query
+from barlab.catalog.registry import ORACLES, query
 from barlab.operators.frames import stable_sort
 from barlab.operators import calibration as cal
 from barlab.operators import folds as fo
@@ -17,6 +18,8 @@ from barlab.operators.metrics import binary_metrics
 from barlab.operators.report import analysis_report
 from barlab.sources import runs as ru
 from barlab.sources import signals as sg
+from barlab.sources.published import PublishedSignals
+from barlab.session import shared_folder
 
 
 def signal_rows(spark, d):
@@ -50,8 +53,6 @@ def s08(spark, d):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    import uuid
-
     path = f"{shared}/signals-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/signals"
     pick = lambda s: sg.latest_per_key(rows.filter(F.col("source") == s), F.col("seq")).drop("seq")
     sg.upsert(spark, pick("backfill"), path, period="yyyy")
@@ -59,6 +60,16 @@ def s08(spark, d):
     return spark.read.parquet(path).select("signal_id", "symbol", "ts", "value", "source")
 
 
+@query("s08_published_upsert", ORACLES["s08_upsert_predictions"])
+def s08_published(spark, d):
+    """The same two upserts, each visible at once through its commit."""
+    rows = signal_rows(spark, d)
+    table_ = PublishedSignals(spark, f"{shared_folder(spark)}/published-{uuid.uuid4().hex}", "yyyy")
+    for source in ("backfill", "live"):
+        table_.upsert(rows.filter(F.col("source") == source), order="seq")
+    return table_.read().select("signal_id", "symbol", "ts", "value", "source")
+
+
 @query("s08_merge", f"""WITH {SIGNALS_CTE}, pri AS (SELECT *, CASE WHEN source = 'live' THEN 1 ELSE 0 END AS gen FROM sig)
     SELECT signal_id, symbol, ts, arg_max(value, (gen, seq)) AS value, arg_max(source, (gen, seq)) AS source FROM pri GROUP BY 1, 2, 3""")
 def s08_merge(spark, d):

@@ -25,11 +25,11 @@ def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 class WalkForward:
-    """Result tables of one run: ``guards``, ``oof``, ``metrics`` (long), ``models``, ``selected`` and ``configured``,
-    the number of folds that were asked for."""
+    """Result tables of one run: ``guards``, ``oof``, ``metrics`` (long), ``models``, ``selected``, ``configured``, the
+    number of folds that were asked for, and ``store``, the rows by fold window."""
 
-    def __init__(self, spec, guards, oof, metrics, models, selected, configured):
-        self.spec, self.guards, self.oof, self.metrics = spec, guards, oof, metrics
+    def __init__(self, spec, guards, oof, metrics, models, selected, configured, store):
+        self.spec, self.guards, self.oof, self.metrics, self.store = spec, guards, oof, metrics, store
         self.models, self.selected, self.configured = models, selected, configured
 
     @property
@@ -87,7 +87,7 @@ def run_walk_forward(
     finite = F.col("value").isNotNull() & ~F.isnan("value")
     if scored.filter((F.col("metric") == PRIMARY[spec.objective]) & finite).isEmpty():
         raise ValueError(f"no fold of {spec.name} has a finite {PRIMARY[spec.objective]}")
-    return WalkForward(spec, guards, oof, metrics, models, selected, folds.count() if n_configured is None else n_configured)
+    return WalkForward(spec, guards, oof, metrics, models, selected, folds.count() if n_configured is None else n_configured, store)
 
 
 def holdout(rows: DataFrame, spec: ModelSpec, val_fraction: float = 0.2, order: Sequence[str] = ("ts",)) -> tuple[PipelineModel, DataFrame]:
