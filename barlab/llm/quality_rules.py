@@ -131,7 +131,7 @@ def apply_rules(docs: DataFrame, fence: float = FENCE, min_docs: int = MIN_DOCS)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = store(rows.withColumn("base_failed", failed), "counts")
     good = rows.where("not base_failed")
-    judged = attach(good, thresholds(good, fence, min_docs), ["lang_key", "source_key"], F.col("doc_id"))
+    judged = attach(good, thresholds(good, fence, min_docs), ["lang_key", "source_key"], F.struct("doc_id", "n_words", "word_chars"))
     out = [F.when(~F.expr(e).between(F.col(f"{f}_low"), F.col(f"{f}_high")), F.lit(f)) for f, (e, _) in FEATURES.items()]
     judged = judged.withColumn("outliers", F.array_compact(F.array(*out)))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
