@@ -266,13 +266,36 @@ def crossing_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     return units.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
+def unsettled(keys: DataFrame, so_far: DataFrame) -> DataFrame:
+    """(key, doc_id, component, size) of the keys whose members lie in several components; of keys with the same members one is enough."""
+    placed = keys.join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = placed.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")).where("lo < hi")
+    split = split.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size")
+    return placed.join(split, "key").select("key", "doc_id", "component", "size")
+
+
+def second_stars(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of unsettled keys with two others, chosen by hash, in other components.
+
+    Where a key's smallest document is a stranger among near copies, none was linked to it; two other centres link them before
+    pairs are formed. A key of two members is settled.
+    """
+    h = F.xxhash64("doc_id", F.lit(7))
+    own = F.struct("doc_id", "component")
+    centres = groups.where("size > 2").groupBy("key").agg(F.array(F.min_by(own, h), F.max_by(own, h)).alias("c"))
+    pairs = groups.join(centres, "key").select("doc_id", "component", F.explode("c").alias("c")).where("component <> c.component")
+    return pairs.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id per row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``class_id`` is the smallest id with the same set. Null and empty texts and texts without words have an empty set and
     link with nothing. A null doc_id never links and has null component_id; rows that repeat a doc_id share its component.
-    Links are verified on sets of 64-bit shingle hashes. First every key's members are verified against its smallest one;
-    then members of one key that are still in different components are compared with each other, so no link between
+    Links are verified on sets of 64-bit shingle hashes. First every key's members are verified against its smallest one, then
+    against two others where they are still apart; then members of one key that are still in different components are compared with each other, so no link between
     components is lost and large groups of copies never form all their pairs.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -291,13 +314,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
     stars = keys.join(heads, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
     stars = store(plausible(stars, info, num, den), "stars")
     links = store(verified(stars, store(candidate_sets(usable, stars, shingle), "members"), num, den), "links")
-    so_far = components(links, "first").withColumnRenamed("node", "doc_id")
-    placed = keys.join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")).where("lo < hi")
-    split = split.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size")  # of keys with the same documents one is enough
-    groups = placed.join(split, "key").join(info, "doc_id")
+    groups = store(unsettled(keys, components(links, "first")), "unsettled")
+    more = store(plausible(second_stars(groups).join(stars, ["a", "b"], "left_anti"), info, num, den), "stars")
+    links = links.unionByName(store(verified(more, store(candidate_sets(usable, more, shingle), "members"), num, den), "links"))
+    stars = stars.unionByName(more)
+    groups = unsettled(keys, components(links, "second")).join(info, "doc_id")
     more = store(crossing_pairs(groups, num, den).join(stars, ["a", "b"], "left_anti"), "more")
     more = store(verified(more, candidate_sets(usable, more, shingle), num, den), "links")
     found = components(links.unionByName(more).unionByName(copies), "all").withColumnRenamed("node", "doc_id")
