@@ -212,8 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
     lexicon = fit([(r.h, r.bad0 + r.bad1, r.all0 + r.all1) for r in listed], sum(bad_texts), sum(texts))
     halves = [fit([(r.h, r.bad0, r.all0) for r in listed], bad_texts[0], texts[0]), fit([(r.h, r.bad1, r.all1) for r in listed], bad_texts[1], texts[1])]
 
-    x, y, scale = np.zeros(0), np.zeros(0), 1.0
-    scales = []
+    points, scales = [], []
     for f in (0, 1):  # each fold is judged by the lexicon of the other
         judge = spark.sparkContext.broadcast(halves[1 - f])
 
@@ -227,10 +226,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
         scales.append(decay(np.array([b.value for b in bins]), np.array([float(b.n) for b in bins])) if bins else 1.0)
     scale = min(max(float(np.mean(scales)), 0.05), 5.0)
     for f in (0, 1):
-        probe = passage_scores(train.where(F.col("fold") == f).select("label", "text"), halves[1 - f], scale, 0.1, level).select("label", "evidence", "top").collect()
-        x = np.append(x, [math.log1p(r.evidence + r.top) for r in probe])  # a bounded sample
-        y = np.append(y, [float(r.label) for r in probe])
-    a, b = logistic(x, y) if len(set(y)) == 2 else (-3.0, 0.0)
+        probe = passage_scores(train.where(F.col("fold") == f).select("label", "text"), halves[1 - f], scale, 0.1, level)
+        # a labelled id may be repeated without bound: equal evidence, to four digits, comes as one row
+        points += probe.groupBy(F.round(F.log1p(F.col("evidence") + F.col("top")), 4).alias("x"), "label").agg(F.count("*").alias("n")).orderBy("x", "label").collect()
+    x, y, n = (np.array([r[c] for r in points], float) for c in ("x", "label", "n"))
+    a, b = logistic(x, y, n) if len(set(y)) == 2 else (-3.0, 0.0)
     a, b = a + intercept_shift(usable, label, picked), max(b, 0.0)
     scored = passage_scores(rows.withColumn("held_out", crc_share("doc_id", modulus) == held), lexicon, scale, 0.1, level)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) + F.lit(b) * F.log1p(F.col("evidence") + F.col("top")))))

@@ -115,6 +115,17 @@ def test_toxicity_intercept_is_that_of_all_labels(spark, make):
         assert abs(np.median(scores) - 0.2) < 0.06
 
 
+def test_toxicity_counts_repeated_rows_in_its_calibration(spark, make):
+    rng = random.Random(14)
+    marks = [int(i % 5 == 0) for i in range(200)]
+    texts = [prose(rng, 60) + (" vlorm grukash zentolk vlorm" if m else "") for m in marks]
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    docs = make(texts)
+    once, often = ({r.doc_id: r.score for r in toxicity.score_toxicity(d, labels).collect()} for d in (docs, docs.unionByName(docs).unionByName(docs)))
+    assert once.keys() == often.keys()
+    assert all((once[i] >= 0.5) == (often[i] >= 0.5) == bool(m) for i, m in enumerate(marks))
+
+
 def test_word_hashes_depend_on_the_word_alone():
     texts = [b"A b  longer-word\n", b"", b" \t", b"b a LONGER-word x" + b"y" * 5000, b"b"]
     raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
