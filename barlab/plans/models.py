@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from barlab.operators.metrics import balanced_weights, eval_binary, eval_multiclass, eval_regression, meta_features
@@ -73,11 +75,22 @@ def _array(scored: DataFrame, spec_objective: str) -> Column:
     return _normalized(vector_to_array("rawPrediction"))
 
 
+def concurrently(spark: SparkSession, tasks: Sequence[Callable]) -> list:
+    """Results of ``tasks``, run side by side, each with local properties of its own.
+
+    The ``parallelism`` of Spark's own estimators hands one set of properties to all their threads, and a query that ends
+    in one thread takes the execution id from a query that starts in another; they keep to 1 here.
+    """
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
+
+
 def _one_vs_rest(rows: DataFrame, spec: ModelSpec, extra: Mapping[str, str]) -> OneVsRestModel:
     """One boosted sequence per class. With a validation column each class stops on its own validation loss, so the
     sequences have lengths of their own."""
     trees = GBTClassifier(**{**_trees(spec, **extra), "labelCol": "_class"})
-    models = [trees.fit(rows.withColumn("_class", (F.col("y") == c).cast("double"))) for c in range(N_CLASSES)]
+    models = concurrently(rows.sparkSession, [
+        lambda c=c: trees.fit(rows.withColumn("_class", (F.col("y") == c).cast("double"))) for c in range(N_CLASSES)])
     return OneVsRestModel(models=models).setFeaturesCol("features").setPredictionCol("prediction").setRawPredictionCol("rawPrediction")
 
 
@@ -94,13 +107,11 @@ def fit(train: DataFrame, spec: ModelSpec, order: Sequence[str] = ("ts",), keys:
         model = GBTClassifier(**_trees(spec, **extra))
     elif spec.objective == "regression":
         model = GBTRegressor(**_trees(spec, **extra))
-    elif spec.objective == "multiclass":
-        model = OneVsRest(classifier=GBTClassifier(**_trees(spec)), labelCol="y", featuresCol="features", parallelism=3)
-    else:
+    elif spec.objective != "multiclass":
         raise ValueError(f"unknown objective {spec.objective!r}")
     used = [*spec.features, "y", *([extra["validationIndicatorCol"]] if extra else [])]
     with kept(train.select(*used)) as rows:
-        if extra and spec.objective == "multiclass":
+        if spec.objective == "multiclass":
             columns = assembler(spec.features)
             return PipelineModel([columns, _one_vs_rest(columns.transform(rows), spec, extra)])
         return Pipeline(stages=[assembler(spec.features), model]).fit(rows)
@@ -147,19 +158,18 @@ def fit_ensemble(train: DataFrame, spec: ModelSpec, folds: int = 3) -> dict[str,
     weighted = balanced_weights(train, "y")
     common = dict(labelCol="y", weightCol="weight", featuresCol="features")
     forest = RandomForestClassifier(numTrees=20, maxDepth=5, seed=spec.seed, **common)
-    boosted = OneVsRest(classifier=GBTClassifier(**_trees(spec)), labelCol="y", featuresCol="features",
-                        weightCol="weight", parallelism=3)
     linear = LogisticRegression(elasticNetParam=1.0, labelCol="y", weightCol="weight", featuresCol="scaled", maxIter=25)
     tuned = CrossValidator(
         estimator=linear, estimatorParamMaps=ParamGridBuilder().addGrid(linear.regParam, list(L1_GRID)).build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="logLoss"), numFolds=folds, seed=spec.seed,
-        parallelism=3,
-    )
+        evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="logLoss"), numFolds=folds, seed=spec.seed)
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     first = assembler(spec.features)
-    stages = {"rf": [first, forest], "gbt": [first, boosted], "lr": [first, scale, tuned]}
     with kept(weighted.select(*spec.features, "y", "weight")) as rows:
-        return {name: Pipeline(stages=s).fit(rows) for name, s in stages.items()}
+        return {
+            "rf": Pipeline(stages=[first, forest]).fit(rows),
+            "gbt": PipelineModel([first, _one_vs_rest(first.transform(rows), spec, {"weightCol": "weight"})]),
+            "lr": Pipeline(stages=[first, scale, tuned]).fit(rows),
+        }
 
 
 def predict_ensemble(models: Mapping[str, PipelineModel], rows: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -182,7 +192,7 @@ def fit_meta_label(probas: DataFrame, row: Sequence[str], folds: int = 3, seed:
     linear = LogisticRegression(elasticNetParam=1.0, labelCol="meta_target", featuresCol="scaled", maxIter=25)
     tuned = CrossValidator(
         estimator=linear, estimatorParamMaps=ParamGridBuilder().addGrid(linear.regParam, list(L1_GRID)).build(),
-        evaluator=BinaryClassificationEvaluator(labelCol="meta_target"), numFolds=folds, seed=seed, parallelism=3)
+        evaluator=BinaryClassificationEvaluator(labelCol="meta_target"), numFolds=folds, seed=seed)
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     with kept(table.select(*names, "meta_target")) as rows:
         return Pipeline(stages=[assembler(names), scale, tuned]).fit(rows)

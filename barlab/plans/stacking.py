@@ -28,7 +28,7 @@ def oof_matrix(oof: DataFrame, labels: DataFrame, models: Sequence[str], keys: S
 
 
 def train_stacker(
-    matrix: DataFrame, models: Sequence[str], objective: str, folds: int = 5, seed: int = 0, parallelism: int = 2
+    matrix: DataFrame, models: Sequence[str], objective: str, folds: int = 5, seed: int = 0
 ) -> PipelineModel:
     """Ridge-penalised logistic or linear model over the models' predictions, strength by
     cross-validation."""
@@ -51,8 +51,7 @@ def train_stacker(
         estimator = LinearRegression(labelCol="y", elasticNetParam=0.0)
         evaluator = RegressionEvaluator(labelCol="y", metricName="rmse")
     grid = ParamGridBuilder().addGrid(estimator.regParam, list(REG_GRID)).build()
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
-                            seed=seed, parallelism=parallelism)
+    search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=list(models), outputCol="features"), search]).fit(matrix)
 
 

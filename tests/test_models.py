@@ -72,3 +72,31 @@ def test_each_class_stops_on_its_own(spark):
     assert np.mean([np.argmax(r.probs) == 2 for r in got if r.y == 2]) > 0.9
     few = mo.fit(rows.limit(30), spec)  # too few rows for the carve: all are used, no class stops
     assert [m.getNumTrees for m in few.stages[-1].models] == [12, 12, 12]
+
+
+def test_fits_side_by_side_keep_their_own_local_properties(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml import classification, tuning
+
+    meet = threading.Barrier(3, timeout=60)
+
+    def task(i):
+        spark.sparkContext.setLocalProperty("mine", str(i))
+        meet.wait()
+        got = spark.sparkContext.getLocalProperty("mine")
+        meet.wait()
+        return got
+
+    assert mo.concurrently(spark, [lambda i=i: task(i) for i in range(3)]) == ["0", "1", "2"]
+
+    threads, pool = [], tuning.ThreadPool
+    for module in (classification, tuning):  # Spark's own estimators share one set of properties between their threads
+        monkeypatch.setattr(module, "ThreadPool", lambda processes: (threads.append(processes), pool(processes=processes))[1])
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, float(i % 3 + rng.normal()), float(rng.normal()), float(i % 3)) for i in range(240)], "id long, a double, b double, y double")
+    models = mo.fit_ensemble(rows, mo.ModelSpec("e", "multiclass", ("a", "b"), params={"maxIter": 2, "maxDepth": 2}), folds=2)
+    probas = mo.predict_ensemble(models, rows, ["id", "y"])
+    assert probas.count() == 240 * 3 * 3
+    assert mo.fit_meta_label(probas, ["id"], folds=2) is not None
+    assert set(threads) == {1}
