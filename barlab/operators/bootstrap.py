@@ -18,17 +18,49 @@ from pyspark.sql import DataFrame, Window, functions as F
 from barlab.operators.ranks import _with_range
 
 _POISSON = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(20)])
+#: The draw for every value of a hash's upper 16 bits; 255 where these do not settle it.
+_TOP = np.searchsorted(_POISSON, np.arange(1 << 16) / 65536.0, side="right")
+_TOP = np.where(np.searchsorted(_POISSON, np.arange(1, (1 << 16) + 1) / 65536.0, side="left") == _TOP, _TOP, 255).astype(np.uint8)
+#: Rows that are hashed, and rows that are folded, at a time: what stays in a core's cache with a thousand replicates.
+_HASHED, _FOLDED = 64, 512
 
 
 def poisson_weights(row_hash: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """Matrix (rows, replicates) of Poisson(1) draws, a pure function of its arguments."""
+    """Matrix (rows, replicates) of Poisson(1) draws as bytes, a pure function of its arguments."""
+    ids = row_hash.astype(np.int64).view(np.uint64)
+    out = np.empty((len(ids), replicates), np.uint8)
     with np.errstate(over="ignore"):
         r = np.arange(replicates, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed)
-        z = row_hash.astype(np.int64).view(np.uint64)[:, None] ^ r[None, :]
-        for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            z = (z ^ (z >> np.uint64(shift))) * np.uint64(mult)
-        z ^= z >> np.uint64(31)
-    return np.searchsorted(_POISSON, (z >> np.uint64(11)) * 2.0**-53, side="right").astype("float64")
+        for at in range(0, len(ids), _HASHED):
+            z = ids[at:at + _HASHED, None] ^ r[None, :]
+            moved = np.empty_like(z)
+            for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                z ^= np.right_shift(z, np.uint64(shift), out=moved)
+                z *= np.uint64(mult)
+            z ^= np.right_shift(z, np.uint64(31), out=moved)
+            draw = _TOP[np.right_shift(z, np.uint64(48), out=moved).astype(np.uint16)]
+            open_ = draw == 255
+            draw[open_] = np.searchsorted(_POISSON, (z[open_] >> np.uint64(11)) * 2.0**-53, side="right")
+            out[at:at + _HASHED] = draw
+    return out
+
+
+def _inner_pairs(w: np.ndarray, positive: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of positive rows, of negative rows, and (positive, smaller negative) pairs with ties counted half, per replicate.
+
+    ``first``: where the rows of each score begin. All sums are whole numbers, so their order does not matter.
+    """
+    negative = w[~positive]
+    before = np.zeros((len(negative) + 1, w.shape[1]), np.int32)
+    np.cumsum(negative, axis=0, dtype=np.int32, out=before[1:])
+    seen = np.concatenate([[0], np.cumsum(~positive)])
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))[positive]
+    start, end = seen[first], seen[np.append(first[1:], len(w))]
+    mine = w[positive]
+    twice = before[start[of]]
+    twice += before[end[of]]
+    twice *= mine
+    return mine.sum(axis=0, dtype=np.int64), before[-1].astype(np.int64), twice.sum(axis=0, dtype=np.int64) / 2
 
 
 def _fold_ranges(keys: Sequence[str], replicates: int, seed: int):
@@ -56,26 +88,31 @@ def _fold_ranges(keys: Sequence[str], replicates: int, seed: int):
                     current = label
                     state = {k: np.zeros(replicates) for k in ("pos", "neg", "u", "tp", "tn")}
                     state["score"] = None
-                for lo in range(0, len(part), 2048):
-                    piece = part.iloc[lo:lo + 2048]
+                for lo in range(0, len(part), _FOLDED):
+                    piece = part.iloc[lo:lo + _FOLDED]
                     score = piece["_score"].to_numpy()
                     w = poisson_weights(piece["_id"].to_numpy(), replicates, seed)
                     first = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-                    is_pos = piece["_pos"].to_numpy()[:, None]
-                    tp = np.add.reduceat(np.where(is_pos, w, 0.0), first, axis=0)
-                    tn = np.add.reduceat(np.where(is_pos, 0.0, w), first, axis=0)
-                    if state["score"] == score[0]:
-                        tp[0] += state["tp"]
-                        tn[0] += state["tn"]
-                    else:
-                        state["u"] += state["tp"] * (state["neg"] + state["tn"] / 2)
-                        state["pos"] += state["tp"]
-                        state["neg"] += state["tn"]
-                    below = state["neg"] + np.vstack([np.zeros(replicates), np.cumsum(tn[:-1], axis=0)])
-                    state["u"] += (tp[:-1] * (below[:-1] + tn[:-1] / 2)).sum(axis=0)
-                    state["pos"] += tp[:-1].sum(axis=0)
-                    state["neg"] += tn[:-1].sum(axis=0)
-                    state.update(tp=tp[-1], tn=tn[-1], score=score[-1])
+                    positive = piece["_pos"].eq(True).to_numpy(bool)
+                    lead = 0
+                    if state["score"] == score[0]:  # the score that the last piece ended with goes on
+                        lead = first[1] if len(first) > 1 else len(score)
+                        state["tp"] = state["tp"] + w[:lead][positive[:lead]].sum(axis=0, dtype=np.int64)
+                        state["tn"] = state["tn"] + w[:lead][~positive[:lead]].sum(axis=0, dtype=np.int64)
+                        if lead == len(score):
+                            continue
+                        first = first[1:]
+                    state["u"] += state["tp"] * (state["neg"] + state["tn"] / 2)
+                    state["pos"] += state["tp"]
+                    state["neg"] += state["tn"]
+                    last = first[-1]
+                    if len(first) > 1:
+                        tp, tn, u = _inner_pairs(w[lead:last], positive[lead:last], first[:-1] - lead)
+                        state["u"] += u + tp * state["neg"]
+                        state["pos"] += tp
+                        state["neg"] += tn
+                    state.update(tp=w[last:][positive[last:]].sum(axis=0, dtype=np.int64),
+                                 tn=w[last:][~positive[last:]].sum(axis=0, dtype=np.int64), score=score[-1])
         if current is not None:
             yield emit()
 

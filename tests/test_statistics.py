@@ -2,12 +2,13 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barlab.functions.stats import student_t_lower
 from barlab.operators import calibration, folds, invariance, metrics, pnl, ranks, sharpe, splits
-from barlab.operators.bootstrap import bootstrap_macro_auc, poisson_weights
+from barlab.operators.bootstrap import _fold_ranges, _POISSON, bootstrap_macro_auc, poisson_weights
 
 
 def brute_auc(score, y):
@@ -151,3 +152,28 @@ def test_bootstrap_agrees_with_resampling(spark):
     assert got.auc_std == pytest.approx(np.std(draws), rel=0.25)
     w = poisson_weights(np.arange(2000), 50, 1)
     assert w.mean() == pytest.approx(1.0, abs=0.02) and w.var() == pytest.approx(1.0, abs=0.05)
+
+
+def test_bootstrap_folds_a_range_as_plain_sums_do():
+    rng = np.random.default_rng(8)
+    for n, digits in ((3000, 1), (3000, 9), (1, 1), (700, 0)):  # long ties across pieces, none, one row, one score
+        pdf = pd.DataFrame({"k": 1, "_class": 0, "_range": 0, "_score": np.sort(rng.random(n).round(digits)), "_id": rng.integers(-2**62, 2**62, n), "_pos": rng.random(n) < 0.3})
+        got = pd.concat(_fold_ranges(["k"], 40, 42)([pdf.iloc[:1700], pdf.iloc[1700:]] if n > 1700 else [pdf]))
+        assert len(got) == 1
+        w = poisson_weights(pdf["_id"].to_numpy(), 40, 42).astype(float)
+        pos, s = pdf["_pos"].to_numpy(), pdf["_score"].to_numpy()
+        smaller = (s[None, ~pos] < s[pos][:, None]) + 0.5 * (s[None, ~pos] == s[pos][:, None])
+        assert got.iloc[0]["pos"] == w[pos].sum(axis=0).tolist() and got.iloc[0]["neg"] == w[~pos].sum(axis=0).tolist()
+        assert got.iloc[0]["u"] == np.einsum("ir,ij,jr->r", w[pos], smaller, w[~pos], optimize=True).tolist()
+
+
+def test_poisson_draws_stay_small_and_exact():
+    ids = np.random.default_rng(9).integers(-2**62, 2**62, 4000)
+    w = poisson_weights(ids, 300, 42)
+    assert w.dtype == np.uint8  # a byte a draw: a piece of rows and its sums stay in a core's cache
+    with np.errstate(over="ignore"):
+        z = ids.view(np.uint64)[:, None] ^ (np.arange(300, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(42))[None, :]
+        for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(mult)
+        z ^= z >> np.uint64(31)
+    assert (w == np.searchsorted(_POISSON, (z >> np.uint64(11)) * 2.0**-53, side="right")).all()
