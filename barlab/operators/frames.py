@@ -14,18 +14,17 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from barlab.operators.attach import below
 from barlab.operators.sketch import slot_sample
 
 MIN_CHUNK_ROWS = 4096
 RANGE_ROWS = 1 << 15
 MAX_RANGES = 1 << 16
 _PICK = 64
-_FAN = 16
 
 
 def range_bounds(df: DataFrame, columns: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row: ``_bounds``, ascending tuples of ``columns`` that cut ``df`` into ranges of about ``range_rows`` rows, and every
-    16th, 256th and 4096th of them, so that a row finds its range in a few comparisons.
+    """One row: ``_bounds``, ascending tuples of ``columns`` that cut ``df`` into ranges of about ``range_rows`` rows.
 
     The tuples come from a slot sample of one row in 64, at most ``4 * MAX_RANGES`` of them however many rows there are; they are the same
     on every evaluation. Rows with equal tuples share a range.
@@ -36,23 +35,15 @@ def range_bounds(df: DataFrame, columns: Sequence[str], range_rows: int = RANGE_
     parts = F.least(F.lit(MAX_RANGES), F.floor(F.col("_n") * _PICK / range_rows), F.size("_s")).cast("int")
     steps = F.when(F.col("_parts") > 1, F.sequence(F.lit(1), F.col("_parts") - 1)).otherwise(F.array().cast("array<int>"))
     at = lambda j: F.get("_s", F.floor(j * F.size("_s") / F.col("_parts")).cast("int"))
-    bounds = all_.withColumn("_parts", parts).select(F.array_distinct(F.transform(steps, at)).alias("_bounds"))
-    heads = lambda name: F.filter(name, lambda b, i: i % _FAN == _FAN - 1)
-    for level, below in (("_b1", "_bounds"), ("_b2", "_b1"), ("_b3", "_b2")):
-        bounds = bounds.withColumn(level, heads(below))
-    return bounds
+    return all_.withColumn("_parts", parts).select(F.array_distinct(F.transform(steps, at)).alias("_bounds"))
 
 
 def with_range(df: DataFrame, columns: Sequence[str], out: str = "_slice", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with the number of its row's range of ``columns``; ranges ascend with them."""
-    rows = df.withColumn("_at", F.struct(*columns)).crossJoin(F.broadcast(range_bounds(df, columns, range_rows)))  # one row
-    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col("_at")))
-    index = below("_b3")
-    for level in ("_b2", "_b1", "_bounds"):
-        rows = rows.withColumn("_i", index * _FAN)
-        rows = rows.withColumn("_i", F.col("_i") + below(F.slice(level, F.col("_i") + 1, F.lit(_FAN))))
-        index = F.col("_i")
-    return rows.withColumn(out, index).drop("_at", "_i", "_bounds", "_b1", "_b2", "_b3")
+    bounds = range_bounds(df, columns, range_rows)
+    at = F.struct(*columns).cast(bounds.schema["_bounds"].dataType.elementType)
+    rows = df.withColumn("_at", at).crossJoin(F.broadcast(bounds))  # one row
+    return below(rows, "_bounds", F.col("_at"), MAX_RANGES, out).drop("_at", "_bounds")
 
 
 def number_rows(
