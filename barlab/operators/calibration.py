@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlab.operators.attach import attach, row_hash
 from barlab.operators.folds import assign_folds
 from barlab.operators.metrics import binary_metrics
 
@@ -81,7 +82,7 @@ def zones(predictions: DataFrame, folds: DataFrame, keys: Sequence[str] = (), ts
     bounds = folds.groupBy(*keys).agg(
         F.max_by("test_start", "fold").alias("_lo"), F.max_by("test_end", "fold").alias("_hi")
     )
-    joined = predictions.join(bounds, list(keys)) if keys else predictions.join(F.broadcast(bounds))
+    joined = attach(predictions, bounds, keys, row_hash(predictions))
     zone = F.when(F.col(ts) >= F.col("_hi"), "post").when(F.col(ts) >= F.col("_lo"), "last_fold")
     return joined.withColumn("zone", zone).filter(F.col("zone").isNotNull()).drop("_lo", "_hi")
 

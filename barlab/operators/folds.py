@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.functions.times import from_micros, micros
+from barlab.operators.attach import attach, row_hash
 
 TRAIN_DAYS, TEST_DAYS, EMBARGO_DAYS, N_FOLDS = 365, 21, 7, 6
 _DAY = 86_400_000_000
@@ -62,8 +63,8 @@ def assign_folds(
     """(row, fold, role) for every fold window holding the row's timestamp.
 
     Folds travel as one array per key (one entry per fold and role), so rows expand only into the
-    windows that match; there is no row-by-fold product. Without keys the fold table is one row by construction and
-    is broadcast; with keys the join strategy is left to the optimizer.
+    windows that match; there is no row-by-fold product. The rows of a key are dealt over many tasks (``attach``); without keys the
+    fold table is one row by construction and is broadcast.
     """
     bound = lambda role: F.struct(
         F.col("fold"), F.lit(role).alias("role"),
@@ -71,7 +72,7 @@ def assign_folds(
     )
     spans = folds.select(*keys, F.explode(F.array(*[bound(r) for r in roles])).alias("_w"))
     per_key = spans.groupBy(*keys).agg(F.array_sort(F.collect_list("_w")).alias("_windows"))
-    joined = rows.join(per_key, list(keys)) if keys else rows.join(F.broadcast(per_key))
+    joined = attach(rows, per_key, keys, row_hash(rows))
     inside = lambda w: (w["lo"] <= F.col(ts)) & (F.col(ts) < w["hi"])
     return (
         joined.withColumn("_w", F.explode(F.filter("_windows", inside)))
