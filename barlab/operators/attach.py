@@ -32,7 +32,7 @@ def below(rows: DataFrame, array: str, value: Column, limit: int, out: str) -> D
     """``rows`` with the number of entries of the ascending column ``array``, fewer than ``limit``, that are smaller than ``value``.
 
     Halving in plain column steps: an array is read in place, not copied with the row as a lambda function would need, so a
-    row costs the logarithm of its length. The count is never null, also where ``array`` is; a filter on it therefore stays above the steps.
+    row costs the logarithm of its length. The count is never null, also where ``array`` is.
     """
     rows = rows.withColumn(out, F.lit(0))
     step = 1 << (limit - 1).bit_length()
