@@ -147,6 +147,28 @@ def test_suffix_dedup_of_null_and_repeated_ids_and_no_rows(make):
     assert suffix_dedup.remove_copies(make([t], ids=[1]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_sorts_a_bucket_in_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    shared = rng.integers(97, 117, 3000).astype(np.uint8).tobytes()
+    texts = [shared[k:k + 1500] + rng.integers(97, 117, 1000).astype(np.uint8).tobytes() for k in rng.integers(0, 1500, 800)]
+    rows = pa.table([pa.array(range(800)), pa.array([0] * 800, pa.uint32()), pa.array([7] * 800, pa.int32()), pa.array(texts, pa.binary())], names=["doc_id", "mark", "begin", "text"])
+    tracemalloc.start()
+    doc, mark, begin, end = suffix_dedup.later_copies(rows, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first, want = {}, set()
+    for d, t in enumerate(texts):
+        for b in range(len(t) - 49):
+            if first.setdefault(t[b:b + 50], d) < d:
+                want.add((d, b + 7))
+    assert set(zip(doc.tolist(), begin.tolist())) == want and (end == begin + 50).all() and len(doc) == len(want)
+    assert peak < 80 * sum(map(len, texts))  # 144 bytes each with all windows laid out at once
+
+
 def test_longest_previous_factor_against_all_pairs():
     rng = np.random.default_rng(8)
     for _ in range(30):
