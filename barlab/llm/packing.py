@@ -22,7 +22,8 @@ _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 class ChunkIds:
     """Token ids of texts through a table of distinct chunks between white space, for tokenizers that drop white space.
 
-    A chunk is encoded once per worker while it stays in the table; the table is emptied at ``limit`` chunks.
+    A chunk is encoded once per worker while it stays in the table. At ``limit`` chunks those of a single block leave it; of
+    the others the most used stay, half the limit at most.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -33,9 +34,22 @@ class ChunkIds:
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.used, self.ends = 0, [0]
+        self.used, self.ends, self.uses = 0, np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def make_room(self) -> None:
+        again = np.flatnonzero(self.uses > 1)
+        if len(again) > self.limit // 2:
+            again = np.sort(again[np.argsort(-self.uses[again], kind="stable")[:self.limit // 2]])
+        chunks = list(self.slot)  # in the order of their slots
+        size = np.diff(self.ends)[again]
+        last = np.cumsum(size)
+        source = np.arange(int(size.sum())) + np.repeat(self.ends[again] - (last - size), size)
+        self.slot = {chunks[i]: k for k, i in enumerate(again.tolist())}
+        self.ids[:len(source)] = self.ids[source]
+        self.used, self.ends, self.uses = len(source), np.append(0, last), (self.uses[again] + 1) // 2
 
     def learn(self, chunks: list[bytes]) -> None:
+        counts = []
         for s in range(0, len(chunks), 1024):
             part = chunks[s:s + 1024]
             texts = [c.decode() for c in part]
@@ -48,10 +62,12 @@ class ChunkIds:
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used:self.used + len(ids)] = ids
-            base = len(self.ends) - 1
-            self.slot.update((c, base + k) for k, c in enumerate(part))
-            self.ends.extend((self.used + np.cumsum(count)).tolist())
+            counts.append(count)
             self.used += len(ids)
+        if chunks:
+            self.slot.update(zip(chunks, range(len(self.slot), len(self.slot) + len(chunks))))
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts)))
+            self.uses = np.append(self.uses, np.zeros(len(chunks), np.int64))
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids laid end to end, each document followed by ``end_id``, and the tokens of each document.
@@ -65,11 +81,14 @@ class ChunkIds:
         row = np.repeat(np.arange(rows), np.diff(before))
         coded = words.dictionary_encode()
         known = coded.dictionary.to_pylist()
-        if len(self.slot) + len(known) > self.limit:
-            self.clear()
-        self.learn([w for w in known if w not in self.slot])
-        ends = np.array(self.ends, np.int64)
-        slot = np.fromiter((self.slot[w] for w in known), np.int64, len(known))
+        new = [w for w in known if w not in self.slot]
+        if len(self.slot) + len(new) > self.limit:
+            self.make_room()
+            new = [w for w in known if w not in self.slot]
+        self.learn(new)
+        ends = self.ends
+        slot = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))
+        self.uses[slot] += 1
         first, size = ends[slot], np.diff(ends)[slot] if len(known) else slot
         code = coded.indices.to_numpy().astype(np.int64)
         if len(odd):

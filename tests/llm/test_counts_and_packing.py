@@ -60,6 +60,22 @@ def test_packing_is_a_round_trip(odd, size):
         assert at == parts[0].sequence_tokens and (at == size or at & (at - 1) == 0)
 
 
+def test_a_full_chunk_table_keeps_what_is_used_again():
+    import pyarrow as pa
+
+    table, path, learned = packing.ChunkIds(P.path("word_bpe_49k.json"), limit=120), P.path("word_bpe_49k.json"), []
+    learn = table.learn
+    table.learn = lambda chunks: (learned.extend(chunks), learn(chunks))
+    tk = Tokenizer.from_file(path)
+    for block in range(12):
+        texts = [" ".join(f"Common{i},x" for i in range(30)), " ".join(f"rare{block}of{i}" for i in range(40)), "", None, "caf\u00e9\u2003x"]
+        ids, tokens = table.encode(pa.array(texts, pa.string()), 1)
+        want = [tk.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+        assert ids.tolist() == sum(want, []) and tokens.tolist() == list(map(len, want))
+        assert len(table.slot) <= 120
+    assert all(learned.count(b"Common%d,x" % i) == 1 for i in range(30))
+
+
 def test_packing_prefers_the_cheapest_sequence():
     pieces, cost = packing.pack_block(np.array([60, 60, 30, 30, 10, 10]), 100, 1.0, 0.01)
     assert len(cost) == 2 and {p[3] for p in pieces[:2]} == {0, 1} and cost.max() / cost.min() < 1.05
