@@ -21,6 +21,8 @@ from barlab.llm.exact_dedup import bit_segments, may_repeat, without_ids
 
 #: Members of one block of a key group that is compared in place; larger groups are compared block against block.
 GROUP_BLOCK = 1024
+#: Smallest keys of a document that travel with it, by which a pair with several common keys is found once.
+LOW_KEYS = 16
 #: Bits of the filter of candidate documents that is broadcast (2 MiB).
 FILTER_BITS = 1 << 24
 
@@ -224,23 +226,28 @@ def plausible(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFram
 
 
 def crossing_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that share a key, lie in different components so far and pass the size and Hamming tests.
+    """Pairs that share a key, lie in different components so far and pass the size and Hamming tests; a few come several times.
 
     ``groups``: key, doc_id, n, sketch, component, size (of the key's group). A group is cut into blocks of about
     ``GROUP_BLOCK`` members and each pair of blocks is a unit of its own, so no task holds a whole large group; members are
-    compared in place and only survivors are emitted. Units are dealt to buckets, several to a call.
+    compared in place and only survivors are emitted. Units are dealt to buckets, several to a call. A pair is left to a
+    smaller key if both documents have that key among their ``LOW_KEYS`` smallest; its smallest common key never passes it on.
     """
-    cut = groups.withColumn("blocks", F.ceil(F.col("size") / GROUP_BLOCK).cast("int")).withColumn(
+    low = groups.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
+    cut = groups.join(low, "doc_id").withColumn("blocks", F.ceil(F.col("size") / GROUP_BLOCK).cast("int")).withColumn(
         "i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"))))
     units = cut.withColumn("unit", other).select(F.xxhash64("key", "unit.x", "unit.y").alias("u"), (F.col("i") == F.col("unit.x")).alias("left"),
-                                                 (F.col("unit.x") == F.col("unit.y")).alias("own"), "doc_id", "n", "sketch", "component")
+                                                 (F.col("unit.x") == F.col("unit.y")).alias("own"), "doc_id", "n", "sketch", "component", "key", "low")
     units = units.withColumn("bucket", F.pmod("u", F.lit(4 * scratch_partitions(groups))))
 
     def compare(group):
         order = np.argsort(group.column("u").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
-        u, n, ids, comp = (group.column(c).to_numpy() for c in ("u", "n", "doc_id", "component"))
+        u, n, ids, comp, keys = (group.column(c).to_numpy() for c in ("u", "n", "doc_id", "component", "key"))
+        lows = np.full((len(u), LOW_KEYS), np.iinfo(np.int64).max)
+        for i, x in enumerate(group.column("low").to_pylist()):
+            lows[i, :len(x)] = x
         is_left, own = (group.column(c).to_numpy(zero_copy_only=False) for c in ("left", "own"))
         raw = [np.frombuffer(s, np.uint8) for s in group.column("sketch").to_pylist()]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])), len(u))
@@ -253,17 +260,19 @@ def crossing_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
             same = own[s]
             left = np.arange(e - s) if same else np.flatnonzero(is_left[s:e])
             right = left if same else np.flatnonzero(~is_left[s:e])
-            m, k, d = n[s:e], comp[s:e], ids[s:e]
+            m, k, d, low = n[s:e], comp[s:e], ids[s:e], lows[s:e]
             for a in left.tolist():
                 r = right[right > a] if same else right
                 r = r[(k[r] != k[a]) & (den * np.minimum(m[r], m[a]) >= num * np.maximum(m[r], m[a]))]
                 if len(r):
                     far = np.bitwise_count(sk[r] ^ sk[a]).sum(axis=1, dtype=np.int64)
                     r = r[far * (num + den) <= (m[r] + m[a]) * (den - num)]
+                    if len(r):
+                        r = r[~np.isin(low[r], low[a][low[a] < keys[s]]).any(axis=1)]
                     found.update((int(min(d[a], d[b])), int(max(d[a], d[b]))) for b in r)
         return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return units.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    return units.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def unsettled(keys: DataFrame, so_far: DataFrame) -> DataFrame:
@@ -318,8 +327,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
     more = store(plausible(second_stars(groups).join(stars, ["a", "b"], "left_anti"), info, num, den), "stars")
     links = links.unionByName(store(verified(more, store(candidate_sets(usable, more, shingle), "members"), num, den), "links"))
     stars = stars.unionByName(more)
-    groups = unsettled(keys, components(links, "second")).join(info, "doc_id")
-    more = store(crossing_pairs(groups, num, den).join(stars, ["a", "b"], "left_anti"), "more")
+    groups = store(unsettled(keys, components(links, "second")), "unsettled").join(info, "doc_id")
+    more = store(crossing_pairs(groups, num, den).distinct().join(stars, ["a", "b"], "left_anti"), "more")
     more = store(verified(more, candidate_sets(usable, more, shingle), num, den), "links")
     found = components(links.unionByName(more).unionByName(copies), "all").withColumnRenamed("node", "doc_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").join(members.select("doc_id", "class_id"), "doc_id", "left")

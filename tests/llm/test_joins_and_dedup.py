@@ -147,6 +147,17 @@ def test_suffix_dedup_of_null_and_repeated_ids_and_no_rows(make):
     assert suffix_dedup.remove_copies(make([t], ids=[1]).limit(0)).count() == 0
 
 
+def test_a_pair_with_many_common_keys_is_compared_once(spark):
+    rng = random.Random(2)
+    sketch, members = bytearray(64), {k: rng.sample(range(60), 25) for k in range(50)}  # several blocks and buckets of keys
+    rows = [(k * 1000003, d, 100, sketch, d, len(ds)) for k, ds in members.items() for d in ds]
+    groups = spark.createDataFrame(rows, "key long, doc_id long, n long, sketch binary, component long, size long")
+    got = [(r.a, r.b) for r in ngram_join.crossing_pairs(groups, 75, 100).collect()]
+    want = {(a, b) for ds in members.values() for a in ds for b in ds if a < b}
+    assert set(got) == want
+    assert len(got) < 1.2 * len(want)  # 15,000 pairs in the keys
+
+
 def test_suffix_dedup_sorts_a_bucket_in_parts():
     import tracemalloc
 
