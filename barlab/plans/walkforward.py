@@ -37,9 +37,12 @@ class WalkForward:
         return PRIMARY[self.spec.objective]
 
     def summary(self) -> DataFrame:
+        """One row, also where no fold has a finite primary metric; its statistics are null then."""
         counts = self.guards.agg(
             F.lit(self.configured).cast("long").alias("n_folds_configured"), F.count(F.lit(1)).alias("n_folds_generated"), F.count_if(F.col("skipped_reason").isNull()).alias("n_folds_run"))
-        return fold_aggregate(self.metrics, self.primary).join(F.broadcast(counts))
+        found = fold_aggregate(self.metrics, self.primary)
+        run = counts.withColumn("run_id", F.lit(self.spec.name)).join(F.broadcast(found), "run_id", "left").fillna(0, ["n_folds_valid"])
+        return run.select(*found.columns, *counts.columns)
 
     def headline(self) -> DataFrame:
         return metric_means(self.metrics, self.primary)
@@ -50,7 +53,7 @@ class WalkForward:
 
 def run_walk_forward(
     rows: DataFrame, folds: DataFrame, spec: ModelSpec, row: Sequence[str] = ("symbol", "ts"), select: int | None = None,
-    ts: str = "ts", carry: Sequence[str] = (), n_configured: int | None = None,
+    ts: str = "ts", carry: Sequence[str] = (), n_configured: int | None = None, must_run: bool = True,
 ) -> WalkForward:
     """``rows``: row key, ts, features, y. ``folds``: one fold table (a few rows).
 
@@ -58,14 +61,22 @@ def run_walk_forward(
     no row is copied into the folds that hold it. Test rows are those at the serving interval, for the guards and for
     the invariance statistics as well, which look at the features a fold selected. Fold fits run one after another, each
     distributed; predictions are cut from the models' lineage by a reliable checkpoint, so losing an executor does not
-    refit anything. A run without a finite primary metric in any fold is an error.
+    refit anything. A run without a finite primary metric in any fold is an error, unless ``must_run`` is off: then its tables
+    hold what there is, ``guards`` the reasons.
     """
     store = FoldStore(rows, folds, ts)
     serves = None if "interval_indicator" not in rows.columns else F.col("interval_indicator") == INTERVAL_CODES[spec.interval]
     guards = cut_lineage(store.guard(spec.objective, served=serves))
     usable = [r.fold for r in guards.filter(F.col("skipped_reason").isNull()).select("fold").orderBy("fold").collect()]
+    configured = folds.count() if n_configured is None else n_configured
+    out = "probs" if spec.objective == "multiclass" else "predicted"
     if not usable:
-        raise ValueError(f"no usable fold for {spec.name}")
+        if must_run:
+            raise ValueError(f"no usable fold for {spec.name}")
+        score = F.lit(None).cast("array<double>" if out == "probs" else "double").alias(out)
+        oof = store.rows.limit(0).select(F.lit(0).alias("fold"), *row, *carry, "y", score)
+        metrics = rows.sparkSession.createDataFrame([], "fold int, metric string, value double, run_id string")
+        return WalkForward(spec, guards, oof, metrics, {}, {}, configured, store)
     parts, models, selected = [], {}, {}
     for k in usable:
         train, test = store.window(k, "train"), filter_serving_interval(store.window(k, "test"), spec.interval)
@@ -75,7 +86,6 @@ def run_walk_forward(
 
             chosen = replace(spec, features=tuple(select_features(train, spec.features, max_features=select)))
         models[k], selected[k] = fit(train.drop("role"), chosen, (ts,)), chosen.features
-        out = "probs" if spec.objective == "multiclass" else "predicted"
         parts.append(predict(models[k], test, chosen).select("fold", *row, *carry, "y", out))
     oof = cut_lineage(reduce(DataFrame.unionByName, parts))
     scored = long_metrics(evaluate(oof, spec, ["fold"]), ["fold"])
@@ -85,9 +95,9 @@ def run_walk_forward(
     invariance = long_metrics(shifts.withColumn("n_pairs", F.col("n_pairs").cast("double")), ["fold"])
     metrics = scored.unionByName(invariance).withColumn("run_id", F.lit(spec.name))
     finite = F.col("value").isNotNull() & ~F.isnan("value")
-    if scored.filter((F.col("metric") == PRIMARY[spec.objective]) & finite).isEmpty():
+    if must_run and scored.filter((F.col("metric") == PRIMARY[spec.objective]) & finite).isEmpty():
         raise ValueError(f"no fold of {spec.name} has a finite {PRIMARY[spec.objective]}")
-    return WalkForward(spec, guards, oof, metrics, models, selected, folds.count() if n_configured is None else n_configured, store)
+    return WalkForward(spec, guards, oof, metrics, models, selected, configured, store)
 
 
 def holdout(rows: DataFrame, spec: ModelSpec, val_fraction: float = 0.2, order: Sequence[str] = ("ts",)) -> tuple[PipelineModel, DataFrame]:
