@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlab.llm.common import U64, components, forget, mix, scratch_partitions, slices, store, text_bytes, word_hashes
+from barlab.llm.common import U64, components, frugal, mix, scratch_partitions, slices, store, text_bytes, word_hashes
 from barlab.llm.exact_dedup import bit_segments, may_repeat, without_ids
 
 #: Members of one block of a key group that is compared in place; larger groups are compared block against block.
@@ -107,8 +107,8 @@ def fold(sketch: np.ndarray, size: int) -> np.ndarray:
 def sets_table(docs: DataFrame, shingle: int) -> DataFrame:
     """row, doc_id, n (set size), h1, h2 (a 128-bit digest of the set) and its bit sketch."""
 
+    @frugal
     def scan(batches):
-        forget()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), shingle)
             h1 = [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in sets]
@@ -126,8 +126,8 @@ def shared_keys(docs: DataFrame, shingle: int, bands: Bands, buckets: int) -> Da
     A block of documents sends one sorted run of (key, ordinal) per bucket, 8 bytes a key.
     """
 
+    @frugal
     def emit(batches):
-        forget()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), shingle)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -151,6 +151,7 @@ def shared_keys(docs: DataFrame, shingle: int, bands: Bands, buckets: int) -> Da
                 owners.append(idb[own.astype(np.int64)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(blobs, pa.binary()), pa.array(owners, pa.binary())], names=["bucket", "keys", "owners"])
 
+    @frugal
     def gather(key, group):
         owners = [np.frombuffer(b, np.int64) for b in group.column("owners").to_pylist()]
         base = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
@@ -174,8 +175,8 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame
     wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     bits = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")).distinct()
 
+    @frugal
     def scan(batches):
-        forget()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
@@ -189,6 +190,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
 
+    @frugal
     def decide(batches):
         for batch in batches:
             keep = []
@@ -216,6 +218,7 @@ def plausible(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFram
         info.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     ratio = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
 
+    @frugal
     def decide(batches):
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")]
@@ -241,6 +244,7 @@ def crossing_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
                                                  (F.col("unit.x") == F.col("unit.y")).alias("own"), "doc_id", "n", "sketch", "component", "key", "low")
     units = units.withColumn("bucket", F.pmod("u", F.lit(4 * scratch_partitions(groups))))
 
+    @frugal
     def compare(group):
         order = np.argsort(group.column("u").to_numpy(), kind="stable")
         group = group.take(pa.array(order))

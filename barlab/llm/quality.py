@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barlab.llm.common import forget, free_name, U64, mix, slices, store, text_bytes, word_hashes
+from barlab.llm.common import free_name, frugal, U64, mix, slices, store, text_bytes, word_hashes
 
 #: Classes of bytes for word shapes: letters of either case, digits; any other byte stands for itself.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -64,8 +64,8 @@ def intercept_shift(labels: DataFrame, column: str, picked: DataFrame) -> float:
 def gram_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """N-gram counts of all texts and of the target ones (label 1): one number per bucket."""
 
+    @frugal
     def count(batches):
-        forget()
         total = np.zeros((2, buckets))
         for batch in slices(batches):
             gram, doc = features(batch.column("text"), buckets)
@@ -87,8 +87,8 @@ def weigh(docs: DataFrame, log_ratio: np.ndarray, out: str = "__weight") -> Data
     held = docs.sparkSession.sparkContext.broadcast(log_ratio)  # one number per bucket
     schema = docs.withColumn(out, F.lit(0.0)).schema
 
+    @frugal
     def scan(batches):
-        forget()
         ratio = held.value
         for batch in slices(batches):
             gram, doc = features(batch.column("text"), len(ratio))
