@@ -147,6 +147,18 @@ def test_suffix_dedup_of_null_and_repeated_ids_and_no_rows(make):
     assert suffix_dedup.remove_copies(make([t], ids=[1]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_removes_the_shuffle_files_of_what_it_has_stored(spark, make, monkeypatch):
+    from barlab.llm import common
+
+    key, stored, plain = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], common.store
+    before = spark.conf.get(key)
+    monkeypatch.setattr(common, "store", lambda df, tag: (stored.append((tag, spark.conf.get(key))), plain(df, tag))[1])
+    t = "the quick brown fox jumps over the lazy dog and runs away again"
+    rows = suffix_dedup.remove_copies(make([t, t, "other words"], ids=[3, 4, 5]))
+    assert stored == [("anchors", "true"), ("ranges", "true")] and spark.conf.get(key) == before
+    assert sorted((r.doc_id, r.n_removed) for r in rows.collect()) == [(3, 0), (4, len(t)), (5, 0)]
+
+
 def test_a_pair_with_many_common_keys_is_compared_once(spark):
     rng = random.Random(2)
     sketch, members = bytearray(64), {k: rng.sample(range(60), 25) for k in range(50)}  # several blocks and buckets of keys
